@@ -7,8 +7,8 @@ class; a class is valid if its tokens come in one order on every page and its oc
 don't cross those of another class, and valid classes nest: those that occur once on a page
 are the frame, the others lie within the slots between its tokens. What the frame leaves
 open are the slots. Slots in menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are dropped, words of the frame are boilerplate wherever no article
-marks them as text, and the slots of the article (without one: of the element whose slots
+reader comments are dropped, blocks that hold nothing but words of the frame are
+boilerplate wherever no article marks them as text, and the slots of the article (without one: of the element whose slots
 hold the most text that isn't links) are the page's text.
 
 Hosts with many pages are cut into groups of about ``GROUP`` pages by a hash of the page,
@@ -146,12 +146,17 @@ def tokenize(source: str) -> Page:
     return page
 
 
+def _spoken(token: Token) -> Iterator[tuple]:
+    """The words of a run of text as tokens; the mark keeps them apart from tags."""
+    return ((token.role[0], f"={w}") for w in token.text.split())
+
+
 def _words(page: Page) -> Iterator[tuple]:
     """Tokens of a page for occurrence counts: tags, and words outside articles."""
     for t in page.tokens:
         if t.text:
             if not t.node.main and not t.node.drop:
-                yield from ((t.role[0], w) for w in t.text.split())
+                yield from _spoken(t)
         else:
             yield t.role
 
@@ -219,6 +224,7 @@ def extract(sources: list[str | None]) -> list[str]:
     for page in pages:
         has_article = any(t.node.main and not t.node.drop for t in page.tokens)
         blocks: dict[int, list[str]] = {}
+        own: dict[int, list[bool]] = {}
         for t in page.tokens:
             if not t.text or t.node.drop:
                 continue
@@ -226,10 +232,9 @@ def extract(sources: list[str | None]) -> list[str]:
                 if t.node.main:
                     blocks.setdefault(t.block, []).append(t.text)
             elif t.role[0] in chosen:
-                kept = " ".join(w for w in t.text.split() if (t.role[0], w) not in frame)
-                if kept:
-                    blocks.setdefault(t.block, []).append(t.text if len(kept.split()) == len(t.text.split()) else kept)
-        found = (_SPACE.sub(" ", entities.unescape("".join(parts))).strip() for _, parts in sorted(blocks.items()))
+                blocks.setdefault(t.block, []).append(t.text)
+                own.setdefault(t.block, []).extend(w not in frame for w in _spoken(t))
+        found = (_SPACE.sub(" ", entities.unescape("".join(parts))).strip() for b, parts in sorted(blocks.items()) if any(own.get(b, [True])))
         out.append("\n\n".join(b for b in found if b))
     return out
 
@@ -240,7 +245,7 @@ def _containers(pages: list[Page], depth: dict[tuple, int]) -> set[str]:
     for page in pages:
         for t in page.tokens:
             if t.text and not t.node.drop and not t.node.main:
-                n = sum(len(w) for w in t.text.split() if (t.role[0], w) not in depth)
+                n = sum(len(w) - 1 for _, w in _spoken(t)) if any(w not in depth for w in _spoken(t)) else 0
                 plain[t.role[0]] += -n if t.node.link else n
     if not plain:
         return set()

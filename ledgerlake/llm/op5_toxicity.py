@@ -1,8 +1,8 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 Logistic regression over a document's distinct words, each with the features word and
-prefixes, so that inflected forms of a stem share weights. Only features whose odds differ
-clearly between the classes are used. For labelled sentences that name a group, the name
+prefixes, so that inflected forms of a stem share weights. Only features that are surely more
+frequent in toxic text are used. For labelled sentences that name a group, the name
 is swapped for other groups' names, and the squared change of the score is part of the
 loss: a neutral mention of any group scores like a mention of any other.
 
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import common
 
-TRAIN_TOXIC, TRAIN_OTHER = 3000, 6000
+TRAIN_TOXIC, TRAIN_OTHER = 3000, 4000
 PREFIXES = (4, 5, 6, 7)
-#: Sample documents that a feature must occur in, and the ratio of smoothed odds that it must reach.
-LEAST_DOCS, LEAST_ODDS = 3, 4.0
-ROUNDS = 300
+#: A feature is used if its smoothed odds ratio, less two standard errors of its logarithm, reaches this.
+LEAST_ODDS = 3.5
+ROUNDS = 500
 THRESHOLD = 0.7
 REMEMBERED = 1_000_000
 #: Names of groups, by kind; swaps stay within a kind.
@@ -77,25 +77,23 @@ def swaps(sentence: str, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -
                     yield words, words - {name} | {other}
 
 
-def train(sample: list[tuple[list[str], int]], sentences: list[str] = (), penalty: float = 1.0, l2: float = 2e-4) -> Model:
+def train(sample: list[tuple[list[str], int]], sentences: list[str] = (), penalty: float = 1.0, l2: float = 1e-5) -> Model:
     """From (distinct words, label) and labelled sentences; fixed start, full batches."""
     toxic = sum(y for _, y in sample)
     other = len(sample) - toxic
     if not toxic or not other:
         return Model(float(np.log((toxic + 0.5) / (other + 0.5))), {})
     counts = (Counter(), Counter())
-    rows = []
+    of_word = {w: word_features(w) for words, _ in sample for w in words}
     for words, y in sample:
-        rows.append({f for w in words for f in word_features(w)})
-        counts[y].update(rows[-1])
+        counts[y].update(set().union(*(of_word[w] for w in words)))
     odds = lambda n, total: (n + 0.5) / (total - n + 0.5)
     ids: dict[str, int] = {}
-    for f in sorted(set(counts[0]) | set(counts[1])):
+    for f in sorted(f for f, n in counts[1].items() if n > 1):
         p, q = counts[1][f], counts[0][f]
-        if p + q >= min(LEAST_DOCS, max(2, toxic // 10)):
-            r = odds(p, toxic) / odds(q, other)
-            if r >= LEAST_ODDS or (q >= 30 and r <= 1 / LEAST_ODDS):
-                ids[f] = len(ids)
+        sure = np.log(odds(p, toxic) / odds(q, other)) - 2 * np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
+        if sure >= np.log(LEAST_ODDS):
+            ids[f] = len(ids)
     pairs = []
     for sentence in sentences:
         for a, b in swaps(sentence):
@@ -103,9 +101,10 @@ def train(sample: list[tuple[list[str], int]], sentences: list[str] = (), penalt
             d.subtract(f for w in a - b for f in word_features(w))
             if any(n and f in ids for f, n in d.items()):
                 pairs.append({ids[f]: n for f, n in d.items() if n and f in ids})
+    used = {w: [ids[f] for f in fs if f in ids] for w, fs in of_word.items()}
     index, owner, y = [], [], np.array([label for _, label in sample], float)
     for i, (words, _) in enumerate(sample):
-        found = [ids[f] for w in words for f in word_features(w) if f in ids]
+        found = [f for w in words for f in used[w]]
         index += found
         owner += [i] * len(found)
     index, owner = np.array(index, int), np.array(owner, int)

@@ -35,7 +35,7 @@ def test_without_article_the_densest_slots_are_text_and_the_frame_is_not():
     texts = [f"<h2>Title {n}</h2><p>Some words of page {n} &amp; more&nbsp;of it, number {n * 7}.<p>Next <b>bo</b>ld<br>line {n}</p>" for n in range(6)]
     got = op.extract([site(n, t) for n, t in enumerate(texts)])
     for n, text in enumerate(got):
-        assert text.endswith(f"Some words of page {n} & more of it, number {n * 7}.\n\nNext bold line {n}") or f"number {n * 7}." in text
+        assert text == f"Title {n}\n\nSome words of page {n} & more of it, number {n * 7}.\n\nNext bold line {n}"
         assert not any(w in text for w in ("cookies", "Home", "First!", "Foot", "Mail", "Other", "Site name", "rights"))
 
 
@@ -48,7 +48,7 @@ def test_classes_share_occurrence_vectors_and_nest():
     pages = [op.tokenize(site(n, "<ul>" + "<li>x</li>" * (n + 1) + "</ul>")) for n in range(4)]
     classes = op.equivalence_classes(pages)
     frame, depth = op.nest(classes)
-    of = {t[1]: d for t, d in depth.items() if t[0].endswith("ul/li")}
+    of = {t[1]: d for t, d in depth.items() if t[0].endswith("ul/li") and t[1][0] == "<"}
     assert of == {"<li>": 1, "</li>": 1}
     assert any(t[1] == "<footer>" for t in frame) and all(len(v) == 4 for v, _ in classes)
 
