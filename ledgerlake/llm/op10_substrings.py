@@ -17,10 +17,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,12 @@ GRAM = 4
 BUCKET = 2048
 #: A minimiser counts towards the large ones from so many strings in one batch.
 FREQUENT = 16
-REMEMBERED = 1_000_000
+#: Bytes of text that are cut into segments at once.
+CHUNK = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-#: kind 0: a packed string to compare; kind 1: windows known to be repeats, mini and packed unset.
+#: A packed string to compare; or, with mini and packed unset, windows known to be repeats.
 SEGMENTS = "mini long, doc_id long, own int, start int, windows int, cyclic boolean, packed binary"
 RANGES = "doc_id long, own int, a int, b int"
 
@@ -45,112 +48,150 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Minimisers:
-    """Runs of windows with one minimiser, by numpy over a whole document."""
-
-    def __init__(self, window: int, gram: int):
-        self.window, self.gram = window, min(gram, window)
-        self.known: dict[bytes, int] = {}
-
-    def runs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, bool]:
-        """(first window of each run and the end, the runs' minimisers, whether any gram repeats).
-
-        Equal windows of one run have the minimiser at two places: a gram that repeats.
-        """
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.array([known[w] for w in words], dtype=np.uint64)
-        n = len(h) - self.gram + 1
-        grams = h[:n].copy()
-        for i in range(1, self.gram):
-            grams = grams * _MULTIPLIER + h[i : i + n]
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2^64."""
+    inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, m, np.uint64)])) for m in (_MULTIPLIER, inverse))
+
+
+class Chunk:
+    """The super-k-mers of some documents, by numpy over all their bytes.
+
+    ``text``: every word followed by one space; ``begins``, ``ends``: of words in it. By run of
+    windows with one minimiser: ``first`` and ``behind`` (first window, and the one behind the last; a
+    window has the number of its first word), ``minis``, ``doc``, ``start`` (word in the document),
+    ``cyclic``. Equal windows within one run have its minimiser, a gram, twice within a window's
+    reach; ``cyclic`` says whether any gram of the run is repeated that near.
+    """
+
+    def __init__(self, texts: list[bytes], window: int, gram: int):
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        space = _SPACES[raw]
+        after_space = np.concatenate([[True], space[:-1]])
+        keep = ~space | ~after_space
+        text = raw[keep]
+        text[space[keep]] = 32
+        self.text = text.tobytes()
+        self.ends = np.flatnonzero(text == 32)
+        self.begins = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
+        offsets = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        doc = np.searchsorted(offsets, np.flatnonzero(~space & after_space), "right") - 1
+        n = len(doc)
+        self.first = self.behind = self.doc = self.start = np.zeros(0, np.int64)
+        self.minis, self.cyclic = np.zeros(0, np.int64), np.zeros(0, bool)
+        if n < window:
+            return
+        power, inverse = _powers(1 << int(len(text)).bit_length())
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[: len(text)])])
+        words = _mixed((total[self.ends] - total[self.begins]) * inverse[self.begins])
+        grams = words[: n - gram + 1].copy()
+        for i in range(1, gram):
+            grams = grams * _MULTIPLIER + words[i : n - gram + 1 + i]
         grams = _mixed(grams)
-        least, width, span = grams, 1, self.window - self.gram + 1
+        least, width, span = grams, 1, window - gram + 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if rest := span - width:
             least = np.minimum(least[:-rest], least[rest:])
-        starts = common.run_starts(least)
-        return starts, least[starts[:-1]], len(np.unique(grams)) < n
-
-
-def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
-    """doc_id (null: after all others), a mark to tell rows of one doc_id apart, words."""
-    for doc_id, text in zip(common.rows_of(batch, "doc_id"), common.bytes_of(batch, "text")):
-        yield (2**63 - 1 if doc_id is None else doc_id), zlib.crc32(text or b"") & 0xFFFF, (text or b"").split()
+        whole = doc[: n - window + 1] == doc[window - 1 :]
+        joined = np.concatenate([[False], whole[1:] & whole[:-1] & (least[1:] == least[:-1])])
+        self.first = np.flatnonzero(whole & ~joined)
+        self.behind = np.flatnonzero(whole & ~np.concatenate([joined[1:], [False]])) + 1
+        self.minis = least[self.first].view(np.int64)
+        self.doc = doc[self.first]
+        self.start = self.first - np.searchsorted(doc, self.doc)
+        again = np.zeros(len(grams) + 1, np.int64)
+        for lag in range(1, min(span + 1, len(grams))):
+            again[1 : len(grams) - lag + 1] |= grams[lag:] == grams[:-lag]
+        again = np.cumsum(again)
+        self.cyclic = again[self.behind + span - 1] > again[self.first]
+
+
+def _chunks(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple[list[int], list[int], Chunk]]:
+    """(ids, marks, chunk) of the batch's documents in order of their ids; a null id comes last.
+
+    The mark tells rows of one id with different texts apart.
+    """
+    ids = [2**63 - 1 if d is None else d for d in common.rows_of(batch, "doc_id")]
+    texts = [t or b"" for t in common.bytes_of(batch, "text")]
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    some, size = [], 0
+    for number, i in enumerate(order, 1):
+        some.append(i)
+        size += len(texts[i])
+        if size > CHUNK or number == len(order):
+            own = [texts[j] for j in some]
+            yield [ids[j] for j in some], [zlib.crc32(t) & 0xFFFF for t in own], Chunk(own, window, gram)
+            some, size = [], 0
 
 
 def _counter(window: int, gram: int):
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Minimisers(window, gram)
         for batch in batches:
-            found = [find.runs(words)[1] for _, _, words in _documents(batch) if len(words) >= window]
-            k, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            found = [chunk.minis for _, _, chunk in _chunks(batch, window, gram)]
+            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
             many = n >= FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(k[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["mini", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[many]), pa.array(n[many].astype(np.int64))], ["mini", "n"])
 
     return count
 
 
-def _segmenter(window: int, gram: int, large: frozenset[int] | None, only_large: bool):
-    """Segments of all minimisers but ``large`` ones; or else only of these, by window."""
+def _segmenter(window: int, gram: int, large: np.ndarray, only_large: bool):
+    """Segments of all minimisers but the ``large`` ones (sorted); or else only of these, by window."""
 
     def segment(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Minimisers(window, gram)
         for batch in batches:
-            first: dict[bytes, tuple[int, int, int]] = {}
-            rows: list[list] = [[], [], [], [], [], [], []]
-            for doc_id, own, words in sorted(_documents(batch), key=lambda x: x[:2]):
-                if len(words) < window:
-                    continue
-                starts, minis, cyclic = find.runs(words)
-                text = b" ".join(words)
-                ends = np.cumsum([len(w) + 1 for w in words])
-                begins = np.concatenate([[0], ends[:-1]])
-                minis = minis.view(np.int64).tolist()
-                a, b = starts[:-1], starts[1:]
+            for ids, marks, chunk in _chunks(batch, window, gram):
+                first, behind, start, doc, mini, cyclic = chunk.first, chunk.behind, chunk.start, chunk.doc, chunk.minis, chunk.cyclic
+                if len(large):
+                    at = np.minimum(np.searchsorted(large, mini), len(large) - 1)
+                    chosen = (large[at] == mini) == only_large
+                    first, behind, start, doc, mini, cyclic = (x[chosen] for x in (first, behind, start, doc, mini, cyclic))
                 if only_large:
-                    spans = [(m, s, 1) for m, x, y in zip(minis, a.tolist(), b.tolist()) if m in large for s in range(x, y)]
-                else:
-                    spans = [(m, x, y - x) for m, x, y in zip(minis, a.tolist(), b.tolist()) if not large or m not in large]
-                if not spans:
-                    continue
-                at = np.array([s[1] for s in spans])
-                cut = zip(begins[at].tolist(), (ends[at + np.array([s[2] for s in spans]) + window - 2] - 1).tolist())
-                for (mini, start, windows), (x, y) in zip(spans, cut):
-                    packed = text[x:y]
-                    one = first.setdefault(packed, (doc_id, own, start))
-                    repeat = one != (doc_id, own, start) and one[::2] != (doc_id, start)
-                    for column, value in zip(rows, (None if repeat else mini, doc_id, own, start, windows, cyclic, None if repeat else packed)):
-                        column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["mini", "doc_id", "own", "start", "windows", "cyclic", "packed"])
+                    n = behind - first
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    first, start, doc, mini, cyclic = (np.repeat(x, n) for x in (first, start, doc, mini, cyclic))
+                    first, start = first + step, start + step
+                    behind = first + 1
+                text = chunk.text
+                packed = [text[x:y] for x, y in zip(chunk.begins[first].tolist(), chunk.ends[behind + window - 2].tolist())]
+                doc_id, own = np.array(ids, np.int64)[doc], np.array(marks, np.int32)[doc]
+                seen: dict[bytes, int] = {}
+                one = np.array([seen.setdefault(p, i) for i, p in enumerate(packed)], np.int64)
+                repeat = (doc_id[one] != doc_id) | (start[one] != start)
+                for i in np.flatnonzero(repeat).tolist():
+                    packed[i] = None
+                columns = (pa.array(mini, mask=repeat), pa.array(doc_id), pa.array(own), pa.array(start.astype(np.int32)), pa.array((behind - first).astype(np.int32)), pa.array(cyclic), pa.array(packed, pa.binary()))
+                yield pa.RecordBatch.from_arrays(list(columns), ["mini", "doc_id", "own", "start", "windows", "cyclic", "packed"])
 
     return segment
 
 
-def _bucket_repeats(rows: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(doc_id, own, a, b): words a to b - 1 that repeats cover. rows: (doc_id, start, own, packed), of one minimiser."""
-    found: list[tuple[bytes, int, int, int]] = []
+def _bucket_repeats(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int, int]]:
+    """(doc_id, own, a, b): words a to b - 1 that repeats cover. rows: (doc_id, start, own, packed), of one minimiser.
+
+    Equal strings are taken once: of these, all windows but the first string's are repeats.
+    """
+    rows.sort()
+    out, first, found = [], {}, []
     for doc_id, start, own, packed in rows:
-        words = packed.split(b" ")
-        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-        begin = 0
-        for i in range(len(words) - window + 1):
-            found.append((packed[begin : ends[i + window - 1] - 1], doc_id, start + i, own))
-            begin = ends[i]
+        one = first.setdefault(packed, (doc_id, start))
+        n = packed.count(b" ") + 2 - window
+        if one != (doc_id, start):
+            out.append((doc_id, own, start, start + n + window - 1))
+            continue
+        at = list(accumulate((len(w) + 1 for w in packed.split(b" ")), initial=0))
+        found += [(packed[at[i] : at[i + window] - 1], doc_id, start + i, own) for i in range(n)]
     found.sort()
-    before = None
+    before, place = None, None
     for words, doc_id, start, own in found:
-        if before is None or before[0] != words:
-            before = (words, doc_id, start)
-        elif before[1:] != (doc_id, start):
-            yield doc_id, own, start, start + window
+        if before != words:
+            before, place = words, (doc_id, start)
+        elif place != (doc_id, start):
+            out.append((doc_id, own, start, start + window))
+    return out
 
 
 def _comparer(window: int):
@@ -158,22 +199,17 @@ def _comparer(window: int):
         for table in common.key_runs(batches, ["mini"]):
             keys = table.column("mini")
             resolved = keys.is_null().to_numpy()
-            mini = keys.fill_null(0).to_numpy()
-            starts = common.run_starts(mini, resolved)
-            doc_id, own, start, windows = (table.column(c).to_numpy() for c in ("doc_id", "own", "start", "windows"))
-            cyclic = table.column("cyclic").to_numpy()
-            out: list[tuple[int, int, int, int]] = []
+            starts = common.run_starts(keys.fill_null(0).to_numpy(), resolved)
+            doc_id, own, start, windows, cyclic = (table.column(c).to_numpy() for c in ("doc_id", "own", "start", "windows", "cyclic"))
             known = np.flatnonzero(resolved)
-            out += zip(doc_id[known].tolist(), own[known].tolist(), start[known].tolist(), (start[known] + windows[known] + window - 1).tolist())
+            out = list(zip(doc_id[known].tolist(), own[known].tolist(), start[known].tolist(), (start[known] + windows[known] + window - 1).tolist()))
             packed = table.column("packed").combine_chunks()
-            for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if y - x > 1 and not resolved[x]:
-                    rows = zip(doc_id[x:y].tolist(), start[x:y].tolist(), own[x:y].tolist(), packed[x:y].to_pylist())
-                    out += _bucket_repeats(list(rows), window)
-                elif not resolved[x] and windows[x] > 1 and cyclic[x]:
-                    out += _bucket_repeats([(int(doc_id[x]), int(start[x]), int(own[x]), packed[x].as_py())], window)
-            out = _merged(out)
-            columns = list(zip(*out)) or [(), (), (), ()]
+            x, y = starts[:-1], starts[1:]
+            looked = ~resolved[x] & ((y - x > 1) | (cyclic[x] & (windows[x] > 1))) if len(x) else np.zeros(0, bool)
+            for x, y in zip(x[looked].tolist(), y[looked].tolist()):
+                rows = zip(doc_id[x:y].tolist(), start[x:y].tolist(), own[x:y].tolist(), packed[x:y].to_pylist())
+                out += _bucket_repeats(list(rows), window)
+            columns = list(zip(*_merged(out))) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "own", "a", "b"])
 
     return compare
@@ -198,11 +234,11 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buc
     # Minimisers beyond the bound, of which there are fewer than rows / bucket; beyond the
     # number that may be sent to all executors, the largest ones are taken: the others still
     # meet in their buckets, which only makes those tasks longer.
-    large = frozenset(r[0] for r in counted.orderBy(F.desc("n")).limit(common.BROADCAST_ROWS).collect())
+    large = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n")).limit(common.BROADCAST_ROWS).collect()], np.int64))
     segments = source.mapInArrow(_segmenter(window, gram, large, False), SEGMENTS)
     spread = F.coalesce(F.col("mini"), F.xxhash64("doc_id", "start"))
     found = segments.repartition(spread).sortWithinPartitions("mini").mapInArrow(_comparer(window), RANGES)
-    if not large:
+    if not len(large):
         return found
     rows = source.mapInArrow(_segmenter(window, gram, large, True), SEGMENTS)
     rows = common.cut(rows.select("doc_id", "own", "start", F.unhex(F.sha2("packed", 256)).alias("words")))

@@ -211,7 +211,9 @@ class Labeller:
 def sample_of(docs: DataFrame) -> list[tuple[str, str]]:
     """The bounded training sample: labelled rows that are not held out, first by a hash of their id."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.col("held_out"))
-    return [tuple(r) for r in labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).select("text", "lang").collect()]
+    chosen = common.cut(labelled.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS))
+    texts = labelled.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "lang")
+    return sorted(map(tuple, texts.limit(2 * TRAIN_DOCS).collect()))
 
 
 def identify(docs: DataFrame) -> DataFrame:
