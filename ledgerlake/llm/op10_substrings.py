@@ -4,7 +4,9 @@ Every window of ``WINDOW`` words has a minimiser: the smallest hash of its grams
 ``GRAM`` words. Consecutive windows of a document with the same minimiser travel as one
 packed string to the minimiser's bucket; equal windows have equal minimisers, so all of
 them meet there. In its bucket the windows' own words are sorted, and every window that
-is not the first of its kind is a repeat.
+is not the first of its kind is a repeat. The strings of one bucket and chunk of documents
+are compressed together, since they overlap by design; the number of buckets follows the
+bytes to send, so that a bucket has about ``BUCKET_BYTES``.
 
 Strings that occur again within one batch of documents travel once: the others' windows
 are repeats already. A minimiser with a share of the rows that a task should not hold
@@ -22,6 +24,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +37,15 @@ BUCKET = 2048
 #: A minimiser counts towards the large ones from so many strings in one batch.
 FREQUENT = 16
 #: Bytes of text that are cut into segments at once.
-CHUNK = 2_000_000
+CHUNK = 4_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-#: A packed string to compare; or, with mini and packed unset, windows known to be repeats.
-SEGMENTS = "mini long, doc_id long, own int, start int, windows int, cyclic boolean, packed binary"
+#: Bytes of packed strings that a bucket holds, about; a task holds one bucket at a time.
+BUCKET_BYTES = 8_000_000
+#: Strings of one bucket and chunk, compressed together.
+BLOCKS = "bucket int, block binary"
+WINDOWS = "doc_id long, own int, start int, words binary"
 RANGES = "doc_id long, own int, a int, b int"
 
 
@@ -128,47 +134,90 @@ def _chunks(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple[lis
 
 
 def _counter(window: int, gram: int):
+    """Frequent minimisers of each batch, and without one the bytes of its packed strings."""
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [chunk.minis for _, _, chunk in _chunks(batch, window, gram)]
-            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            found, size = [np.zeros(0, np.int64)], 0
+            for _, _, chunk in _chunks(batch, window, gram):
+                found.append(chunk.minis)
+                size += int((chunk.ends[chunk.behind + window - 2] - chunk.begins[chunk.first]).sum()) if len(chunk.first) else 0
+            k, n = np.unique(np.concatenate(found), return_counts=True)
             many = n >= FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(k[many]), pa.array(n[many].astype(np.int64))], ["mini", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([*k[many].tolist(), None], pa.int64()), pa.array([*n[many].tolist(), size], pa.int64())], ["mini", "n"])
 
     return count
 
 
-def _segmenter(window: int, gram: int, large: np.ndarray, only_large: bool):
-    """Segments of all minimisers but the ``large`` ones (sorted); or else only of these, by window."""
+def _known(doc_id: np.ndarray, start: np.ndarray, packed: list[bytes]) -> np.ndarray:
+    """Which strings repeat an earlier one of the chunk."""
+    seen: dict[bytes, int] = {}
+    one = np.array([seen.setdefault(p, i) for i, p in enumerate(packed)], np.int64)
+    return (doc_id[one] != doc_id) | (start[one] != start)
+
+
+def _is_large(large: np.ndarray, minis: np.ndarray) -> np.ndarray:
+    return large[np.minimum(np.searchsorted(large, minis), len(large) - 1)] == minis if len(large) else np.zeros(len(minis), bool)
+
+
+def _segmenter(window: int, gram: int, large: np.ndarray, buckets: int):
+    """Blocks of the packed strings of all minimisers but the ``large`` ones (sorted)."""
 
     def segment(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for ids, marks, chunk in _chunks(batch, window, gram):
-                first, behind, start, doc, mini, cyclic = chunk.first, chunk.behind, chunk.start, chunk.doc, chunk.minis, chunk.cyclic
-                if len(large):
-                    at = np.minimum(np.searchsorted(large, mini), len(large) - 1)
-                    chosen = (large[at] == mini) == only_large
-                    first, behind, start, doc, mini, cyclic = (x[chosen] for x in (first, behind, start, doc, mini, cyclic))
-                if only_large:
-                    n = behind - first
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    first, start, doc, mini, cyclic = (np.repeat(x, n) for x in (first, start, doc, mini, cyclic))
-                    first, start = first + step, start + step
-                    behind = first + 1
-                text = chunk.text
-                packed = [text[x:y] for x, y in zip(chunk.begins[first].tolist(), chunk.ends[behind + window - 2].tolist())]
-                doc_id, own = np.array(ids, np.int64)[doc], np.array(marks, np.int32)[doc]
-                seen: dict[bytes, int] = {}
-                one = np.array([seen.setdefault(p, i) for i, p in enumerate(packed)], np.int64)
-                repeat = (doc_id[one] != doc_id) | (start[one] != start)
-                for i in np.flatnonzero(repeat).tolist():
-                    packed[i] = None
-                columns = (pa.array(mini, mask=repeat), pa.array(doc_id), pa.array(own), pa.array(start.astype(np.int32)), pa.array((behind - first).astype(np.int32)), pa.array(cyclic), pa.array(packed, pa.binary()))
-                yield pa.RecordBatch.from_arrays(list(columns), ["mini", "doc_id", "own", "start", "windows", "cyclic", "packed"])
+            for ids, marks, c in _chunks(batch, window, gram):
+                rest = ~_is_large(large, c.minis)
+                bucket = (c.minis.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+                order = np.flatnonzero(rest)[np.argsort(bucket[rest], kind="stable")]
+                first, behind, doc, start = c.first[order], c.behind[order], c.doc[order], c.start[order]
+                packed = [c.text[x:y] for x, y in zip(c.begins[first].tolist(), c.ends[behind + window - 2].tolist())]
+                doc_id = np.array(ids, np.int64)[doc]
+                repeat = _known(doc_id, start, packed)
+                fields = (c.minis[order], doc_id, np.array(marks, np.int32)[doc], start.astype(np.int32), (behind - first).astype(np.int32), c.cyclic[order].astype(np.int32), np.where(repeat, -1, [len(p) for p in packed]).astype(np.int32))
+                starts = common.run_starts(bucket[order])
+                keys = bucket[order][starts[:-1]].astype(np.int32) if len(order) else np.zeros(0, np.int32)
+                blocks = []
+                for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                    strings = [p for p, r in zip(packed[x:y], repeat[x:y].tolist()) if not r]
+                    blocks.append(squeeze(b"".join([*(f[x:y].tobytes() for f in fields), *strings, np.int32(y - x).tobytes()])))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     return segment
 
 
+def _unpack(block: bytes) -> tuple[list[np.ndarray], list[bytes | None]]:
+    """(mini, doc_id, own, start, windows, cyclic) and the strings; None: windows known to be repeats."""
+    n, at, fields = int(np.frombuffer(block[-4:], np.int32)[0]), 0, []
+    for kind in (np.int64, np.int64, *[np.int32] * 5):
+        fields.append(np.frombuffer(block, kind, n, at))
+        at += fields[-1].nbytes
+    strings: list[bytes | None] = []
+    for length in fields.pop().tolist():
+        strings.append(None if length < 0 else block[at : at + length])
+        at += max(length, 0)
+    return fields, strings
+
+
+def _by_window(window: int, gram: int, large: np.ndarray):
+    """The windows of ``large`` minimisers one by one, by digest; without: known to be repeats."""
+
+    def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, marks, c in _chunks(batch, window, gram):
+                chosen = _is_large(large, c.minis)
+                n = (c.behind - c.first)[chosen]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                first, start, doc = (np.repeat(x[chosen], n) for x in (c.first, c.start, c.doc))
+                first, start = first + step, start + step
+                packed = [c.text[x:y] for x, y in zip(c.begins[first].tolist(), c.ends[first + window - 1].tolist())]
+                doc_id = np.array(ids, np.int64)[doc]
+                words = [None if r else hashlib.sha256(p).digest() for p, r in zip(packed, _known(doc_id, start, packed).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(np.array(marks, np.int32)[doc]), pa.array(start.astype(np.int32)), pa.array(words, pa.binary())], ["doc_id", "own", "start", "words"])
+
+    return cut_up
+
+
 def _bucket_repeats(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int, int]]:
     """(doc_id, own, a, b): words a to b - 1 that repeats cover. rows: (doc_id, start, own, packed), of one minimiser.
 
@@ -196,21 +245,27 @@ def _bucket_repeats(rows: list[tuple[int, int, int, bytes]], window: int) -> lis
 
 def _comparer(window: int):
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.key_runs(batches, ["mini"]):
-            keys = table.column("mini")
-            resolved = keys.is_null().to_numpy()
-            starts = common.run_starts(keys.fill_null(0).to_numpy(), resolved)
-            doc_id, own, start, windows, cyclic = (table.column(c).to_numpy() for c in ("doc_id", "own", "start", "windows", "cyclic"))
-            known = np.flatnonzero(resolved)
-            out = list(zip(doc_id[known].tolist(), own[known].tolist(), start[known].tolist(), (start[known] + windows[known] + window - 1).tolist()))
-            packed = table.column("packed").combine_chunks()
-            x, y = starts[:-1], starts[1:]
-            looked = ~resolved[x] & ((y - x > 1) | (cyclic[x] & (windows[x] > 1))) if len(x) else np.zeros(0, bool)
-            for x, y in zip(x[looked].tolist(), y[looked].tolist()):
-                rows = zip(doc_id[x:y].tolist(), start[x:y].tolist(), own[x:y].tolist(), packed[x:y].to_pylist())
-                out += _bucket_repeats(list(rows), window)
-            columns = list(zip(*_merged(out))) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "own", "a", "b"])
+        expand = zstandard.ZstdDecompressor().decompress
+        for table in common.key_runs(batches, ["bucket"]):
+            starts = common.run_starts(table.column("bucket").to_numpy())
+            for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                parts = [_unpack(expand(b)) for b in table.column("block").slice(x, y - x).to_pylist()]
+                mini, doc_id, own, start, windows, cyclic = map(np.concatenate, zip(*(fields for fields, _ in parts)))
+                packed = [p for _, strings in parts for p in strings]
+                resolved = np.array([p is None for p in packed])
+                known = np.flatnonzero(resolved)
+                out = list(zip(doc_id[known].tolist(), own[known].tolist(), start[known].tolist(), (start[known] + windows[known] + window - 1).tolist()))
+                order = np.flatnonzero(~resolved)
+                order = order[np.argsort(mini[order], kind="stable")]
+                runs = common.run_starts(mini[order])
+                a, b = runs[:-1], runs[1:]
+                looked = (b - a > 1) | ((cyclic[order[a]] > 0) & (windows[order[a]] > 1)) if len(a) else np.zeros(0, bool)
+                for i, j in zip(a[looked].tolist(), b[looked].tolist()):
+                    own_rows = order[i:j]
+                    rows = list(zip(doc_id[own_rows].tolist(), start[own_rows].tolist(), own[own_rows].tolist(), [packed[k] for k in own_rows.tolist()]))
+                    out += _bucket_repeats(rows, window)
+                columns = list(zip(*_merged(out))) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "own", "a", "b"])
 
     return compare
 
@@ -230,18 +285,17 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buc
     """(doc_id, own, a, b): word ranges of ``docs(doc_id, text)`` that repeated windows cover."""
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")
-    counted = common.cut(source.mapInArrow(_counter(window, gram), "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).where(F.col("n") > bucket))
+    counted = common.cut(source.mapInArrow(_counter(window, gram), "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).where(F.col("mini").isNull() | (F.col("n") > bucket)))
+    size = (counted.where("mini is null").agg(F.sum("n")).collect()[0][0] or 0)
     # Minimisers beyond the bound, of which there are fewer than rows / bucket; beyond the
     # number that may be sent to all executors, the largest ones are taken: the others still
     # meet in their buckets, which only makes those tasks longer.
-    large = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n")).limit(common.BROADCAST_ROWS).collect()], np.int64))
-    segments = source.mapInArrow(_segmenter(window, gram, large, False), SEGMENTS)
-    spread = F.coalesce(F.col("mini"), F.xxhash64("doc_id", "start"))
-    found = segments.repartition(spread).sortWithinPartitions("mini").mapInArrow(_comparer(window), RANGES)
+    large = np.sort(np.array([r[0] for r in counted.where("mini is not null").orderBy(F.desc("n")).limit(common.BROADCAST_ROWS).collect()], np.int64))
+    blocks = source.mapInArrow(_segmenter(window, gram, large, max(16, size // BUCKET_BYTES)), BLOCKS)
+    found = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_comparer(window), RANGES)
     if not len(large):
         return found
-    rows = source.mapInArrow(_segmenter(window, gram, large, True), SEGMENTS)
-    rows = common.cut(rows.select("doc_id", "own", "start", F.unhex(F.sha2("packed", 256)).alias("words")))
+    rows = common.cut(source.mapInArrow(_by_window(window, gram, large), WINDOWS))
     known = rows.where("words is null").select("doc_id", "own", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
     rows = rows.where("words is not null")
     first = common.cut(rows.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("words", "first"))
