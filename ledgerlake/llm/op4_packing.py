@@ -13,8 +13,10 @@ is packed by one task: the loss is at most one partly filled sequence for each g
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from ledgerlake.llm import common
 
 TOKENS = 2048
 GROUP = 100_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Units whose ids a worker remembers, and bytes of text that are looked up at once.
+REMEMBERED, CHUNK = 2_000_000, 4_000_000
 #: Sequences of the tightest levels that are scored before one is chosen.
 LOOKED_AT = 24
 
@@ -36,29 +38,117 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-class WordIds:
-    """Token ids of whole texts, word by word.
+def _kinds() -> np.ndarray:
+    """By byte: 0 white space, 1 ASCII letter, 2 digit, 3 punctuation, 4 apostrophe, 5 not ASCII."""
+    kinds = np.full(256, 3, np.uint8)
+    kinds[[9, 10, 11, 12, 13, 32]] = 0
+    kinds[[c for c in range(128) if chr(c).isalpha()]] = 1
+    kinds[48:58] = 2
+    kinds[39] = 4
+    kinds[128:] = 5
+    return kinds
 
-    The tokenizer never joins what white space parts, so a text's ids are those of its
-    words in order, and words repeat: each is given to the tokenizer once.
+
+KINDS = _kinds()
+
+
+class UnitIds:
+    """Token ids of whole texts, by units that repeat.
+
+    The tokenizer never joins what white space parts, nor a letter, a digit or punctuation
+    with another of these (next to an apostrophe or a byte beyond ASCII it may, so nothing is
+    cut there), and it takes upper case for lower. So a text's ids are those of its units in
+    order, and each unit is given to the tokenizer once; a unit is known by 64 hash bits.
+    Texts with combining marks, which may compose with a letter of one case only, and texts
+    with control strings are given to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes | None) -> bytes:
-        """Little-endian 32-bit ids, without an end mark."""
-        words = (text or b"").split()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)  # sorted
+        self.offset = self.length = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        """Adds units; ``hashes`` are sorted and new."""
+        plain = [u.isalpha() and max(u) < "\u0250" for u in units]
+        simple, other = [u for u, p in zip(units, plain) if p], [u for u, p in zip(units, plain) if not p]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(simple):
+            raise RuntimeError("a unit isn't one word of the tokenizer")
+        odd = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        length = np.zeros(len(units), np.int64)
+        offset = np.zeros(len(units), np.int64)
+        mask = np.array(plain)
+        length[mask] = np.diff(ends, prepend=0)
+        offset[mask] = ends - length[mask]
+        length[~mask] = [len(x) for x in odd]
+        offset[~mask] = len(ids) + np.cumsum(length[~mask]) - length[~mask]
+        at = np.searchsorted(self.hashes, hashes)
+        self.offset = np.insert(self.offset, at, offset + len(self.pool))
+        self.length = np.insert(self.length, at, length)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.pool = np.concatenate([self.pool, ids, *odd])
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        raw = np.frombuffer(b"\n".join(t.lower() for t in texts) + b"\n", np.uint8)
+        kind = KINDS[raw]
+        now, after = kind[:-1], kind[1:]
+        split = (now != after) | (now == 2)  # digits are tokens of their own
+        split &= (now < 4) & (after < 4)
+        begins = np.flatnonzero((kind > 0) & np.concatenate([[True], split | (now == 0)]))
+        ends = np.flatnonzero((kind > 0) & np.concatenate([split | (after == 0), [True]])) + 1
+        power, inverse = powers(1 << int(len(raw)).bit_length())
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])])
+        found, first, where = np.unique((total[ends] - total[begins]) * inverse[begins], return_index=True, return_inverse=True)
+        if len(self.hashes) + len(found) > REMEMBERED:
+            self.forget()
+        at = np.searchsorted(self.hashes, found)
+        new = np.ones(len(found), bool)
+        if len(self.hashes):
+            new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != found
+        if new.any():
+            text = raw.tobytes()
+            self._learn(found[new], [text[x:y].decode() for x, y in zip(begins[first[new]].tolist(), ends[first[new]].tolist())])
+            at = np.searchsorted(self.hashes, found)
+        row = at[where]
+        length = self.length[row]
+        behind = np.cumsum(length)
+        ids = self.pool[np.repeat(self.offset[row] - behind + length, length) + np.arange(behind[-1] if len(behind) else 0)]
+        limits = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))
+        cuts = np.concatenate([[0], behind])[limits]
+        return np.split(ids, cuts[:-1]) if texts else []
+
+    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; odd texts go to the tokenizer whole."""
+        odd = [i for i, t in enumerate(texts) if b"<|" in t or b"\xcc" in t or b"\xcd" in t]
+        out = self([b"" if i in set(odd) else t for i, t in enumerate(texts)] if odd else texts)
+        for i in odd:
+            out[i] = np.array(self.tokenizer.encode_batch_fast([texts[i].decode()], add_special_tokens=False)[0].ids, np.uint32)
+        return out
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    odd = 0x9E3779B97F4A7C15
+    both = (np.uint64(odd), np.uint64(pow(odd, -1, 1 << 64)))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, m, np.uint64)])) for m in both)
+
+
+@lru_cache(maxsize=2)
+def unit_ids(path: str) -> UnitIds:
+    """One for each worker and tokenizer: what it remembers serves all tasks of the worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return UnitIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, end_id: int = 0) -> DataFrame:
@@ -66,17 +156,23 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, end_id: int =
     mark = np.array([end_id], dtype="<u4").tobytes()
 
     def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer)
+        ids_of = unit_ids(tokenizer)
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(common.rows_of(batch, "doc_id"), common.bytes_of(batch, "text")):
-                ids = ids_of(text) + mark
-                for number, at in enumerate(range(0, len(ids), 4 * tokens)):
-                    part = ids[at : at + 4 * tokens]
-                    for column, value in zip(rows, (doc_id, number, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            doc_ids, texts = common.rows_of(batch, "doc_id"), [t or b"" for t in common.bytes_of(batch, "text")]
+            some, size = 0, 0
+            for i, text in enumerate(texts, 1):
+                size += len(text)
+                if size > CHUNK or i == len(texts):
+                    rows: list[list] = [[], [], [], [], []]
+                    for doc_id, ids in zip(doc_ids[some:i], ids_of.batch(texts[some:i])):
+                        ids = ids.astype("<u4").tobytes() + mark
+                        for number, at in enumerate(range(0, len(ids), 4 * tokens)):
+                            part = ids[at : at + 4 * tokens]
+                            for column, value in zip(rows, (doc_id, number, at // 4, len(part) // 4, zlib.crc32(part))):
+                                column.append(value)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    some, size = i, 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut_up, PIECES)
 

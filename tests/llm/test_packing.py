@@ -13,7 +13,7 @@ DOCS = "doc_id long, text string, piece int, start long"
 
 def test_contract(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    rows += [(9000, None), (9001, ""), (9002, "İstanbul’s   don't <|endoftext|> x\x1cy é ΑΣ Σ 12.5"), (9003, "long " * 20000), (None, "no id"), (9004, "twice"), (9004, "twice")]
+    rows += [(9000, None), (9001, ""), (9002, "İstanbul’s   don't <|endoftext|> x\x1cy é ΑΣ Σ 12.5"), (9003, "long " * 20000), (None, "no id"), (9004, "twice"), (9004, "twice"), (9005, "It's 3.5% of x--'s 'tis A1b2!? é...è. “q”. x'. Don'T \u1e98 W\u030a \u00bd+\u2460,9"), (9006, "<|ENDOFTEXT|> A,b")]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     expected = []
     for d, t in rows:
@@ -56,3 +56,12 @@ def test_every_constraint_holds(rule):
 def test_a_piece_beyond_a_capacity_is_refused():
     with pytest.raises(ValueError):
         op.Packer((10, 2, 50)).place(9)
+
+
+def test_units_equal_whole_texts():
+    ids_of, tokenizer = op.UnitIds(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    alphabet = "aB z.,'9\n-é…Ω²$<|_ \u0301\u00a0st"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    for text, ids in zip(texts, ids_of.batch([t.encode() for t in texts])):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
