@@ -32,8 +32,8 @@ from ledgerlake.llm import common
 
 WINDOW = 20
 GRAM = 4
-#: Strings of one minimiser that a task may hold; more are dealt by window.
-BUCKET = 2048
+#: Strings of one minimiser that a task may hold, about as many as a bucket holds; more are dealt by window.
+BUCKET = 50_000
 #: A minimiser counts towards the large ones from so many strings in one batch.
 FREQUENT = 16
 #: Bytes of text that are cut into segments at once.
