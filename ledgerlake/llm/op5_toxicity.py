@@ -14,6 +14,7 @@ Training data are a bounded sample of labelled rows: ``TRAIN_TOXIC`` and ``TRAIN
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import common
 
-TRAIN_TOXIC, TRAIN_OTHER = 3000, 4000
+TRAIN_TOXIC, TRAIN_OTHER = 2000, 3000
 PREFIXES = (4, 5, 6, 7)
 #: A feature is used if its smoothed odds ratio, less two standard errors of its logarithm, reaches this.
 LEAST_ODDS = 3.5
@@ -51,7 +52,7 @@ def words_of(text: str | None) -> set[str]:
 
 
 def word_features(word: str) -> list[str]:
-    return [f"={word}"] + [word[:n] for n in PREFIXES if len(word) >= n]
+    return [f"={word}"] + [sys.intern(word[:n]) for n in PREFIXES if len(word) >= n]
 
 
 @dataclass
