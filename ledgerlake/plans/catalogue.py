@@ -1,11 +1,569 @@
-"""The registered queries and their oracle SQL."""
+"""The registered queries, each with the SQL that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerlake.functions import hashing
+from ledgerlake.functions.times import millis
+from ledgerlake.functions.vectors import distance, is_valid
+from ledgerlake.operators import ann, compact, events, kv, metrics, state, stats, vector
+from ledgerlake.sources import inputs
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+DAY = 86_400_000
+NOW = 1_705_000_000_000  # 2024-01-11, within the events
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+M = """m as (select cast(user_id as varchar) as key, value, event_type = 'error' as tombstone,
+ case when event_type = 'view' then 432000000 end::bigint as ttl_ms, 0::bigint as term, event_id as idx, epoch_us(ts) // 1000 as ms from events)"""
+LIVE = "not tombstone and (ttl_ms is null or ms + ttl_ms > 1705000000000)"
+T = """t as (select event_id, epoch_us(ts) // 1000 as ms, (user_id % 8)::int as node, event_type as type,
+ case when event_type <> 'signup' then json_extract(props, '$.k')::int % 16 end as shard, value from events)"""
+R = """r as (select (year(o_orderdate) * 12 + month(o_orderdate))::bigint as file_number, (file_number % 4)::int as level, (file_number % 3)::int as slot,
+ count(*) * 120 as size, min(lpad(o_orderkey::varchar, 8, '0')) as min_key, max(lpad(o_orderkey::varchar, 8, '0')) as max_key, count(*) as entries,
+ count(*) filter (o_orderstatus = 'F') as tombstone_count from orders group by all)"""
+G = """g as (select event_id as seq, epoch_us(ts) // 1000 as ms, user_id % 40 as id, event_id % 7 as from_id,
+ case event_type when 'click' then 'suspect' when 'error' then 'failed' when 'purchase' then 'left' else 'alive' end as state, (event_id // 2000)::bigint as incarnation from events)"""
+S = """s as (select epoch_us(ts) // 1000 as ms, event_type as operation, (user_id % 4)::int as node, event_id,
+ (row_number() over (partition by event_type, user_id % 4 order by event_id) % 150)::double as value from events)"""
+NEWEST = "n as (select * from m qualify row_number() over (partition by key order by term desc, idx desc) = 1)"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its oracle SQL."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _log(spark, d):
+    return inputs.mutations(spark, d)
+
+
+# --- key-value -------------------------------------------------------------------------
+
+
+@query(f"with {M}, {NEWEST} select key, value, tombstone, ttl_ms, term, idx, ms from n where {LIVE}")
+def k0_state(spark, d):
+    return kv.state(_log(spark, d), NOW)
+
+
+@query(f"with {M}, {NEWEST} select key, value, tombstone, ttl_ms, term, idx, ms from n where {LIVE} and key = '17'")
+def k1_get(spark, d):
+    return kv.get(_log(spark, d), "17", NOW)
+
+
+@query(f"with {M}, {NEWEST} select key, value, tombstone, ttl_ms, term, idx, ms from n where {LIVE} and key in ('3', '5', '7', '11', 'none')")
+def k2_multi_get(spark, d):
+    return kv.multi_get(_log(spark, d), ["3", "5", "7", "11", "none"], NOW)
+
+
+@query(f"with {M}, {NEWEST} select key, value, idx from n where {LIVE} and key >= '1' and key < '5'")
+def k6_range_scan(spark, d):
+    return kv.scan(_log(spark, d), "1", "5", NOW).select("key", "value", "idx")
+
+
+@query(f"with {M}, {NEWEST} select key, value, idx from n where {LIVE} and key >= '3' order by key limit 12")
+def s4_seek(spark, d):
+    return kv.seek(_log(spark, d), "3", 12, NOW).select("key", "value", "idx")
+
+
+@query(f"with {M}, m2 as (select * from m where idx <= 500), {NEWEST.replace('from m', 'from m2')} select key, value, idx from n where {LIVE}")
+def f7_snapshot(spark, d):
+    return kv.state(_log(spark, d), NOW, (0, 500)).select("key", "value", "idx")
+
+
+@query(
+    f"""with {M}, b as (select n_nationkey::varchar as key, n_regionkey::double as value, n_nationkey % 5 = 0 as tombstone, case when n_nationkey % 3 = 0 then 1000 end::bigint as ttl_ms,
+ 0::bigint as term, 10000000 + row_number() over (order by n_nationkey) as idx, 1705000000000 - 5000 * (n_nationkey % 2) as ms from nation),
+ m2 as (select * from m union all select key, value, tombstone, ttl_ms, term, idx, 1705000000000 as ms from b), {NEWEST.replace('from m', 'from m2')} select key, value, idx from n where {LIVE}"""
+)
+def k5_write_batch(spark, d):
+    ops = inputs.table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("seq"), F.col("n_nationkey").cast("string").alias("key"), F.col("n_regionkey").cast("double").alias("value"), (F.col("n_nationkey") % 5 == 0).alias("tombstone"), F.when(F.col("n_nationkey") % 3 == 0, F.lit(1000).cast("long")).alias("ttl_ms")
+    )
+    return kv.state(kv.write_batch(_log(spark, d), ops, 10_000_000, NOW), NOW).select("key", "value", "idx")
+
+
+@query(
+    f"""with {M}, {NEWEST}, c as (select key, idx from n where {LIVE}), q as (select distinct cast(user_id as varchar) as key, event_id as expected_idx, value from events where event_id % 3 = 0 union all select 'missing', 1, 0.5),
+ j as (select q.*, case when c.idx is null then 'not_found' when c.idx = expected_idx then 'written' else 'conflict' end as outcome from q left join c using (key)) select key, expected_idx, value, outcome from j"""
+)
+def f15_compare_and_set(spark, d):
+    e = inputs.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("expected_idx"), "value")
+    return kv.compare_and_set(_log(spark, d), e.unionByName(spark.createDataFrame([("missing", 1, 0.5)], "key string, expected_idx long, value double")), NOW)
+
+
+@query("select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by event_id) = 1")
+def f16_idempotency(spark, d):
+    return kv.first_per_idempotency_key(inputs.table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query("select doc_id, octet_length(encode(text))::int as bytes, case when octet_length(encode(text)) = 0 then 'empty key' else 'key too long' end as reason from documents where octet_length(encode(text)) > 1024 or octet_length(encode(text)) = 0")
+def f13_size_limits(spark, d):
+    docs = inputs.table(spark, d, "documents").select("doc_id", F.col("text").alias("key"), F.lit("").alias("value"))
+    return kv.rejected(docs, "key", "value").select("doc_id", F.octet_length("key").alias("bytes"), "reason")
+
+
+@query("with l as (select event_id % 20 as segment, event_id as pos, event_type <> 'error' or event_id % 7 > 0 as ok from events), b as (select segment, min(pos) filter (not ok) as bad from l group by 1) select segment, pos from l join b using (segment) where bad is null or pos < bad")
+def s12_recover(spark, d):
+    log = inputs.table(spark, d, "events").select((F.col("event_id") % 20).alias("segment"), F.col("event_id").alias("pos"), ((F.col("event_type") != "error") | (F.col("event_id") % 7 > 0)).alias("ok"))
+    return kv.recover(log).select("segment", "pos")
+
+
+# --- compaction ------------------------------------------------------------------------
+
+ENTRIES = "e as (select cast(user_id as varchar) as key, value, event_type = 'error' as tombstone, event_id as run from events)"
+
+
+def _entries(spark, d):
+    return inputs.table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "value", (F.col("event_type") == "error").alias("tombstone"), F.col("event_id").alias("run"))
+
+
+@query(f"with {ENTRIES} select * from e qualify row_number() over (partition by key order by run desc) = 1")
+def c1_merge(spark, d):
+    return compact.merge(_entries(spark, d), False)
+
+
+@query(f"with {ENTRIES}, n as (select * from e qualify row_number() over (partition by key order by run desc) = 1) select * from n where not tombstone")
+def c6_cleanup(spark, d):
+    return compact.merge(_entries(spark, d), True)
+
+
+@query(f"with {R} select file_number, level, slot, size from r qualify level = 0 or row_number() over (partition by level, slot order by file_number) <= 2")
+def c3_tier_choice(spark, d):
+    return compact.oldest_runs(inputs.runs(spark, d), 2).select("file_number", "level", "slot", "size")
+
+
+@query(f"with {R} select file_number, min_key, max_key from r where max_key >= '00001000' and min_key < '00009000'")
+def f2_overlapping_runs(spark, d):
+    return inputs.runs(spark, d).where(compact.overlaps("00001000", "00009000")).select("file_number", "min_key", "max_key")
+
+
+def _num(k: str) -> str:
+    return "(" + " + ".join(f"ascii(substr({k}, {i}, 1))::double * {256 ** (8 - i)}" for i in range(1, 9)) + ")"
+
+
+@query(
+    f"""with {R}, o as (select *, greatest(min_key, '00000500') as low, least(max_key, '00000900') as high from r where max_key >= '00000500' and min_key < '00000900')
+ select coalesce(sum(floor(size * case when min_key >= '00000500' and max_key <= '00000900' then 1.0::double when min_key = max_key then 0.5::double else least(1.0::double, ({_num('high')} - {_num('low')}) / ({_num('max_key')} - {_num('min_key')})) end)), 0)::bigint as bytes, count(*) as files from o"""
+)
+def k8_approximate_size(spark, d):
+    return compact.approximate_size(inputs.runs(spark, d), "00000500", "00000900")
+
+
+@query("with k as (select distinct lpad(o_orderkey::varchar, 8, '0') as key from orders), n as (select key, row_number() over (order by key) - 1 as i, count(*) over () as n from k) select (i // (n // 16))::bigint as guard_id, key as guard from n where i > 0 and i % (n // 16) = 0 and i // (n // 16) < 16")
+def c15_guards(spark, d):
+    return compact.propose_guards(inputs.table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("key")), 16)
+
+
+@query("select ((key >= '00000300')::int + (key >= '00000700')::int + (key >= '00002000')::int) as slot, count(*) as n from (select lpad(o_orderkey::varchar, 8, '0') as key from orders) group by 1")
+def c17_slots(spark, d):
+    key = F.lpad(F.col("o_orderkey").cast("string"), 8, "0")
+    return inputs.table(spark, d, "orders").groupBy(compact.slot_of(key, ["00000300", "00000700", "00002000"]).alias("slot")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""with {R}, s as (select level, slot, count(*) as n, sum(size) as bytes, sum(tombstone_count) as tombstones, sum(entries) as entries from r group by all)
+ select level, slot, unnest(list_filter([case when level = 0 and n >= 4 then 'tier' end, case when level > 0 and n = 1 and level < 3 then 'promote' end, case when level > 0 and bytes > 1.5 * 40000 then 'split' end,
+ case when level > 0 and n > 3 then 'tier' end, case when level = 3 and tombstones / greatest(entries, 1) >= 0.15 then 'cleanup' end], lambda x: x is not null)) as action from s"""
+)
+def c8_candidates(spark, d):
+    return compact.candidates(inputs.runs(spark, d), 3, 40_000, 3)
+
+
+@query("select event_id, case when q >= 0.9 then 2 when q >= 0.75 then 2 when q >= 0.5 then 3 else 4 end as l0_threshold, case when q >= 0.9 then 0.0 when q >= 0.75 then 0.02 when q >= 0.5 then 0.05 else 0.1 end::double as epsilon, case when q >= 0.9 then 16 when q >= 0.75 then 32 when q >= 0.5 then 64 else 128 end as slice_mib from (select event_id, (event_id % 100) / 100.0 as q from events)")
+def c9_pressure_settings(spark, d):
+    s = compact.pressure_settings((F.col("event_id") % 100) / 100.0)
+    return inputs.table(spark, d, "events").select("event_id", *(v.alias(k) for k, v in s.items()))
+
+
+@query(
+    """with a as (select event_type as action, event_id as seq, value / 100 as reward, count(*) over (partition by event_type) - row_number() over (partition by event_type order by event_id) as later,
+ row_number() over (partition by event_type order by event_id) = 1 as first from events), b as (select action, sum(reward * pow(0.9, later) * case when first then 1.0 else 0.1 end) as mean, count(*) as n from a group by 1)
+ select action, round(mean, 6) as mean, n, round(mean + 2.0 * sqrt(ln((select sum(n) from b)) / n), 6) as ucb from b"""
+)
+def c11_ucb(spark, d):
+    r = inputs.table(spark, d, "events").select(F.col("event_type").alias("action"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("reward"))
+    return compact.ucb(compact.arm_statistics(r)).select("action", F.round("mean", 6).alias("mean"), "n", F.round("ucb", 6).alias("ucb"))
+
+
+@query("select event_id, case when event_id % 50 = 0 then 0::double else value * 0.5::double / (event_id % 50)::double * (case when q >= 0.9 then 3 when q >= 0.75 then 2 when q >= 0.5 then 1.5 else 1 end)::double * (case when event_id % 2 = 0 and q >= 0.75 then 1.5 else 1 end)::double end as reward from (select *, (event_id % 100)::double / 100 as q from events)")
+def c13_reward(spark, d):
+    ratio = (F.col("event_id") % 100) / 100.0
+    found = compact.reward(F.col("value"), F.lit(0.5), F.col("event_id") % 50, ratio, F.col("event_id") % 2 == 0)
+    return inputs.table(spark, d, "events").select("event_id", found.alias("reward"))
+
+
+@query("with s as (select (o_orderkey % 5)::int as level, (o_custkey % 7 * o_custkey % 3)::int as slot, count(*) as bytes, min(o_orderkey) * 1000 as compacted_ms from orders group by 1, 2), l as (select level, count(*) as n, sum(bytes) as bytes, max(bytes) as largest, max(compacted_ms) as last from s group by 1) select level, round(largest / (bytes / n), 6) as ratio from l where n > 1 and bytes >= 10 and largest / (bytes / n) >= 3 and last <= 1705000000000 - 3600000")
+def c14_imbalance(spark, d):
+    o = inputs.table(spark, d, "orders")
+    s = o.groupBy((F.col("o_orderkey") % 5).cast("int").alias("level"), (F.col("o_custkey") % 7 * F.col("o_custkey") % 3).cast("int").alias("slot")).agg(F.count("*").alias("bytes"), (F.min("o_orderkey") * 1000).alias("compacted_ms"))
+    return compact.imbalanced_levels(s, NOW, 10).select("level", F.round("ratio", 6).alias("ratio"))
+
+
+EDITS = "e as (select o_orderkey * 2 as seq, 'add' as edit, (o_orderkey % 3)::int as level, (o_custkey % 4)::int as slot, o_orderkey as file_number, o_custkey as size from orders union all select o_orderkey * 2 + 1, 'delete', (o_orderkey % 3)::int, (o_custkey % 4)::int, o_orderkey, o_custkey from orders where o_orderkey % 4 = 0)"
+
+
+@query(f"with {EDITS}, l as (select * from e qualify row_number() over (partition by level, slot, file_number order by seq desc) = 1) select level, slot, file_number, size from l where edit = 'add'")
+def a30_manifest(spark, d):
+    o = inputs.table(spark, d, "orders")
+    part = lambda f, seq, edit: f.select(seq.alias("seq"), F.lit(edit).alias("edit"), (F.col("o_orderkey") % 3).cast("int").alias("level"), (F.col("o_custkey") % 4).cast("int").alias("slot"), F.col("o_orderkey").alias("file_number"), F.col("o_custkey").alias("size"))
+    return compact.fold_manifest(part(o, F.col("o_orderkey") * 2, "add").unionByName(part(o.where("o_orderkey % 4 = 0"), F.col("o_orderkey") * 2 + 1, "delete")))
+
+
+# --- statistics ------------------------------------------------------------------------
+
+
+@query(f"with {R} select level, count(*) as files, sum(size)::bigint as bytes, count(distinct slot) as slots from r group by 1")
+def a16_levels(spark, d):
+    return stats.levels(inputs.runs(spark, d))
+
+
+@query("select round(sum(l_extendedprice) / sum(l_extendedprice * (1 - l_discount)), 6) as compaction_ratio, round(sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice), 6) as write_amplification, round(sum(l_extendedprice) - sum(l_extendedprice * (1 - l_discount)), 0) as saved, count(*) as n from lineitem")
+def a11_amplification(spark, d):
+    r = inputs.table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("bytes_in"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("bytes_out"))
+    return stats.amplification(r).select(F.round("compaction_ratio", 6).alias("compaction_ratio"), F.round("write_amplification", 6).alias("write_amplification"), F.round("saved", 0).alias("saved"), "n")
+
+
+@query("select p, count(*) as n, round(avg(0.4 * q + 0.4 * q / 2 + 0.2 * q / 4), 6) as score from (select (event_id % 130)::double / 100 as q, case when q >= 1.1 then 4 when q >= 0.9 then 3 when q >= 0.75 then 2 when q >= 0.5 then 1 else 0 end as p from events) group by 1")
+def a17_pressure(spark, d):
+    q = (F.col("event_id") % 130).cast("double") / 100
+    return inputs.table(spark, d, "events").groupBy(stats.pressure(q).alias("p")).agg(F.count("*").alias("n"), F.round(F.avg(stats.pressure_score(q, q / 2, q / 4)), 6).alias("score"))
+
+
+@query(
+    f"""with o as (select user_id % 16 as slot, event_id as seq, case event_type when 'view' then 1.0 when 'click' then 2.0 when 'error' then 0.5 when 'purchase' then 0.5 else 0.0 end as w from events),
+ p as (select slot, w * {stats.alpha(100)!r} * pow(1 - {stats.alpha(100)!r}, count(*) over (partition by slot) - row_number() over (partition by slot order by seq)) as h from o),
+ q as (select slot, sum(h) as heat from p group by 1) select slot, round(heat, 6) as heat, case when heat >= 0.8 then 'hot' when heat <= 0.2 then 'cold' else 'warm' end as class from q"""
+)
+def a18_heat(spark, d):
+    op = F.when(F.col("event_type") == "view", "get").when(F.col("event_type") == "click", "scan").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "put").otherwise("other")
+    o = inputs.table(spark, d, "events").select((F.col("user_id") % 16).alias("slot"), F.col("event_id").alias("seq"), op.alias("op"))
+    return stats.heat(o, 100).select("slot", F.round("heat", 6).alias("heat"), stats.slot_class(F.col("heat")).alias("class"))
+
+
+@query(f"with {R} select round(sum(tombstone_count) / sum(floor(size / 100)), 6) as density from r")
+def a29_tombstone_density(spark, d):
+    return stats.tombstone_density(inputs.runs(spark, d)).select(F.round("density", 6).alias("density"))
+
+
+# --- events ----------------------------------------------------------------------------
+
+
+@query(f"with {T} select event_id, node, type, shard from t where node in (1, 3) and type in ('click', 'signup') and (shard is null or shard in (2, 4, 6))")
+def f8_filter(spark, d):
+    return inputs.telemetry(spark, d).where(events.matches([1, 3], ["Click", "signup"], [2, 4, 6])).select("event_id", "node", "type", "shard")
+
+
+@query("select event_id, array_to_string(list_filter([try_cast(event_id as int), try_cast('x' as int), 7], lambda x: x is not null), ',') as numbers, lower(event_type) || ',b' as names from events")
+def f11_parse(spark, d):
+    text = F.concat(F.col("event_id").cast("string"), F.lit(" , x,7"))
+    names = F.concat(F.lit(" "), F.upper("event_type"), F.lit(", ,B"))
+    return inputs.table(spark, d, "events").select("event_id", F.array_join(events.parse_numbers(text).cast("array<string>"), ",").alias("numbers"), F.array_join(events.parse_names(names), ",").alias("names"))
+
+
+COUNTS = ", ".join(f"count(*) filter (type = '{t}') as n_{t}" for t in TYPES)
+BATCHES = f"b as (select ms - ms % 3600000 as window_start, count(*) as n, {COUNTS}, ms - ms % 3600000 + 3600000 as window_end from t group by 1, ms - ms % 3600000)"
+
+
+def _batches(spark, d):
+    return events.coalesce_windows(inputs.telemetry(spark, d), 3_600_000, TYPES)
+
+
+@query(f"with {T}, {BATCHES} select * from b")
+def r1_coalesce(spark, d):
+    return _batches(spark, d)
+
+
+@query(f"with {T}, {BATCHES} select window_start, window_end, n from b where window_end >= (select max(window_end) from b) - 10 * 86400000 order by window_end desc limit 200")
+def r2_retention(spark, d):
+    return events.retain(_batches(spark, d), 10 * DAY, 200).select("window_start", "window_end", "n")
+
+
+@query(f"with {T}, {BATCHES} select window_start, window_end, n from b where window_start >= 1704500000000 and window_end <= 1705000000000")
+def r3_replay(spark, d):
+    return events.replay(_batches(spark, d), 1_704_500_000_000, NOW).select("window_start", "window_end", "n")
+
+
+@query(f"with {T} select node, ms - ms % 86400000 + 43200000 as mid_ms, arg_max(value, (ms, event_id)) as last, round(avg(value), 6) as mean, max(value) as most, min(value) as least, round(sum(value), 4) as total from t group by 1, 2")
+def r7_downsample(spark, d):
+    return events.downsample(inputs.telemetry(spark, d), ["node"], DAY).select("node", "mid_ms", "last", F.round("mean", 6).alias("mean"), "most", "least", F.round("total", 4).alias("total"))
+
+
+@query(f"with {T} select type, min(value) as least, max(value) as most, round(avg(value), 6) as mean, count(value) as n from t group by 1")
+def a5_series(spark, d):
+    return events.series_statistics(inputs.telemetry(spark, d), ["type"]).select("type", "least", "most", F.round("mean", 6).alias("mean"), "n")
+
+
+@query(f"with {T}, l as (select type, list_sort(list(value)) as v, count(*) as n from t group by 1) select type, v[floor(n * 0.5)::int + 1] as p50, v[floor(n * 0.95)::int + 1] as p95, v[floor(n * 0.99)::int + 1] as p99 from l")
+def a6_percentiles(spark, d):
+    return events.percentiles(inputs.telemetry(spark, d), ["type"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+@query(f"with {T}, h as (select (value >= 1)::int + (value >= 10)::int + (value >= 50)::int + (value >= 100)::int + (value >= 1000000)::int as bucket, count(*) as n from t where value is not null group by 1), e as (select unnest(['<1', '1-10', '10-50', '50-100', '100-1e+06', '>=1e+06']) as label, unnest(range(6))::int as bucket) select bucket, label, coalesce(n, 0) as n from e left join h using (bucket)")
+def a7_histogram(spark, d):
+    return events.histogram(inputs.telemetry(spark, d), [1.0, 10.0, 50.0, 100.0, 1_000_000.0])
+
+
+@query(f"with {T}, b as (select pow(2, unnest(range(10)))::double as le) select le, count(*) filter (value <= le) as n from b, t group by 1")
+def a8_cumulative_histogram(spark, d):
+    return events.cumulative_histogram(inputs.telemetry(spark, d), 10)
+
+
+@query(f"with {T} select type, event_id, value from t qualify row_number() over (partition by type order by ms desc, event_id desc) <= 10")
+def w6_last_n(spark, d):
+    return events.last_n(inputs.telemetry(spark, d), ["type"], 10).select("type", "event_id", "value")
+
+
+@query(f"with {T}, r as (select node, value, row_number() over (partition by node order by ms, event_id) <= count(*) over (partition by node) // 2 as early from t) select node, avg(value) filter (not early) > avg(value) filter (early) as rising from r group by 1")
+def w7_trend(spark, d):
+    return events.trend(inputs.telemetry(spark, d), ["node"])
+
+
+@query(f"with {T} select event_id, round(sum(value) over w, 4) as window_total, count(*) over w as window_n from t window w as (partition by node order by ms range between 3600000 preceding and current row)")
+def a22_sliding(spark, d):
+    return events.sliding_total(inputs.telemetry(spark, d), ["node"], 3_600_000).select("event_id", F.round("window_total", 4).alias("window_total"), "window_n")
+
+
+@query(f"with {T}, p as (select distinct node, ms - ms % 86400000 as at from t where type = 'view'), f as (select * from t where type = 'error') select p.node, p.at, (select arg_max(f.value, (f.ms, f.event_id)) from f where f.node = p.node and f.ms <= p.at) as value from p")
+def j5_as_of(spark, d):
+    t = inputs.telemetry(spark, d)
+    points = t.where("type = 'view'").select("node", (F.col("ms") - F.col("ms") % DAY).alias("at")).distinct()
+    return events.as_of(points, t.where("type = 'error'"), "node", "at", "ms", "value")
+
+
+@query(f"with {T}, e as (select 1705000000000 - 1705000000000 % 60000 - 60000 * unnest(range(600)) as minute_ms), c as (select ms - ms % 60000 as minute_ms, count(*) as n from t group by 1) select minute_ms, coalesce(n, 0) as n from e left join c using (minute_ms)")
+def r10_per_minute(spark, d):
+    return events.per_minute(inputs.telemetry(spark, d), NOW, 600)
+
+
+# --- cluster state ---------------------------------------------------------------------
+
+
+@query(f"with {G}, l as (select id, arg_max(state, seq) as state from g group by 1) select count(*) as total, count(*) filter (state = 'alive') as alive, count(*) filter (state = 'suspect') as suspect, count(*) filter (state = 'failed') as dead, count(*) filter (state in ('suspect', 'failed')) = 0 as healthy from l")
+def a9_health(spark, d):
+    return state.health(state.latest_status(inputs.gossip(spark, d)))
+
+
+@query(f"with {G}, c as (select *, lag(state, 1, 'alive') over (partition by id order by seq) as before from g) select id, seq, before, state from c where state <> before qualify row_number() over (partition by id order by seq desc) <= 20")
+def w2_transitions(spark, d):
+    return state.transitions(inputs.gossip(spark, d), 20)
+
+
+@query(
+    f"""with recursive {G}, o as (select *, row_number() over (partition by id order by seq) as k from g),
+ f as (select id, 1 as k, state, incarnation from o where k = 1 union all
+ select f.id, f.k + 1, case when takes then o.state else f.state end, case when takes then o.incarnation else f.incarnation end from f join o on o.id = f.id and o.k = f.k + 1,
+ lateral (select f.state <> 'left' and (o.incarnation > f.incarnation or (o.incarnation = f.incarnation and ((f.state = 'alive' and o.state = 'suspect') or (f.state = 'suspect' and o.state = 'failed') or o.state = 'left'))) as takes))
+ select id, arg_max(state, k) as state, arg_max(incarnation, k) as incarnation from f group by 1"""
+)
+def d18_members(spark, d):
+    return state.members(inputs.gossip(spark, d))
+
+
+@query(f"with {G} select id, count(distinct from_id) as suspected_by from g where state = 'suspect' group by 1")
+def a28_suspicions(spark, d):
+    return state.suspicions(inputs.gossip(spark, d))
+
+
+@query(f"with {G}, w as (select *, max(case when state = 'suspect' then seq end) over (partition by id order by seq rows between unbounded preceding and 1 preceding) as s from g) select w.id, w.seq, w.ms - g.ms as latency_ms from w left join g on g.seq = w.s where w.state = 'failed'")
+def w4_confirm_latency(spark, d):
+    return state.confirm_latency(inputs.gossip(spark, d))
+
+
+@query(f"with {T}, e as (select shard, ms, event_id, event_id // 50 as term from t where shard is not null), b as (select *, coalesce(max(term) over (partition by shard order by ms, event_id rows between unbounded preceding and 1 preceding), 0) as before from e) select shard, max(term) as term, count(*) filter (term > before) as elections, max(case when term > before then ms end) as last_ms from b group by 1")
+def w3_elections(spark, d):
+    t = inputs.telemetry(spark, d).where("shard is not null").select("shard", "ms", "event_id", F.floor(F.col("event_id") / 50).alias("term"))
+    return state.elections(t)
+
+
+@query(f"with {T}, c as (select shard, ms // 86400000 as w, count(*) as n from t where shard is not null group by 1, 2 having count(*) > 3) select shard, count(*) as windows, max(n) as most from c group by 1")
+def r11_storms(spark, d):
+    return state.storms(inputs.telemetry(spark, d), DAY, 3)
+
+
+@query("with h as (select event_id as id, user_id as key, epoch_us(ts) // 1000 as i, epoch_us(ts) // 1000 + (event_id % 100) * 1000000 as r from events) select a.id, count(b.id) as n from h a left join h b on a.key = b.key and b.r < a.i group by 1")
+def j6_happens_before(spark, d):
+    ms = millis("ts")
+    h = inputs.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), ms.alias("invoke_ms"), (ms + F.col("event_id") % 100 * 1_000_000).alias("return_ms"))
+    return state.happens_before(h)
+
+
+@query("with o as (select s_suppkey as shard, s_nationkey % 5 as node from supplier), n as (select s_suppkey as shard, (s_nationkey + s_suppkey % 2) % 5 as node from supplier) select *, 'added' as change from (select * from n except all select * from o) union all select *, 'removed' from (select * from o except all select * from n)")
+def j10_placement_diff(spark, d):
+    s = inputs.table(spark, d, "supplier")
+    return state.placement_diff(s.select(F.col("s_suppkey").alias("shard"), (F.col("s_nationkey") % 5).alias("node")), s.select(F.col("s_suppkey").alias("shard"), ((F.col("s_nationkey") + F.col("s_suppkey") % 2) % 5).alias("node")))
+
+
+@query("with p as (select o_custkey as shard, o_orderkey as matched from orders) select shard, (list_sort(list(matched), 'desc'))[(count(*) // 2)::int + 1] as commit from p group by 1")
+def a24_commit_index(spark, d):
+    return state.commit_index(inputs.table(spark, d, "orders").select(F.col("o_custkey").alias("shard"), F.col("o_orderkey").alias("matched")))
+
+
+@query("select n_name, r_name, count(c_custkey) as customers from nation left join region on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey and c_acctbal < 0 group by 1, 2")
+def j9_left_join(spark, d):
+    t = lambda n: inputs.table(spark, d, n)
+    joined = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(t("customer").where("c_acctbal < 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return joined.groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("customers"))
+
+
+# --- metric recipes --------------------------------------------------------------------
+
+RATE = "i as (select *, case when lag(value) over w is null then 0 when value < lag(value) over w then value else value - lag(value) over w end as increase from s window w as (partition by operation, node order by event_id)), q as (select operation, node, ms - ms % 86400000 as window_start, sum(increase) / 86400 as rate from i group by all)"
+
+
+def _rates(spark, d):
+    return metrics.rate(inputs.samples(spark, d), ["operation", "node"], DAY)
+
+
+@query(f"with {S}, {RATE} select operation, node, window_start, round(rate, 9) as rate from q")
+def p1_rate(spark, d):
+    return _rates(spark, d).select("operation", "node", "window_start", F.round("rate", 9).alias("rate"))
+
+
+@query(f"with {S}, {RATE}, o as (select operation, window_start, sum(rate) as rate from q group by all) select operation, window_start, round(rate, 9) as rate, round(100 * rate / sum(rate) over (partition by window_start), 6) as percent from o")
+def p3_share(spark, d):
+    totals = _rates(spark, d).groupBy("operation", "window_start").agg(F.sum("rate").alias("rate"))
+    return metrics.share(totals, ["window_start"], "rate").select("operation", "window_start", F.round("rate", 9).alias("rate"), F.round("percent", 6).alias("percent"))
+
+
+@query(
+    f"""with {T}, b as (select unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 'infinity'::double]) as le), c as (select type, le, count(*) filter (value <= le) as n from b, t group by 1, 2),
+ w as (select *, lag(le, 1, 0) over o as low, lag(n, 1, 0) over o as below, max(n) over (partition by type) as total from c window o as (partition by type order by le))
+ select type, round(case when le = 'infinity'::double then low else low + (le - low) * (0.95 * total - below) / (n - below) end, 6)::double as quantile from w where n >= 0.95 * total and below < 0.95 * total"""
+)
+def p4_histogram_quantile(spark, d):
+    bounds = [float(1 << i) for i in range(9)] + [float("inf")]
+    t = inputs.telemetry(spark, d).groupBy("type").agg(F.array(*(F.struct(F.lit(b).alias("le"), F.count_if(F.col("value") <= b).alias("n")) for b in bounds)).alias("b"))
+    return metrics.histogram_quantile(t.select("type", F.inline("b")), ["type"], 0.95).select("type", F.round("quantile", 6).alias("quantile"))
+
+
+@query(f"with {S} select operation, node, ms - ms % 86400000 as window_start, arg_max(value, event_id) - arg_min(value, event_id) as delta from s group by all")
+def p9_delta(spark, d):
+    return metrics.gauge_delta(inputs.samples(spark, d), ["operation", "node"], DAY)
+
+
+@query("select s_suppkey, s_nationkey, round(max(s_acctbal) over (partition by s_nationkey) - s_acctbal, 2) as lag from supplier")
+def p8_replication_lag(spark, d):
+    s = inputs.table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return metrics.lag_behind(s, "s_nationkey", "s_acctbal").select("s_suppkey", "s_nationkey", F.round("lag", 2).alias("lag"))
+
+
+@query(f"with {T}, r as (select *, sum(case when value > 5 then 0 else 1 end) over (partition by node order by event_id rows unbounded preceding) as run from t), g as (select node, run, min(event_id) as begin_ms, max(event_id) as end_ms from r where value > 5 group by 1, 2) select node, begin_ms, end_ms from g where end_ms - begin_ms >= 40")
+def p10_sustained(spark, d):
+    return metrics.sustained(inputs.telemetry(spark, d), ["node"], "event_id", "value > 5", 40)
+
+
+# --- vectors ---------------------------------------------------------------------------
+
+DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::double * {b}[i]::double))"
+L2 = "sqrt(list_sum(list_transform(range(1, 65), lambda i: ({a}[i]::double - {b}[i]::double) ** 2)))"
+COS = f"1 - {DOT} / sqrt({DOT.format(a='{a}', b='{a}')} * {DOT.format(a='{b}', b='{b}')})"
+PAIR = {"a": "v.embedding", "b": "q.embedding"}
+
+
+def _vectors(spark, d):
+    return inputs.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
+
+
+def _first(spark, d, n):
+    return [(r[0], list(r[1])) for r in _vectors(spark, d).where(F.col("vec_id") < n).orderBy("vec_id").select("vec_id", "embedding").collect()]
+
+
+@query(f"select v.vec_id, round({L2.format(**PAIR)}, 6) as distance from embeddings v, embeddings q where q.vec_id = 0 order by {L2.format(**PAIR)}, v.vec_id limit 10")
+def v5_exact_knn(spark, d):
+    return vector.nearest(_vectors(spark, d), _first(spark, d, 1)[0][1], 10).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"select v.vec_id, round({COS.format(**PAIR)}, 6) as distance from embeddings v, embeddings q where q.vec_id = 3 order by {COS.format(**PAIR)}, v.vec_id limit 10")
+def n9_cosine_knn(spark, d):
+    return vector.nearest(_vectors(spark, d), _first(spark, d, 4)[3][1], 10, "cosine").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"select v.vec_id, round(-{DOT.format(**PAIR)}, 6) as distance from embeddings v, embeddings q where q.vec_id = 5 order by -{DOT.format(**PAIR)}, v.vec_id limit 10")
+def n10_inner_product_knn(spark, d):
+    return vector.nearest(_vectors(spark, d), _first(spark, d, 6)[5][1], 10, "inner_product").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"with p as (select q.vec_id as query_id, v.vec_id, {L2.format(**PAIR)} as distance from embeddings v, embeddings q where q.vec_id % 20 = 0) select query_id, vec_id, round(distance, 5) as distance, row_number() over (partition by query_id order by distance, vec_id)::int as rank from p qualify rank <= 5")
+def v6_batched_knn(spark, d):
+    v = _vectors(spark, d)
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector.nearest_of_many(v, q, 5).select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
+
+
+@query(f"with d as (select v.vec_id, v.label, {L2.format(**PAIR)} as distance from embeddings v, embeddings q where q.vec_id = 0), t as (select * from d qualify row_number() over (partition by label order by distance, vec_id) <= 10) select vec_id, round(min(distance), 6) as distance from t group by 1 order by min(distance), vec_id limit 5")
+def v9_tiered(spark, d):
+    v, q = _vectors(spark, d), _first(spark, d, 1)[0][1]
+    tiers = [vector.nearest(v.where(F.col("label") == n), q, 10) for n in range(10)]
+    return vector.merge_tiers(tiers, 5).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("with l as (select vec_id % 100 as vec_id, vec_id as seq, vec_id % 9 = 0 as deleted from embeddings) select vec_id, seq from l qualify row_number() over (partition by vec_id order by seq desc) = 1 and not deleted")
+def v2_upsert_delete(spark, d):
+    log = inputs.table(spark, d, "embeddings").select((F.col("vec_id") % 100).alias("vec_id"), F.array(F.col("vec_id").cast("double")).alias("embedding"), F.col("vec_id").alias("seq"), (F.col("vec_id") % 9 == 0).alias("deleted"))
+    return vector.newest_vectors(log).select("vec_id", F.col("embedding")[0].cast("long").alias("seq"))
+
+
+@query("select label, count(*) as n, count(*) filter (len(embedding) = 64 and vec_id % 3 > 0) as valid from embeddings group by 1")
+def f14_validity(spark, d):
+    broken = F.when(F.col("vec_id") % 3 == 0, F.concat("embedding", F.array(F.lit(float("nan")).cast("float")))).otherwise(F.col("embedding"))
+    v = inputs.table(spark, d, "embeddings").select("label", is_valid(broken, 64).alias("ok"))
+    return v.groupBy("label").agg(F.count("*").alias("n"), F.count_if("ok").alias("valid"))
+
+
+@query(f"select v.label, round(avg({L2.format(**PAIR)}), 5) as l2, round(avg({COS.format(**PAIR)}), 5) as cosine from embeddings v, embeddings q where q.vec_id = 7 group by 1")
+def n7_distances(spark, d):
+    q = F.array(*(F.lit(float(x)) for x in _first(spark, d, 8)[7][1]))
+    v = _vectors(spark, d).select("label", distance("l2", F.col("embedding"), q).alias("l"), distance("cosine", F.col("embedding"), q).alias("c"))
+    return v.groupBy("label").agg(F.round(F.avg("l"), 5).alias("l2"), F.round(F.avg("c"), 5).alias("cosine"))
+
+
+@query()
+def v15_quantised_search(spark, d):
+    v = _vectors(spark, d)
+    return ann.search_quantised(v, _first(spark, d, 10), ann.train_codebooks(v), 10)
+
+
+@query()
+def v8_graph_search(spark, d):
+    return ann.search_graphs(_vectors(spark, d), _first(spark, d, 10), 10)
+
+
+# --- routing ---------------------------------------------------------------------------
+
+
+@query()
+def n3_shards(spark, d):
+    key = F.col("url")
+    return inputs.table(spark, d, "pages").select("page_id", hashing.xxh64(key).alias("hash"), hashing.shard(key, 1024).alias("shard"))
+
+
+@query(
+    """with recursive j as (select o_orderkey as id, o_orderkey::hugeint as k, -1::bigint as b, 0::bigint as a from (select distinct o_orderkey from orders) union all
+ select id, (k * 2862933555777941757 + 1) % 18446744073709551616::hugeint, a, floor((a + 1) * (2147483648.0::double / ((((k * 2862933555777941757 + 1) % 18446744073709551616::hugeint) // 8589934592)::double + 1)))::bigint from j where a < 64)
+ select id as o_orderkey, max(b)::int as bucket from j group by 1"""
+)
+def n2_jump_hash(spark, d):
+    return inputs.table(spark, d, "orders").select("o_orderkey").distinct().select("o_orderkey", hashing.jump_bucket(F.col("o_orderkey"), 64).alias("bucket"))
