@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -44,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver collects its garbage, which a driver with little to do seldom does.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_checked(df: DataFrame, small: DataFrame, on, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a table (already cut) that is broadcast only if its counted rows allow it."""
     if small.limit(most + 1).count() <= most:

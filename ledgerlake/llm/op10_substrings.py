@@ -54,7 +54,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2^64."""
     inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
@@ -88,7 +88,7 @@ class Chunk:
         self.minis, self.cyclic = np.zeros(0, np.int64), np.zeros(0, bool)
         if n < window:
             return
-        power, inverse = _powers(1 << int(len(text)).bit_length())
+        power, inverse = _powers((len(text) | (1 << 20) - 1) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[: len(text)])])
         words = _mixed((total[self.ends] - total[self.begins]) * inverse[self.begins])
         grams = words[: n - gram + 1].copy()
@@ -164,7 +164,7 @@ def _segmenter(window: int, gram: int, large: np.ndarray, buckets: int):
     """Blocks of the packed strings of all minimisers but the ``large`` ones (sorted)."""
 
     def segment(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             for ids, marks, c in _chunks(batch, window, gram):
                 rest = ~_is_large(large, c.minis)
@@ -174,7 +174,7 @@ def _segmenter(window: int, gram: int, large: np.ndarray, buckets: int):
                 packed = [c.text[x:y] for x, y in zip(c.begins[first].tolist(), c.ends[behind + window - 2].tolist())]
                 doc_id = np.array(ids, np.int64)[doc]
                 repeat = _known(doc_id, start, packed)
-                fields = (c.minis[order], doc_id, np.array(marks, np.int32)[doc], start.astype(np.int32), (behind - first).astype(np.int32), c.cyclic[order].astype(np.int32), np.where(repeat, -1, [len(p) for p in packed]).astype(np.int32))
+                fields = (c.minis[order].astype(np.int32), doc_id, np.array(marks, np.int32)[doc], start.astype(np.int32), (behind - first).astype(np.int32), c.cyclic[order].astype(np.int32), np.where(repeat, -1, [len(p) for p in packed]).astype(np.int32))
                 starts = common.run_starts(bucket[order])
                 keys = bucket[order][starts[:-1]].astype(np.int32) if len(order) else np.zeros(0, np.int32)
                 blocks = []
@@ -187,9 +187,12 @@ def _segmenter(window: int, gram: int, large: np.ndarray, buckets: int):
 
 
 def _unpack(block: bytes) -> tuple[list[np.ndarray], list[bytes | None]]:
-    """(mini, doc_id, own, start, windows, cyclic) and the strings; None: windows known to be repeats."""
+    """(mini, doc_id, own, start, windows, cyclic) and the strings; None: windows known to be repeats.
+
+    32 bits of a minimiser are enough within a bucket: windows are compared by their words.
+    """
     n, at, fields = int(np.frombuffer(block[-4:], np.int32)[0]), 0, []
-    for kind in (np.int64, np.int64, *[np.int32] * 5):
+    for kind in (np.int32, np.int64, *[np.int32] * 5):
         fields.append(np.frombuffer(block, kind, n, at))
         at += fields[-1].nbytes
     strings: list[bytes | None] = []
@@ -333,6 +336,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranges = repeated_ranges(source, window, gram, bucket).groupBy("doc_id", "own").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     ranges = common.cut(ranges).withColumnsRenamed({"doc_id": "_id", "own": "_own"})
+    common.release(docs.sparkSession)
     own = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
     joined = source.join(ranges, (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("_id")) & (own == F.col("_own")), "left")
     return joined.select("doc_id", "text", "ranges").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
