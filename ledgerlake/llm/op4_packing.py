@@ -106,7 +106,7 @@ class UnitIds:
         split &= (now < 4) & (after < 4)
         begins = np.flatnonzero((kind > 0) & np.concatenate([[True], split | (now == 0)]))
         ends = np.flatnonzero((kind > 0) & np.concatenate([split | (after == 0), [True]])) + 1
-        power, inverse = powers(1 << int(len(raw)).bit_length())
+        power, inverse = powers((len(raw) | (1 << 20) - 1) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])])
         found, first, where = np.unique((total[ends] - total[begins]) * inverse[begins], return_index=True, return_inverse=True)
         if len(self.hashes) + len(found) > REMEMBERED:
