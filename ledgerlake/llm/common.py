@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,29 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidy() -> None:
+    """Gives memory back to the system: Spark's Python workers live on, and other stages use them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def kernel(run):
+    """A function over Arrow batches that tidies up behind itself."""
+
+    @wraps(run)
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidied
+
+
 def join_checked(df: DataFrame, small: DataFrame, on, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a table (already cut) that is broadcast only if its counted rows allow it."""
     if small.limit(most + 1).count() <= most:

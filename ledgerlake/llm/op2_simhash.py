@@ -101,12 +101,14 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
+@common.kernel
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         f = np.array([fingerprint(t) for t in common.bytes_of(batch, "text")], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], ["doc_id", "fp"])
 
 
+@common.kernel
 def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         f = batch.column(0).to_numpy().view(np.uint64)
@@ -153,6 +155,7 @@ def links_in(keys: list[np.ndarray], f: np.ndarray) -> tuple[np.ndarray, np.ndar
     return common.spanning_forest(np.concatenate(us), np.concatenate(vs))
 
 
+@common.kernel
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for runs in common.key_runs(batches, ["key", "cell"]):
         keys = [runs.column(k).to_numpy() for k in ("key", "cell")]

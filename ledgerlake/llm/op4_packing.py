@@ -30,7 +30,7 @@ from ledgerlake.llm import common
 TOKENS = 2048
 GROUP = 100_000
 #: Units whose ids a worker remembers, and bytes of text that are looked up at once.
-REMEMBERED, CHUNK = 2_000_000, 4_000_000
+REMEMBERED, CHUNK = 1_000_000, 1_000_000
 #: Sequences of the tightest levels that are scored before one is chosen.
 LOOKED_AT = 24
 
@@ -155,6 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, end_id: int =
     """The token pieces of ``docs(doc_id, text, ...)``; only documents beyond ``tokens`` are cut."""
     mark = np.array([end_id], dtype="<u4").tobytes()
 
+    @common.kernel
     def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = unit_ids(tokenizer)
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

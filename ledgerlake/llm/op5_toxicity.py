@@ -32,7 +32,7 @@ PREFIXES = (4, 5, 6, 7)
 LEAST_ODDS = 3.5
 ROUNDS = 500
 THRESHOLD = 0.7
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Names of groups, by kind; swaps stay within a kind.
 IDENTITIES = (
     ("women", "men", "girls", "boys", "transgender"),
@@ -164,6 +164,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(train(*sample_of(rows, labels)))
 
+    @common.kernel
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge, known = model.value, {}
         for batch in batches:

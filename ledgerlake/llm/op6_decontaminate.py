@@ -36,7 +36,7 @@ RADIUS, BLOCKS, BLOCK_BITS = 20, 4, 16
 ITEMS = 10_000
 #: Items of one index table (its size is BLOCKS * 65536 * INDEXED / 8 bytes).
 INDEXED = 512
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -228,6 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
         own = docs.sparkSession.sparkContext.broadcast([(i, t.encode()) for i, t in sorted(map(tuple, part.collect()), key=str)])
 
+        @common.kernel
         def find(batches: Iterable[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(Benchmark(own.value))
             for batch in batches:

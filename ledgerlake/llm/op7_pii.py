@@ -242,6 +242,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``text`` replaced by marks and ``n_chars`` brought up to date; null text stays null."""
     judge = docs.sparkSession.sparkContext.broadcast(learn(docs.select(F.col("text").cast("string").alias("text"))))
 
+    @common.kernel
     def replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else masked(t, all_spans(t, judge.value)[1]) for t in common.rows_of(batch, "text")]

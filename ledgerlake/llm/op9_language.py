@@ -32,7 +32,7 @@ WIDTH = 20
 LEXICON = 300
 ROUNDS = 40
 #: Words whose scores a worker remembers, and words of one forward-backward block.
-REMEMBERED, BLOCK = 400_000, 400_000
+REMEMBERED, BLOCK = 150_000, 150_000
 UNKNOWN = "und"
 #: A document whose best language has a smaller mean probability is rejected by the pipeline.
 LEAST_SCORE = 0.5
@@ -162,8 +162,8 @@ class Labeller:
         while n + len(new) > len(self.table):
             self.table, self.lettered = np.concatenate([self.table, self.table]), np.concatenate([self.lettered, self.lettered])
         plain = [letters(w) for w in new]
-        for i in range(0, len(new), 50_000):
-            self.table[n + i : n + i + len(plain[i : i + 50_000])] = self.model.scores(plain[i : i + 50_000])
+        for i in range(0, len(new), 20_000):
+            self.table[n + i : n + i + len(plain[i : i + 20_000])] = self.model.scores(plain[i : i + 20_000])
         self.lettered[n : n + len(new)] = [bool(w) for w in plain]
         self.known.update(zip(new, range(n, n + len(new))))
 
@@ -227,6 +227,7 @@ def identify(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(train(sample_of(rows)))
 
+    @common.kernel
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = model.value
         labeller = Labeller(crf) if crf else None
