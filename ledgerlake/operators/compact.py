@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -127,3 +127,14 @@ def fold_manifest(edits: DataFrame) -> DataFrame:
     """``edits(seq, edit, level, slot, file_number, size)``: files added and not deleted since."""
     last = edits.groupBy("level", "slot", "file_number").agg(F.max_by(F.struct("edit", "size"), "seq").alias("v"))
     return last.where("v.edit = 'add'").select("level", "slot", "file_number", "v.size")
+
+
+def slot_bounds(spark: SparkSession, guards: list[str]) -> DataFrame:
+    """(slot, low, high) of the slots between guards; the outermost bounds are null."""
+    edges = [None, *guards, None]
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "slot int, low string, high string")
+
+
+def slots_touched(start: Column, end: Column, guards: list[str]) -> tuple[Column, Column]:
+    """First and last slot that [start, end) touches: an end on a guard leaves that guard's slot out."""
+    return slot_of(start, guards), slot_of(end, guards) - end.isin(guards).cast("int") if guards else F.lit(0)

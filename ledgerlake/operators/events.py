@@ -126,3 +126,26 @@ def per_minute(events: DataFrame, end_ms: int, minutes: int) -> DataFrame:
     every = events.sparkSession.range(first, last + 1, 60_000).select(F.col("id").alias("minute_ms"))
     counts = events.where(f"ms >= {first} and ms < {last + 60_000}").groupBy(window_start("ms", 60_000).alias("minute_ms")).agg(F.count("*").alias("n"))
     return every.join(counts, "minute_ms", "left").select("minute_ms", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def totals(batches: DataFrame) -> DataFrame:
+    """Batches, events in them, and the time they span."""
+    return batches.agg(F.count("*").alias("batches"), F.sum("n").alias("events"), F.min("window_start").alias("oldest"), F.max("window_end").alias("newest"))
+
+
+def recent(batches: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest batches."""
+    return batches.orderBy(F.desc("window_end")).limit(n)
+
+
+def last_breach(events: DataFrame, key: list[str], condition: str) -> DataFrame:
+    """The newest event of each key that satisfies ``condition``; keys without one have no row."""
+    rest = [c for c in events.columns if c not in key]
+    return events.where(condition).groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("ms", "event_id")).alias("v")).select(*key, "v.*")
+
+
+def hit_ratio(events: DataFrame, key: list[str], hit: str, miss: str, width: int) -> DataFrame:
+    """Share of hits in the newest window of each key, and its mean over windows; windows with neither kind don't count."""
+    n = lambda t: F.count_if(F.col("type") == t)
+    each = events.where(F.col("type").isin(hit, miss)).groupBy(*key, window_start("ms", width).alias("w")).agg((n(hit) / F.count("*")).alias("ratio"))
+    return each.groupBy(*key).agg(F.max_by("ratio", "w").alias("current"), F.avg("ratio").alias("mean"))

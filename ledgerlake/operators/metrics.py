@@ -55,3 +55,9 @@ def sustained(points: DataFrame, key: list[str], at: str, condition: str, least:
     rows = rows.withColumn("_run", F.sum("_bad").over(Window.partitionBy(*key).orderBy(at)))
     runs = rows.where("_bad = 0").groupBy(*key, "_run").agg(F.min(at).alias("begin_ms"), F.max(at).alias("end_ms"))
     return runs.where(F.col("end_ms") - F.col("begin_ms") >= least).drop("_run")
+
+
+def gauge(samples: DataFrame, series: list[str], by: list[str]) -> DataFrame:
+    """Sum and maximum of the latest values of all series in each group."""
+    latest = samples.groupBy(*series).agg(F.max_by("value", "event_id").alias("value"))
+    return latest.groupBy(*by).agg(F.sum("value").alias("total"), F.max("value").alias("most"))

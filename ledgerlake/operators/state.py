@@ -86,3 +86,36 @@ def placement_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def commit_index(progress: DataFrame) -> DataFrame:
     """``progress(shard, node, matched)``: the largest index that a majority holds."""
     return progress.groupBy("shard").agg(F.element_at(F.sort_array(F.collect_list("matched"), asc=False), F.floor(F.count("*") / 2).cast("int") + 1).alias("commit"))
+
+
+def shards_per_leader(leaders: DataFrame) -> DataFrame:
+    """``leaders(shard, leader)``: how many shards each node leads; shards without a leader are a group of their own."""
+    return leaders.groupBy("leader").agg(F.count("*").alias("shards"))
+
+
+def failure_detection(gossip: DataFrame) -> DataFrame:
+    """Suspicions, failures, false alarms, mean time from suspicion to failure, failures per 100 suspicions (100 without any).
+
+    A false alarm is a node that is alive after a suspicion that no failure has followed.
+    """
+    before = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    since = lambda s: F.max(F.when(F.col("state") == s, F.struct("seq", "ms"))).over(before)
+    seen = gossip.select("state", "ms", since("suspect").alias("s"), since("failed").alias("f"))
+    is_ = lambda s: F.col("state") == s
+    alarm = is_("alive") & F.col("s").isNotNull() & (F.col("f").isNull() | (F.col("f.seq") < F.col("s.seq")))
+    found = seen.agg(
+        F.count_if(is_("suspect")).alias("suspects"), F.count_if(is_("failed")).alias("confirms"), F.count_if(alarm).alias("false_alarms"), F.coalesce(F.avg(F.when(is_("failed"), F.col("ms") - F.col("s.ms"))), F.lit(0.0)).alias("mean_ms")
+    )
+    return found.withColumn("accuracy", F.when(F.col("suspects") > 0, F.col("confirms") / F.col("suspects") * 100).otherwise(100.0))
+
+
+def snapshots(events: DataFrame) -> DataFrame:
+    """``events(shard, seq, ms, kind)``, kind ``start``, ``done`` or ``cutover``: what each shard's snapshot is at.
+
+    A cutover forgets what came before it, and a start forgets an earlier completion.
+    """
+    last = lambda k: F.max(F.when(F.col("kind") == k, F.struct("seq", "ms")))
+    found = events.groupBy("shard").agg(last("start").alias("s"), last("cutover").alias("c"), F.max_by(F.struct("kind", "ms"), "seq").alias("l"))
+    status = F.when(F.col("l.kind") == "start", "in_progress").when(F.col("l.kind") == "done", "completed").otherwise("idle")
+    started = F.when(F.col("c").isNull() | (F.col("s.seq") > F.col("c.seq")), F.col("s.ms"))
+    return found.select("shard", status.alias("status"), started.alias("started_ms"), F.when(F.col("l.kind") == "done", F.col("l.ms")).alias("completed_ms"))

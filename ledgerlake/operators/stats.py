@@ -57,3 +57,14 @@ def tombstone_density(runs: DataFrame) -> DataFrame:
     """Tombstones per estimated entry (100 bytes each, rounded down by file); 0 without entries."""
     total = runs.agg(F.sum("tombstone_count").alias("t"), F.sum(F.floor(F.col("size") / 100)).alias("e"))
     return total.select(F.when(F.col("e") == 0, 0.0).otherwise(F.col("t") / F.col("e")).alias("density"))
+
+
+def target_runs(heat_column: Column, current: Column, default: Column, pressed: Column) -> Column:
+    """Runs a slot may have: one if hot, one more up to the default if cold while writes press, else as many as now."""
+    kind = slot_class(heat_column)
+    return F.when(kind == "hot", 1).when((kind == "cold") & pressed, F.least(current + 1, default)).otherwise(current)
+
+
+def level_heat(slots: DataFrame, hot: float = 0.7) -> DataFrame:
+    """``slots(level, heat)``: mean, most and number of hot slots of each level."""
+    return slots.groupBy("level").agg(F.avg("heat").alias("mean"), F.max("heat").alias("most"), F.count_if(F.col("heat") > hot).alias("hot"))

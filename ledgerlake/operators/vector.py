@@ -93,3 +93,8 @@ def merge_tiers(tiers: list[DataFrame], k: int) -> DataFrame:
 def newest_vectors(log: DataFrame) -> DataFrame:
     """``log(vec_id, embedding, deleted, seq)``: the newest version of each id, deleted ones gone."""
     return log.groupBy("vec_id").agg(F.max_by(F.struct("embedding", "deleted"), "seq").alias("v")).where("not v.deleted").select("vec_id", "v.embedding")
+
+
+def namespaces(vectors: DataFrame, by: str = "label") -> DataFrame:
+    """Vectors and dimensions of each namespace."""
+    return vectors.groupBy(by).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dimensions"))

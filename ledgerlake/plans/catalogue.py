@@ -11,7 +11,7 @@ from ledgerlake.functions import hashing
 from ledgerlake.functions.times import millis
 from ledgerlake.functions.vectors import distance, is_valid
 from ledgerlake.operators import ann, compact, events, kv, metrics, state, stats, vector
-from ledgerlake.sources import inputs
+from ledgerlake.sources import inputs, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -567,3 +567,122 @@ def n3_shards(spark, d):
 )
 def n2_jump_hash(spark, d):
     return inputs.table(spark, d, "orders").select("o_orderkey").distinct().select("o_orderkey", hashing.jump_bucket(F.col("o_orderkey"), 64).alias("bucket"))
+
+
+# --- summaries -------------------------------------------------------------------------
+
+GUARDS = ["00000300", "00000700", "00002000"]
+SLOT = "((({k} >= '00000300')::int + ({k} >= '00000700')::int + ({k} >= '00002000')::int))"
+
+
+@query(f"with {T}, {BATCHES} select count(*) as batches, sum(n)::bigint as events, min(window_start) as oldest, max(window_end) as newest from b")
+def a2_totals(spark, d):
+    return events.totals(_batches(spark, d))
+
+
+@query(f"with {T}, {BATCHES} select window_start, window_end, n from b order by window_end desc limit 10")
+def r4_recent(spark, d):
+    return events.recent(_batches(spark, d), 10).select("window_start", "window_end", "n")
+
+
+@query(f"with {T} select node, arg_max(ms, (ms, event_id)) as ms, arg_max(event_id, (ms, event_id)) as event_id, arg_max(value, (ms, event_id)) as value from t where value > 50 group by 1")
+def w8_last_breach(spark, d):
+    return events.last_breach(inputs.telemetry(spark, d).select("node", "ms", "event_id", "value"), ["node"], "value > 50")
+
+
+@query(f"with {T}, w as (select node, ms // 86400000 as w, count(*) filter (type = 'view') / count(*) as ratio from t where type in ('view', 'click') group by 1, 2) select node, round(arg_max(ratio, w), 6) as current, round(avg(ratio), 6) as mean from w group by 1")
+def a14_hit_ratio(spark, d):
+    return events.hit_ratio(inputs.telemetry(spark, d), ["node"], "view", "click", DAY).select("node", F.round("current", 6).alias("current"), F.round("mean", 6).alias("mean"))
+
+
+@query(f"with {T}, l as (select * from t qualify row_number() over (partition by type order by ms desc, event_id desc) <= 10) select type, round(count(*) filter (event_id % 3 = 0) / count(*), 6) as explored, round(avg(value), 6) as mean from l group by 1")
+def a12_selection_statistics(spark, d):
+    last = events.last_n(inputs.telemetry(spark, d), ["type"], 10)
+    return last.groupBy("type").agg(F.round(F.count_if(F.col("event_id") % 3 == 0) / F.count("*"), 6).alias("explored"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(f"with {T}, l as (select shard, arg_max(node, event_id) filter (type = 'view' and shard % 5 > 0) as leader from t where shard is not null group by 1) select leader, count(*) as shards from l group by 1")
+def a10_leaders(spark, d):
+    view = (F.col("type") == "view") & (F.col("shard") % 5 > 0)
+    t = inputs.telemetry(spark, d).where("shard is not null").groupBy("shard").agg(F.max_by(F.when(view, F.col("node")), F.when(view, F.col("event_id"))).alias("leader"))
+    return state.shards_per_leader(t)
+
+
+@query(
+    f"""with {G}, p as (select *, max(case when state = 'suspect' then seq end) over w as s, max(case when state = 'failed' then seq end) over w as f from g window w as (partition by id order by seq rows between unbounded preceding and 1 preceding)),
+ j as (select p.*, g.ms as s_ms from p left join g on g.seq = p.s)
+ select count(*) filter (state = 'suspect') as suspects, count(*) filter (state = 'failed') as confirms, count(*) filter (state = 'alive' and s is not null and (f is null or f < s)) as false_alarms,
+ round(avg(ms - s_ms) filter (state = 'failed'), 3) as mean_ms, round(count(*) filter (state = 'failed') / count(*) filter (state = 'suspect') * 100, 6) as accuracy from j"""
+)
+def a15_failure_detection(spark, d):
+    return state.failure_detection(inputs.gossip(spark, d)).withColumns({"mean_ms": F.round("mean_ms", 3), "accuracy": F.round("accuracy", 6)})
+
+
+@query(
+    f"""with {T}, e as (select shard, event_id as seq, ms, case type when 'view' then 'start' when 'click' then 'done' else 'cutover' end as kind from t where shard is not null and type in ('view', 'click', 'error')),
+ l as (select shard, max(seq) filter (kind = 'start') as s, max(seq) filter (kind = 'cutover') as c, max(seq) as l from e group by 1)
+ select l.shard, case z.kind when 'start' then 'in_progress' when 'done' then 'completed' else 'idle' end as status, case when c is null or s > c then a.ms end as started_ms, case when z.kind = 'done' then z.ms end as completed_ms
+ from l left join e a on a.seq = s join e z on z.seq = l"""
+)
+def r9_snapshots(spark, d):
+    kind = F.when(F.col("type") == "view", "start").when(F.col("type") == "click", "done").otherwise("cutover")
+    t = inputs.telemetry(spark, d).where("shard is not null and type in ('view', 'click', 'error')")
+    return state.snapshots(t.select("shard", F.col("event_id").alias("seq"), "ms", kind.alias("kind")))
+
+
+@query("select (user_id % 4)::int as level, round(avg((event_id % 100) / 100), 6) as mean, max((event_id % 100) / 100) as most, count(*) filter ((event_id % 100) / 100 > 0.7::double) as hot from events group by 1")
+def a13_level_heat(spark, d):
+    slots = inputs.table(spark, d, "events").select((F.col("user_id") % 4).cast("int").alias("level"), (F.col("event_id") % 100 / 100).alias("heat"))
+    return stats.level_heat(slots).withColumn("mean", F.round("mean", 6))
+
+
+@query("select event_id, case when event_id % 100 >= 80 then 'hot' when event_id % 100 <= 20 then 'cold' else 'warm' end as class, case when event_id % 100 >= 80 then 1 when event_id % 100 <= 20 and event_id % 2 = 0 then least(user_id % 5 + 2, 4) else user_id % 5 + 1 end::int as target from events")
+def a21_slot_class(spark, d):
+    heat, now = F.col("event_id") % 100 / 100, (F.col("user_id") % 5 + 1).cast("int")
+    target = stats.target_runs(heat, now, F.lit(4), F.col("event_id") % 2 == 0)
+    return inputs.table(spark, d, "events").select("event_id", stats.slot_class(heat).alias("class"), target.alias("target"))
+
+
+@query("select event_id, round(value * pow(1 - ln(2) / 100000, 10000 * (event_id % 30)), 6) as heat from events")
+def a20_idle_decay(spark, d):
+    heat = stats.decayed(F.col("value"), stats.alpha(100_000), F.col("event_id") % 30)
+    return inputs.table(spark, d, "events").select("event_id", F.round(heat, 6).alias("heat"))
+
+
+@query(f"with {R} select file_number, {SLOT.format(k='min_key')} as first_slot, {SLOT.format(k='max_key')} - (max_key in ('00000300', '00000700', '00002000'))::int as last_slot from r")
+def c18_slots_touched(spark, d):
+    first, last = compact.slots_touched(F.col("min_key"), F.col("max_key"), GUARDS)
+    return inputs.runs(spark, d).select("file_number", first.alias("first_slot"), last.alias("last_slot"))
+
+
+@query(f"with {R} select file_number from r where file_number not in (select file_number from r where file_number % 3 > 0)")
+def k15_missing_files(spark, d):
+    r = inputs.runs(spark, d).select("file_number")
+    return storage.missing_files(r, r.where("file_number % 3 > 0"))
+
+
+@query(f"with {S}, l as (select operation, node, arg_max(value, event_id) as value from s group by all) select operation, sum(value) as total, max(value) as most from l group by 1")
+def p7_gauges(spark, d):
+    return metrics.gauge(inputs.samples(spark, d), ["operation", "node"], ["operation"])
+
+
+@query(f"with {S}, {RATE} select operation, window_start, round(sum(rate), 9) as rate from q group by all")
+def p2_rate_by_operation(spark, d):
+    return _rates(spark, d).groupBy("operation", "window_start").agg(F.round(F.sum("rate"), 9).alias("rate"))
+
+
+@query(f"with {T} select type, event_id, node, value from t")
+def n22_json_round_trip(spark, d):
+    lines = storage.to_json(inputs.telemetry(spark, d).select("type", "event_id", "node", "value"))
+    return storage.from_json(lines, "event_id: bigint, node: int, value: double")
+
+
+@query(f"with {T} select 'requests{{operation=\"' || type || '\",node=\"' || node || '\"}} ' || count(*) as line from t group by type, node")
+def s22_exposition(spark, d):
+    counts = inputs.telemetry(spark, d).groupBy("type", "node").agg(F.count("*").alias("value"))
+    return storage.exposition(counts.withColumnRenamed("type", "operation"), "requests", ["operation", "node"])
+
+
+@query("select label, count(*) as vectors, max(len(embedding))::int as dimensions from embeddings group by 1")
+def v4_namespaces(spark, d):
+    return vector.namespaces(_vectors(spark, d))

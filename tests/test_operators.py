@@ -127,3 +127,28 @@ def test_entry(spark):
 def test_histogram_bounds(spark):
     e = spark.createDataFrame([(0.5,), (1.0,), (5.0,), (None,)], "value double")
     assert [r["n"] for r in events.histogram(e, [1.0, 5.0]).orderBy("bucket").collect()] == [1, 1, 1]
+
+
+def test_slot_bounds_and_ends_on_guards(spark):
+    from ledgerlake.operators import compact
+
+    assert [tuple(r) for r in compact.slot_bounds(spark, ["d", "m"]).orderBy("slot").collect()] == [(0, None, "d"), (1, "d", "m"), (2, "m", None)]
+    assert [tuple(r) for r in compact.slot_bounds(spark, []).collect()] == [(0, None, None)]
+    rows = spark.createDataFrame([("a", "d"), ("a", "e"), ("d", "z"), ("b", "m")], "s string, e string")
+    first, last = compact.slots_touched(F.col("s"), F.col("e"), ["d", "m"])
+    assert [tuple(r) for r in rows.select(first, last).collect()] == [(0, 0), (0, 1), (1, 2), (0, 1)]
+
+
+def test_snapshot_states(spark):
+    from ledgerlake.operators import state
+
+    rows = [(1, 1, 10, "start"), (1, 2, 20, "done"), (2, 1, 5, "start"), (2, 2, 6, "cutover"), (3, 1, 7, "done"), (3, 2, 9, "start")]
+    out = state.snapshots(spark.createDataFrame(rows, "shard int, seq long, ms long, kind string"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "completed", 10, 20), (2, "idle", None, None), (3, "in_progress", 9, None)]
+
+
+def test_failure_detection_without_rows(spark):
+    from ledgerlake.operators import state
+
+    out = state.failure_detection(spark.createDataFrame([], "id long, seq long, ms long, state string"))
+    assert [tuple(r) for r in out.collect()] == [(0, 0, 0, 0.0, 100.0)]
