@@ -30,15 +30,19 @@ def overlaps(start: str | None, end: str | None) -> Column:
 
 
 def prefix_number(key: Column) -> Column:
-    """The first eight bytes of a key as a number (shorter keys aren't padded)."""
-    return F.conv(F.hex(F.substring(key, 1, 8)), 16, 10).cast("decimal(20,0)").cast("double")
+    """The first eight bytes of a key as a number (shorter keys aren't padded), exact to the last digit."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, 10).cast("decimal(20,0)")
+
+
+def key_distance(start: Column, end: Column) -> Column:
+    """How far apart two keys are by their first eight bytes, subtracted before they become doubles; 0 if reversed."""
+    return F.greatest((prefix_number(end) - prefix_number(start)).cast("double"), F.lit(0.0))
 
 
 def overlap_fraction(start: str, end: str) -> Column:
     """The share of a run's key range within [start, end): 1 if contained, 0.5 if the range is empty."""
     low, high = F.greatest(F.col("min_key"), F.lit(start)), F.least(F.col("max_key"), F.lit(end))
-    whole = prefix_number(F.col("max_key")) - prefix_number(F.col("min_key"))
-    part = prefix_number(high) - prefix_number(low)
+    whole, part = key_distance(F.col("min_key"), F.col("max_key")), key_distance(low, high)
     inside = (F.col("min_key") >= start) & (F.col("max_key") <= end)
     return F.when(inside, 1.0).when(whole == 0, 0.5).otherwise(F.least(F.lit(1.0), part / whole))
 
@@ -138,3 +142,55 @@ def slot_bounds(spark: SparkSession, guards: list[str]) -> DataFrame:
 def slots_touched(start: Column, end: Column, guards: list[str]) -> tuple[Column, Column]:
     """First and last slot that [start, end) touches: an end on a guard leaves that guard's slot out."""
     return slot_of(start, guards), slot_of(end, guards) - end.isin(guards).cast("int") if guards else F.lit(0)
+
+
+def ranges_meet(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
+    """Whether two ranges share a key, ends included."""
+    return (low <= other_high) & (other_low <= high)
+
+
+def range_compaction(runs: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """The runs that a compaction of [start, end) rewrites."""
+    if start is not None and end is not None and start >= end:
+        raise ValueError(f"empty range {start!r} to {end!r}")
+    return runs.where(overlaps(start, end))
+
+
+def find_block(blocks: DataFrame, key: str) -> DataFrame:
+    """Of ``blocks(block, first_key)`` the one that may hold ``key``: the last that starts at or before it."""
+    return blocks.where(F.col("first_key") <= key).agg(F.max_by("block", "first_key").alias("block")).where("block is not null")
+
+
+def promote(runs: DataFrame, level: int, slot: int) -> DataFrame:
+    """``runs`` with those of a slot one level deeper; no entry is read."""
+    moved = (F.col("level") == level) & (F.col("slot") == slot)
+    return runs.withColumn("level", F.when(moved, F.col("level") + 1).otherwise(F.col("level")))
+
+
+def resplit(entries: DataFrame, guards: list[str]) -> DataFrame:
+    """``entries(key, run, idx)`` cut at the guards: (run, slot, entries, min_key, max_key, min_idx, max_idx)."""
+    return entries.groupBy("run", slot_of(F.col("key"), guards).alias("slot")).agg(
+        F.count("*").alias("entries"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("idx").alias("min_idx"), F.max("idx").alias("max_idx")
+    )
+
+
+def drops_tombstones(action: Column, level: Column, max_level: int) -> Column:
+    """A tombstone may go only where nothing older lies below: on the last level, or in a forced cleanup."""
+    return (action == "cleanup") | (level == max_level)
+
+
+def select_action(arms: DataFrame, offered: DataFrame) -> DataFrame:
+    """Of ``offered(position, action)`` the one with the largest bound; a new arm counts as infinite, ties go to the first."""
+    score = F.coalesce(F.col("ucb"), F.lit(float("inf")))
+    judged = offered.join(ucb(arms).select("action", "ucb"), "action", "left")
+    return judged.agg(F.max_by("action", F.struct(score, -F.col("position"))).alias("action"))
+
+
+def sample_keys(keys: DataFrame, n: int) -> DataFrame:
+    """``n`` distinct keys, chosen alike in every run: those with the smallest digests."""
+    return keys.select("key").distinct().orderBy(F.md5(F.col("key").cast("binary")), "key").limit(n)
+
+
+def filter_kind(runs: DataFrame, by: list[str]) -> DataFrame:
+    """What filter the merged run gets: ``quotient`` if any input (``version`` 2) has one, else ``bloom``."""
+    return runs.groupBy(*by).agg(F.when(F.max("version") >= 2, "quotient").otherwise("bloom").alias("filter"))

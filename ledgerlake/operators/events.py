@@ -149,3 +149,38 @@ def hit_ratio(events: DataFrame, key: list[str], hit: str, miss: str, width: int
     n = lambda t: F.count_if(F.col("type") == t)
     each = events.where(F.col("type").isin(hit, miss)).groupBy(*key, window_start("ms", width).alias("w")).agg((n(hit) / F.count("*")).alias("ratio"))
     return each.groupBy(*key).agg(F.max_by("ratio", "w").alias("current"), F.avg("ratio").alias("mean"))
+
+
+def node_of(own: Column, envelope: Column) -> Column:
+    """The node of an event: its own if it names one, else that of the message around it."""
+    return F.coalesce(own, envelope)
+
+
+def unite_filters(filters: DataFrame) -> DataFrame:
+    """``filters(nodes, types, shards)``, arrays, as one filter that lets through what any of them lists, sorted."""
+    one = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return filters.agg(one("nodes"), one("types"), one("shards"))
+
+
+def filter_batches(events: DataFrame, keep: Column, width: int, types: list[str]) -> DataFrame:
+    """Batches of the events that ``keep`` lets through; a batch left with none is not there."""
+    return coalesce_windows(events.where(keep), width, types)
+
+
+def stability(elections: DataFrame, now_ms: int) -> DataFrame:
+    """``elections(shard, ms)``: time since the last one, and whether that is recent (30 s) or long past (5 min)."""
+    age = now_ms - F.max("ms")
+    return elections.groupBy("shard").agg(age.alias("stable_ms")).withColumns({"recent": F.col("stable_ms") < 30_000, "stable": F.col("stable_ms") > 300_000})
+
+
+def node_states(events: DataFrame) -> DataFrame:
+    """The fold of ``events(node, ms, event_id, type, value)`` into one state a node: last event and type, counts, shards seen."""
+    last = F.max_by(F.struct("event_id", "type"), F.struct("ms", "event_id")).alias("l")
+    return events.groupBy("node").agg(last, F.count("*").alias("n"), F.count_if(F.col("type") == "error").alias("errors"), F.count_distinct("shard").alias("shards")).select("node", F.col("l.event_id").alias("last_id"), F.col("l.type").alias("last_type"), "n", "errors", "shards")
+
+
+def watch(views: DataFrame) -> DataFrame:
+    """``views(cluster, seq, view)``: the first and every changed one, with an epoch that grows by one each time."""
+    w = Window.partitionBy("cluster").orderBy("seq")
+    changed = views.withColumn("_before", F.lag("view").over(w)).where("_before is null or _before <> view")
+    return changed.select("cluster", "seq", "view", F.row_number().over(w).alias("epoch"))

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CONSISTENCY = {"strong": "strong", "linearizable": "strong", "lease": "strong", "eventual": "eventual", "stale_ok": "eventual", "bounded_staleness": "bounded_staleness"}
 #: Limits of keys and values in bytes.
 KEY_LIMIT, VALUE_LIMIT = 1024, 1 << 20
+MUTATION = "key string, value double, tombstone boolean, ttl_ms long, term long, idx long, ms long"
 
 
 def newest(mutations: DataFrame) -> DataFrame:
@@ -47,11 +48,7 @@ def multi_get(mutations: DataFrame, keys: Sequence[str], as_of_ms: int) -> DataF
 
 def scan(mutations: DataFrame, start: str | None, end: str | None, as_of_ms: int) -> DataFrame:
     """Visible entries with start <= key < end, in key order."""
-    if start is not None:
-        mutations = mutations.where(F.col("key") >= start)
-    if end is not None:
-        mutations = mutations.where(F.col("key") < end)
-    return state(mutations, as_of_ms).orderBy("key")
+    return state(mutations.where(between(start, end)), as_of_ms).orderBy("key")
 
 
 def seek(mutations: DataFrame, key: str, n: int, as_of_ms: int) -> DataFrame:
@@ -98,3 +95,55 @@ def recover(log: DataFrame) -> DataFrame:
     """``log(segment, pos, ok, ...)`` up to the first record of each segment whose checksum fails."""
     bad = log.groupBy("segment").agg(F.min(F.when(~F.col("ok"), F.col("pos"))).alias("_bad"))
     return log.join(bad, "segment").where(F.col("_bad").isNull() | (F.col("pos") < F.col("_bad"))).drop("_bad")
+
+
+def between(start: str | None, end: str | None) -> Column:
+    """start <= key < end; no bound: open."""
+    found = F.lit(True)
+    if start is not None:
+        found = found & (F.col("key") >= start)
+    if end is not None:
+        found = found & (F.col("key") < end)
+    return found
+
+
+def put(spark: SparkSession, key: str, value: float, idx: int, ms: int, ttl_ms: int | None = None) -> DataFrame:
+    """One version of ``key``, to be united with a log."""
+    return spark.createDataFrame([(key, value, False, ttl_ms, 0, idx, ms)], MUTATION)
+
+
+def delete(spark: SparkSession, key: str, idx: int, ms: int) -> DataFrame:
+    """A tombstone for ``key``, whether or not it is there."""
+    return spark.createDataFrame([(key, None, True, None, 0, idx, ms)], MUTATION)
+
+
+def hidden(mutations: DataFrame, as_of_ms: int) -> DataFrame:
+    """Keys whose newest version doesn't show, with the reason: ``deleted`` or ``expired``."""
+    reason = F.when(F.col("tombstone"), "deleted").otherwise("expired")
+    return newest(mutations).where(~alive(as_of_ms)).withColumn("reason", reason)
+
+
+def apply_compare_and_set(mutations: DataFrame, requests: DataFrame, base: int, ms: int) -> DataFrame:
+    """The log with the requests that ``compare_and_set`` lets through, behind version ``base``.
+
+    At most one request of a key is let through, so versions need not follow each other: each
+    takes ``base`` plus the version it replaces.
+    """
+    won = compare_and_set(mutations, requests, ms).where("outcome = 'written'")
+    new = won.select("key", "value", F.lit(False).alias("tombstone"), F.lit(None).cast("long").alias("ttl_ms"), F.lit(0).cast("long").alias("term"), (F.col("expected_idx") + base).alias("idx"), F.lit(ms).cast("long").alias("ms"))
+    return mutations.unionByName(new)
+
+
+def source_priority(level: Column, position: Column) -> Column:
+    """Order of sources that hold the same version: memory (level null), then level 0, then deeper ones."""
+    return F.when(level.isNull(), 0).when(level == 0, 1000 + position).otherwise(10000 + level * 100 + position)
+
+
+def flush_due(size_bytes: Column, age_ms: Column) -> Column:
+    """Whether what is in memory is to be written: 64 MiB or 30 seconds."""
+    return (size_bytes >= 64 << 20) | (age_ms >= 30_000)
+
+
+def read_from(log: DataFrame, segment: int, pos: int) -> DataFrame:
+    """Records of ``log(segment, pos, ...)`` at or behind a position."""
+    return log.where((F.col("segment") > segment) | ((F.col("segment") == segment) & (F.col("pos") >= pos)))

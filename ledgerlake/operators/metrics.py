@@ -61,3 +61,16 @@ def gauge(samples: DataFrame, series: list[str], by: list[str]) -> DataFrame:
     """Sum and maximum of the latest values of all series in each group."""
     latest = samples.groupBy(*series).agg(F.max_by("value", "event_id").alias("value"))
     return latest.groupBy(*by).agg(F.sum("value").alias("total"), F.max("value").alias("most"))
+
+
+def mean_latency(samples: DataFrame, series: list[str], width: int, total: str, count: str) -> DataFrame:
+    """Mean by window: the rate of a running total over the rate of its running count."""
+    sums = rate(samples.withColumn("value", F.col(total)), series, width).withColumnRenamed("rate", "_total")
+    counts = rate(samples.withColumn("value", F.col(count)), series, width).withColumnRenamed("rate", "_count")
+    return sums.join(counts, [*series, "window_start"]).where("_count > 0").select(*series, "window_start", (F.col("_total") / F.col("_count")).alias("mean"))
+
+
+def between_buckets(buckets: DataFrame, key: list[str], low: float, high: float) -> DataFrame:
+    """``buckets(le, n)``, cumulative: observations above ``low`` and up to ``high``."""
+    at = lambda b: F.max(F.when(F.col("le") == b, F.col("n")))
+    return buckets.groupBy(*key).agg((at(high) - at(low)).alias("n"))

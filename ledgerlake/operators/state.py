@@ -119,3 +119,22 @@ def snapshots(events: DataFrame) -> DataFrame:
     status = F.when(F.col("l.kind") == "start", "in_progress").when(F.col("l.kind") == "done", "completed").otherwise("idle")
     started = F.when(F.col("c").isNull() | (F.col("s.seq") > F.col("c.seq")), F.col("s.ms"))
     return found.select("shard", status.alias("status"), started.alias("started_ms"), F.when(F.col("l.kind") == "done", F.col("l.ms")).alias("completed_ms"))
+
+
+def shard_roll_up(shards: DataFrame) -> DataFrame:
+    """``shards(node, shard, leader)``: by node the numbers of active, led and followed shards, with the first ten led or not."""
+    led = F.col("leader") == F.col("node")
+    return shards.groupBy("node").agg(
+        F.count("*").alias("active"), F.count_if(led).alias("leaders"), F.count_if(~led).alias("followers"), F.array_join(F.slice(F.sort_array(F.collect_set("shard")), 1, 10).cast("array<string>"), ",").alias("sample")
+    )
+
+
+def replica_sets(progress: DataFrame) -> DataFrame:
+    """``progress(shard, node)``: the nodes seen to hold each shard, in order."""
+    return progress.groupBy("shard").agg(F.array_join(F.sort_array(F.collect_set("node")).cast("array<string>"), ",").alias("replicas"))
+
+
+def leader_first(replicas: DataFrame) -> DataFrame:
+    """``replicas(shard, node, leader)`` with the place of each in its shard: the leader, then by node."""
+    order = Window.partitionBy("shard").orderBy(F.desc(F.col("node") == F.col("leader")), "node")
+    return replicas.select("shard", "node", F.row_number().over(order).alias("place"))

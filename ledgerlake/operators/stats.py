@@ -68,3 +68,17 @@ def target_runs(heat_column: Column, current: Column, default: Column, pressed:
 def level_heat(slots: DataFrame, hot: float = 0.7) -> DataFrame:
     """``slots(level, heat)``: mean, most and number of hot slots of each level."""
     return slots.groupBy("level").agg(F.avg("heat").alias("mean"), F.max("heat").alias("most"), F.count_if(F.col("heat") > hot).alias("hot"))
+
+
+def write_pressure(operations: DataFrame, half_life: int, threshold: float = 0.5) -> DataFrame:
+    """(ratio, pressed): running share of writes in ``operations(seq, write)``, from 0, as a weighted sum.
+
+    The weight of an operation depends on how many follow it, which range partitions tell.
+    """
+    from ledgerlake.operators.ordering import with_rank
+
+    a = alpha(half_life)
+    ranked = with_rank(operations.select("seq", "write"), "seq")
+    later = operations.count() - F.col("rank")
+    ratio = F.coalesce(F.sum(F.when(F.col("write"), a * F.pow(F.lit(1 - a), later))), F.lit(0.0))
+    return ranked.agg(ratio.alias("ratio")).withColumn("pressed", F.col("ratio") > threshold)

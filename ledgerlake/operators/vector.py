@@ -98,3 +98,30 @@ def newest_vectors(log: DataFrame) -> DataFrame:
 def namespaces(vectors: DataFrame, by: str = "label") -> DataFrame:
     """Vectors and dimensions of each namespace."""
     return vectors.groupBy(by).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dimensions"))
+
+
+def apply_commands(commands: DataFrame) -> DataFrame:
+    """(namespace, id, seq) left by ``commands(seq, kind, namespace, id)`` of kinds create, drop, insert and delete.
+
+    A create of a namespace that exists, and any command on one that doesn't, has no effect. A drop
+    takes all vectors with it. An open namespace is one whose last create or drop was a create, so
+    windows within namespaces replace the fold.
+    """
+    past = Window.partitionBy("namespace").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = commands.withColumn("_open", F.max_by(F.col("kind") == "create", F.when(F.col("kind").isin("create", "drop"), F.col("seq"))).over(past))
+    dropped = commands.where("kind = 'drop'").groupBy("namespace").agg(F.max("seq").alias("_dropped"))
+    last = c.where("_open and kind in ('insert', 'delete')").groupBy("namespace", "id").agg(F.max("seq").alias("seq"), F.max_by("kind", "seq").alias("_kind"))
+    left = last.join(dropped, "namespace", "left").where("_kind = 'insert' and (_dropped is null or seq > _dropped)")
+    return left.select("namespace", "id", "seq")
+
+
+def found_for_deletion(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """(vec_id, found) of ``ids(vec_id)``: whether a deletion finds its vector."""
+    here = vectors.select("vec_id").distinct().withColumn("_here", F.lit(True))
+    return ids.join(here, "vec_id", "left").select("vec_id", F.col("_here").isNotNull().alias("found"))
+
+
+def shrink_degree(edges: DataFrame, most: int) -> DataFrame:
+    """Of ``edges(node, neighbour, distance)`` the nearest ``most`` of each node, ties by neighbour."""
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("distance", "neighbour"))
+    return edges.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")

@@ -161,12 +161,12 @@ def f2_overlapping_runs(spark, d):
 
 
 def _num(k: str) -> str:
-    return "(" + " + ".join(f"ascii(substr({k}, {i}, 1))::double * {256 ** (8 - i)}" for i in range(1, 9)) + ")"
+    return "(" + " + ".join(f"ascii(substr({k}, {i}, 1))::hugeint * {256 ** (8 - i)}" for i in range(1, 9)) + ")"
 
 
 @query(
     f"""with {R}, o as (select *, greatest(min_key, '00000500') as low, least(max_key, '00000900') as high from r where max_key >= '00000500' and min_key < '00000900')
- select coalesce(sum(floor(size * case when min_key >= '00000500' and max_key <= '00000900' then 1.0::double when min_key = max_key then 0.5::double else least(1.0::double, ({_num('high')} - {_num('low')}) / ({_num('max_key')} - {_num('min_key')})) end)), 0)::bigint as bytes, count(*) as files from o"""
+ select coalesce(sum(floor(size * case when min_key >= '00000500' and max_key <= '00000900' then 1.0::double when min_key = max_key then 0.5::double else least(1.0::double, ({_num('high')} - {_num('low')})::double / ({_num('max_key')} - {_num('min_key')})::double) end)), 0)::bigint as bytes, count(*) as files from o"""
 )
 def k8_approximate_size(spark, d):
     return compact.approximate_size(inputs.runs(spark, d), "00000500", "00000900")
@@ -686,3 +686,352 @@ def s22_exposition(spark, d):
 @query("select label, count(*) as vectors, max(len(embedding))::int as dimensions from embeddings group by 1")
 def v4_namespaces(spark, d):
     return vector.namespaces(_vectors(spark, d))
+
+
+# --- single writes, commands, placement of runs ----------------------------------------
+
+LATE = 10_000_000
+
+
+@query(f"with {M}, m2 as (select * from m union all select '17', 1.5, false, 1000::bigint, 0, {LATE}, {NOW}), {NEWEST.replace('from m', 'from m2')} select key, value, idx from n where {LIVE}")
+def k3_put(spark, d):
+    return kv.state(_log(spark, d).unionByName(kv.put(spark, "17", 1.5, LATE, NOW, 1000)), NOW).select("key", "value", "idx")
+
+
+@query(f"with {M}, m2 as (select * from m union all select '17', null, true, null, 0, {LATE}, {NOW}), {NEWEST.replace('from m', 'from m2')} select key, value, idx from n where {LIVE}")
+def k4_delete(spark, d):
+    return kv.state(_log(spark, d).unionByName(kv.delete(spark, "17", LATE, NOW)), NOW).select("key", "value", "idx")
+
+
+@query(f"with {M} select key, value, idx from m where key >= '2' and key < '35'")
+def f1_key_range(spark, d):
+    return _log(spark, d).where(kv.between("2", "35")).select("key", "value", "idx")
+
+
+@query(f"with {M}, {NEWEST} select key, idx from n where tombstone")
+def f5_tombstones(spark, d):
+    return kv.hidden(_log(spark, d), NOW).where("reason = 'deleted'").select("key", "idx")
+
+
+@query(f"with {M}, {NEWEST} select key, idx, ms + ttl_ms as expired_ms from n where not tombstone and ms + ttl_ms <= {NOW}")
+def f6_expired(spark, d):
+    return kv.hidden(_log(spark, d), NOW).where("reason = 'expired'").select("key", "idx", (F.col("ms") + F.col("ttl_ms")).alias("expired_ms"))
+
+
+@query(f"with {M}, {NEWEST} select key, value, term || '.' || idx as version from n where {LIVE}")
+def k16_versioned_read(spark, d):
+    return kv.state(_log(spark, d), NOW, consistency="stale_ok").select("key", "value", F.concat_ws(".", "term", "idx").alias("version"))
+
+
+@query(
+    f"""with {M}, {NEWEST}, c as (select key, idx from n where {LIVE}), q as (select cast(user_id as varchar) as key, event_id as idx from events where event_id % 3 = 0), won as (select * from q semi join c using (key, idx)),
+ m2 as (select * from m union all select key, -1.0, false, null, 0, idx + {LATE}, {NOW} from won), n2 as (select * from m2 qualify row_number() over (partition by key order by term desc, idx desc) = 1) select key, value, idx from n2 where {LIVE}"""
+)
+def k17_compare_and_put(spark, d):
+    q = inputs.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("expected_idx"), F.lit(-1.0).alias("value"))
+    return kv.state(kv.apply_compare_and_set(_log(spark, d), q, LATE, NOW), NOW).select("key", "value", "idx")
+
+
+KIND = "case when event_id % 97 = 0 then 'drop' when event_id % 41 = 0 then 'create' when event_type = 'error' then 'delete' else 'insert' end"
+
+
+@query(
+    f"""with c as (select event_id as seq, {KIND} as kind, user_id % 5 as namespace, user_id as id from events),
+ o as (select *, arg_max(kind = 'create', case when kind in ('create', 'drop') then seq end) over (partition by namespace order by seq rows unbounded preceding) as open from c),
+ d as (select namespace, max(seq) as dropped from c where kind = 'drop' group by 1), l as (select * from o where open and kind in ('insert', 'delete') qualify row_number() over (partition by namespace, id order by seq desc) = 1)
+ select namespace, id, seq from l left join d using (namespace) where kind = 'insert' and (dropped is null or seq > dropped)"""
+)
+def k18_commands(spark, d):
+    return vector.apply_commands(inputs.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.expr(KIND).alias("kind"), (F.col("user_id") % 5).alias("namespace"), F.col("user_id").alias("id")))
+
+
+@query(f"with {R} select file_number, case when level = 0 then 1000 + slot else 10000 + level * 100 + slot end as priority from r")
+def k7_source_priority(spark, d):
+    return inputs.runs(spark, d).select("file_number", kv.source_priority(F.col("level"), F.col("slot")).alias("priority"))
+
+
+@query(f"with {R}, o as (select *, greatest(min_key, '00000500') as low, least(max_key, '00000900') as high from r where max_key >= '00000500' and min_key < '00000900') select file_number, round(case when min_key >= '00000500' and max_key <= '00000900' then 1.0::double when min_key = max_key then 0.5::double else least(1.0::double, ({_num('high')} - {_num('low')})::double / ({_num('max_key')} - {_num('min_key')})::double) end, 9) as fraction from o")
+def k9_overlap_fraction(spark, d):
+    return inputs.runs(spark, d).where(compact.overlaps("00000500", "00000900")).select("file_number", F.round(compact.overlap_fraction("00000500", "00000900"), 9).alias("fraction"))
+
+
+@query(f"with {R} select file_number, level, slot from r where max_key >= '00000500' and min_key < '00000900'")
+def k10_range_compaction(spark, d):
+    return compact.range_compaction(inputs.runs(spark, d), "00000500", "00000900").select("file_number", "level", "slot")
+
+
+@query("select event_id, value * 1048576 >= 67108864 or event_id % 60 * 1000 >= 30000 as due from events")
+def k12_flush_due(spark, d):
+    return inputs.table(spark, d, "events").select("event_id", kv.flush_due(F.col("value") * 1048576, F.col("event_id") % 60 * 1000).alias("due"))
+
+
+@query("select event_id % 20 as segment, event_id as pos from events where event_id % 20 > 7 or (event_id % 20 = 7 and event_id >= 500)")
+def s11_read_from(spark, d):
+    return kv.read_from(inputs.table(spark, d, "events").select((F.col("event_id") % 20).alias("segment"), F.col("event_id").alias("pos")), 7, 500)
+
+
+@query(f"with {R} select arg_max(file_number, (min_key, file_number)) as block from r where min_key <= '00000004'")
+def s5_find_block(spark, d):
+    blocks = inputs.runs(spark, d).groupBy(F.col("min_key").alias("first_key")).agg(F.max("file_number").alias("block"))
+    return compact.find_block(blocks, "00000004")
+
+
+@query(f"with {R} select a.file_number, b.file_number as other from r a join r b on a.level = b.level and a.file_number < b.file_number and a.min_key <= b.max_key and b.min_key <= a.max_key")
+def f3_ranges_meet(spark, d):
+    r = inputs.runs(spark, d).select("file_number", "level", "min_key", "max_key")
+    o = r.select(F.col("file_number").alias("other"), "level", F.col("min_key").alias("low"), F.col("max_key").alias("high"))
+    meet = compact.ranges_meet(F.col("min_key"), F.col("max_key"), F.col("low"), F.col("high"))
+    return r.join(o, "level").where((F.col("file_number") < F.col("other")) & meet).select("file_number", "other")
+
+
+@query(f"with {R} select file_number from r where min_key < '00000003'")
+def f4_open_range(spark, d):
+    return inputs.runs(spark, d).where(compact.overlaps(None, "00000003")).select("file_number")
+
+
+def _keyed(spark, d):
+    return inputs.table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("key"), (F.col("o_custkey") % 6).alias("run"), F.col("o_orderkey").alias("idx"))
+
+
+KEYED = "k as (select lpad(o_orderkey::varchar, 8, '0') as key, o_custkey % 6 as run, o_orderkey as idx from orders)"
+
+
+@query(f"with {KEYED} select run, {SLOT.format(k='key')} as slot, count(*) as entries, min(key) as min_key, max(key) as max_key from k group by 1, 2")
+def k13_admission(spark, d):
+    return compact.resplit(_keyed(spark, d), GUARDS).drop("min_idx", "max_idx")
+
+
+@query(f"with {KEYED} select run, (key >= '00000500')::int + (key >= '00001000')::int as slot, count(*) as entries, min(key) as min_key, max(key) as max_key, min(idx) as min_idx, max(idx) as max_idx from k group by 1, 2")
+def c7_guard_move(spark, d):
+    return compact.resplit(_keyed(spark, d), ["00000500", "00001000"])
+
+
+@query(f"with {KEYED} select key, {SLOT.format(k='key')} as slot from k")
+def j4_key_to_slot(spark, d):
+    bounds = compact.slot_bounds(spark, GUARDS)
+    inside = (F.col("low").isNull() | (F.col("key") >= F.col("low"))) & (F.col("high").isNull() | (F.col("key") < F.col("high")))
+    return _keyed(spark, d).join(F.broadcast(bounds), inside).select("key", "slot")
+
+
+@query(f"with {R} select file_number, case when level = 1 and slot = 2 then level + 1 else level end as level from r")
+def c4_promote(spark, d):
+    return compact.promote(inputs.runs(spark, d), 1, 2).select("file_number", "level")
+
+
+@query(f"with {ENTRIES}, s as (select * from e where key >= '2' and key < '4') select * from s qualify row_number() over (partition by key order by run desc) = 1")
+def c5_eager_level(spark, d):
+    return compact.merge(_entries(spark, d).where(kv.between("2", "4")), False)
+
+
+@query(f"with {R} select file_number, level = 3 or file_number % 5 = 0 as drops from r")
+def c2_tombstone_drop(spark, d):
+    action = F.when(F.col("file_number") % 5 == 0, "cleanup").otherwise("tier")
+    return inputs.runs(spark, d).select("file_number", compact.drops_tombstones(action, F.col("level"), 3).alias("drops"))
+
+
+ARMS = """a as (select event_type as action, value / 100 as reward, count(*) over (partition by event_type) - row_number() over (partition by event_type order by event_id) as later,
+ row_number() over (partition by event_type order by event_id) = 1 as first from events), b as (select action, sum(reward * pow(0.9, later) * case when first then 1.0 else 0.1 end) as mean, count(*) as n from a group by 1)"""
+
+
+def _arms(spark, d):
+    return compact.arm_statistics(inputs.table(spark, d, "events").select(F.col("event_type").alias("action"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("reward")))
+
+
+@query(f"with {ARMS} select action, round(mean, 6) as mean, n from b")
+def c10_arm_mean(spark, d):
+    return _arms(spark, d).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"with {ARMS}, u as (select action, mean + 2.0 * sqrt(ln((select sum(n) from b)) / n) as ucb from b where action <> 'error') select arg_max(action, ucb) as action from u")
+def c12_select_action(spark, d):
+    offered = spark.createDataFrame([(i, t) for i, t in enumerate(TYPES) if t != "error"], "position int, action string")
+    return compact.select_action(_arms(spark, d), offered)
+
+
+@query("select key from (select distinct o_custkey::varchar as key from orders) order by md5(key) limit 50")
+def c16_sample_keys(spark, d):
+    return compact.sample_keys(inputs.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key")), 50)
+
+
+@query(f"with {R} select level, slot, case when max(case when file_number % 7 = 0 then 2 else 1 end) >= 2 then 'quotient' else 'bloom' end as filter from r group by 1, 2")
+def c19_filter_kind(spark, d):
+    return compact.filter_kind(inputs.runs(spark, d).withColumn("version", F.when(F.col("file_number") % 7 == 0, 2).otherwise(1)), ["level", "slot"])
+
+
+@query(f"with {EDITS}, l as (select * from e qualify row_number() over (partition by level, slot, file_number order by seq desc) = 1), s as (select level, slot, file_number, size from l where edit = 'add') select level, slot, count(*) as files, sum(size)::bigint as bytes from s group by 1, 2")
+def s17_manifest_recovery(spark, d):
+    """A snapshot of the folded manifest, with the edits behind it folded on top, equals the fold of all edits."""
+    o = inputs.table(spark, d, "orders")
+    edit = lambda f, seq, name: f.select(seq.alias("seq"), F.lit(name).alias("edit"), (F.col("o_orderkey") % 3).cast("int").alias("level"), (F.col("o_custkey") % 4).cast("int").alias("slot"), F.col("o_orderkey").alias("file_number"), F.col("o_custkey").alias("size"))
+    edits = edit(o, F.col("o_orderkey") * 2, "add").unionByName(edit(o.where("o_orderkey % 4 = 0"), F.col("o_orderkey") * 2 + 1, "delete"))
+    snapshot = compact.fold_manifest(edits.where("seq <= 1000")).select(F.lit(1000).cast("long").alias("seq"), F.lit("add").alias("edit"), "level", "slot", "file_number", "size")
+    return compact.fold_manifest(snapshot.unionByName(edits.where("seq > 1000"))).groupBy("level", "slot").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("with o as (select event_id as seq, event_type in ('error', 'purchase') as write, count(*) over () - row_number() over (order by event_id) as later from events), q as (select coalesce(sum(A * pow(1 - A, later)) filter (write), 0) as ratio from o) select round(ratio, 6) as ratio, ratio > 0.5 as pressed from q".replace("A", repr(stats.alpha(100))))
+def a19_write_pressure(spark, d):
+    o = inputs.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").isin("error", "purchase").alias("write"))
+    return stats.write_pressure(o, 100).withColumn("ratio", F.round("ratio", 6))
+
+
+# --- filters, folds and rankings of events -----------------------------------------------
+
+
+@query(f"with {T} select {COUNTS} from t where node = 3")
+def a1_batch_summary(spark, d):
+    t = inputs.telemetry(spark, d).where("node = 3")
+    return t.agg(*(F.count_if(F.col("type") == x).alias(f"n_{x}") for x in TYPES))
+
+
+@query(f"with {T}, {BATCHES} select sum(n)::bigint as events from b where window_end > {NOW}")
+def a3_history_events(spark, d):
+    return _batches(spark, d).where(F.col("window_end") > NOW).agg(F.sum("n").alias("events"))
+
+
+@query(f"with {T} select shard, ms // 3600000 as hour, arg_max(value, (ms, event_id)) as last, max(value) as most from t where shard is not null group by 1, 2")
+def a4_downsample_by_shard(spark, d):
+    found = events.downsample(inputs.telemetry(spark, d).where("shard is not null"), ["shard"], 3_600_000)
+    return found.select("shard", F.floor(F.col("mid_ms") / 3_600_000).alias("hour"), "last", "most")
+
+
+@query(f"with {T} select event_id, coalesce(case when event_id % 3 = 0 then node end, 99) as node from t")
+def f9_event_node(spark, d):
+    own = F.when(F.col("event_id") % 3 == 0, F.col("node"))
+    return inputs.telemetry(spark, d).select("event_id", events.node_of(own, F.lit(99)).alias("node"))
+
+
+@query("with u as (select 3 as n union all select 1 union all select 7) select '1,3,7' as nodes, 'click,view' as types, '2,4' as shards")
+def f10_filter_union(spark, d):
+    filters = spark.createDataFrame([([3, 1], ["view"], [2]), ([1, 7], ["click", "view"], [4, 2])], "nodes array<int>, types array<string>, shards array<int>")
+    return events.unite_filters(filters).select(*(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("nodes", "types", "shards")))
+
+
+@query(f"with {T}, f as (select * from t where node = 2 and type in ('click', 'view')) select ms - ms % 3600000 as window_start, ms - ms % 3600000 + 3600000 as window_end, count(*) as n, {COUNTS.replace('(type', '(type')} from f group by 1, 2")
+def f12_filter_batches(spark, d):
+    return events.filter_batches(inputs.telemetry(spark, d), events.matches([2], ["click", "view"], []), 3_600_000, TYPES)
+
+
+@query(f"with {T} select event_id, type, shard from t where shard is not null")
+def f18_type_and_shard(spark, d):
+    lines = storage.to_json(inputs.telemetry(spark, d).select("type", "event_id", "shard"))
+    return storage.from_json(lines, "event_id: bigint, shard: int").where("shard is not null").select("event_id", "type", "shard")
+
+
+@query(f"with {T}, s as (select shard, 1706600000000 - max(ms) as stable_ms from t where shard is not null and type = 'error' group by 1) select *, stable_ms < 30000 as recent, stable_ms > 300000 as stable from s")
+def f19_stability(spark, d):
+    return events.stability(inputs.telemetry(spark, d).where("shard is not null and type = 'error'"), 1_706_600_000_000)
+
+
+@query(f"with {T} select node, arg_max(event_id, (ms, event_id)) as last_id, arg_max(type, (ms, event_id)) as last_type, count(*) as n, count(*) filter (type = 'error') as errors, count(distinct shard) as shards from t group by 1")
+def r8_node_states(spark, d):
+    return events.node_states(inputs.telemetry(spark, d))
+
+
+@query(f"with {T}, v as (select node as cluster, event_id as seq, type as view, lag(type) over (partition by node order by event_id) as before from t) select cluster, seq, view, (row_number() over (partition by cluster order by seq))::int as epoch from v where before is null or before <> view")
+def r12_watch(spark, d):
+    return events.watch(inputs.telemetry(spark, d).select(F.col("node").alias("cluster"), F.col("event_id").alias("seq"), F.col("type").alias("view")))
+
+
+REPLICAS = "p as (select distinct user_id % 24 as shard, user_id % 5 as node from events)"
+
+
+def _replicas(spark, d):
+    return inputs.table(spark, d, "events").select((F.col("user_id") % 24).alias("shard"), (F.col("user_id") % 5).alias("node")).distinct()
+
+
+@query(f"with {REPLICAS}, s as (select node, list_sort(list(shard))[1:10] as s, count(*) as active, count(*) filter (shard % 5 = node) as leaders, count(*) filter (shard % 5 <> node) as followers from p group by 1) select node, active, leaders, followers, array_to_string(s, ',') as sample from s")
+def a23_shard_roll_up(spark, d):
+    return state.shard_roll_up(_replicas(spark, d).withColumn("leader", F.col("shard") % 5))
+
+
+@query(f"with {REPLICAS} select shard, array_to_string(list_sort(list(node)), ',') as replicas from p group by 1")
+def u5_replica_sets(spark, d):
+    return state.replica_sets(_replicas(spark, d))
+
+
+@query(f"with {REPLICAS} select shard, node, (row_number() over (partition by shard order by (node = shard % 5) desc, node))::int as place from p")
+def t7_leader_first(spark, d):
+    return state.leader_first(_replicas(spark, d).withColumn("leader", F.col("shard") % 5))
+
+
+@query(f"with {REPLICAS} select shard, count(*) as n from p group by 1 order by 1 limit 8")
+def t5_first_shards(spark, d):
+    return _replicas(spark, d).groupBy("shard").agg(F.count("*").alias("n")).orderBy("shard").limit(8)
+
+
+@query(f"with {T} select event_id, ms from t where type = 'purchase' order by ms desc, event_id desc limit 50")
+def t6_newest_records(spark, d):
+    return inputs.telemetry(spark, d).where("type = 'purchase'").select("event_id", "ms").orderBy(F.desc("ms"), F.desc("event_id")).limit(50)
+
+
+@query(f"with {T} select event_id from t where node in (select s_suppkey % 8 from supplier where s_acctbal > 5000)")
+def j7_semi_join(spark, d):
+    wanted = inputs.table(spark, d, "supplier").where("s_acctbal > 5000").select((F.col("s_suppkey") % 8).cast("int").alias("node"))
+    return inputs.telemetry(spark, d).join(wanted, "node", "left_semi").select("event_id")
+
+
+@query(f"with {M} select key, idx from m where not tombstone and not exists (select 1 from m t where t.tombstone and t.key = m.key and t.idx > m.idx)")
+def j8_not_deleted_since(spark, d):
+    m = _log(spark, d)
+    last = m.where("tombstone").groupBy("key").agg(F.max("idx").alias("gone"))
+    return m.where("not tombstone").join(last, (m.key == last.key) & (last.gone > m.idx), "left_anti").select("key", "idx")
+
+
+@query(f"with {M} select key, idx, 'low' as source from m where idx <= 300 union all select key, idx, 'high' from m where idx > 300")
+def u1_sources(spark, d):
+    m = _log(spark, d).select("key", "idx")
+    return m.where("idx <= 300").withColumn("source", F.lit("low")).unionByName(m.where("idx > 300").withColumn("source", F.lit("high")))
+
+
+@query("select user_id, event_type from events where event_id % 2 = 0 except select user_id, event_type from events where event_id % 2 = 1")
+def u4_except(spark, d):
+    e = inputs.table(spark, d, "events")
+    pairs = lambda n: e.where(F.col("event_id") % 2 == n).select("user_id", "event_type")
+    return pairs(0).subtract(pairs(1))
+
+
+@query("with c as (select *, l_extendedprice as t from lineitem) select l_returnflag as type, count(*) filter (l_quantity <= 40) - count(*) filter (l_quantity <= 10) as n from c group by 1")
+def p6_between_buckets(spark, d):
+    bounds = [5.0, 10.0, 20.0, 40.0]
+    b = inputs.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("type")).agg(F.array(*(F.struct(F.lit(x).alias("le"), F.count_if(F.col("l_quantity") <= x).alias("n")) for x in bounds)).alias("b"))
+    return metrics.between_buckets(b.select("type", F.inline("b")), ["type"], 10.0, 40.0)
+
+
+@query(
+    f"""with {S}, l as (select *, lag(value) over w as v, lag(value * 3 + node) over w as u from s window w as (partition by operation, node order by event_id)),
+ i as (select operation, node, ms - ms % 86400000 as window_start, case when v is null then 0 when value < v then value else value - v end as n, case when u is null then 0 when value * 3 + node < u then value * 3 + node else value * 3 + node - u end as t from l)
+ select operation, node, window_start, round(sum(t) / sum(n), 6) as mean from i group by all having sum(n) > 0"""
+)
+def p5_mean_latency(spark, d):
+    s = inputs.samples(spark, d).withColumn("count", F.col("value")).withColumn("total", F.col("value") * 3 + F.col("node"))
+    return metrics.mean_latency(s, ["operation", "node"], DAY, "total", "count").withColumn("mean", F.round("mean", 6))
+
+
+# --- vectors, continued ------------------------------------------------------------------
+
+
+@query("with i as (select distinct o_custkey * 3 as vec_id from orders where o_orderkey % 10 = 0) select i.vec_id, e.vec_id is not null as found from i left join embeddings e using (vec_id)")
+def v3_delete_found(spark, d):
+    ids = inputs.table(spark, d, "orders").where("o_orderkey % 10 = 0").select((F.col("o_custkey") * 3).alias("vec_id")).distinct()
+    return vector.found_for_deletion(_vectors(spark, d), ids)
+
+
+EDGES = "e as (select o_custkey as node, o_orderkey as neighbour, o_totalprice as distance from orders)"
+
+
+@query(f"with {EDGES} select * from e qualify row_number() over (partition by node order by distance, neighbour) <= 4")
+def w9_shrink_degree(spark, d):
+    return vector.shrink_degree(inputs.table(spark, d, "orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("neighbour"), F.col("o_totalprice").alias("distance")), 4)
+
+
+@query("select vec_id, case when label < 5 then len(embedding) end::int as dimensions from embeddings")
+def f17_projection(spark, d):
+    v = _vectors(spark, d)
+    return v.select("vec_id", F.when(F.col("label") < 5, F.size("embedding")).alias("dimensions"))
+
+
+@query()
+def v11_codebooks(spark, d):
+    books = ann.train_codebooks(_vectors(spark, d))
+    rows = [(s, c, [float(x) for x in book]) for s, part in enumerate(books) for c, book in enumerate(part)]
+    return spark.createDataFrame(rows, "subspace int, centroid int, position array<double>")
