@@ -215,10 +215,10 @@ def c13_reward(spark, d):
     return inputs.table(spark, d, "events").select("event_id", found.alias("reward"))
 
 
-@query("with s as (select (o_orderkey % 5)::int as level, (o_custkey % 7 * o_custkey % 3)::int as slot, count(*) as bytes, min(o_orderkey) * 1000 as compacted_ms from orders group by 1, 2), l as (select level, count(*) as n, sum(bytes) as bytes, max(bytes) as largest, max(compacted_ms) as last from s group by 1) select level, round(largest / (bytes / n), 6) as ratio from l where n > 1 and bytes >= 10 and largest / (bytes / n) >= 3 and last <= 1705000000000 - 3600000")
+@query("with s as (select (o_orderkey % 5)::int as level, least(o_custkey % 20, 4)::int as slot, count(*) as bytes, min(o_orderkey) * 1000 as compacted_ms from orders group by 1, 2), l as (select level, count(*) as n, sum(bytes) as bytes, max(bytes) as largest, max(compacted_ms) as last from s group by 1) select level, round(largest / (bytes / n), 6) as ratio from l where n > 1 and bytes >= 10 and largest / (bytes / n) >= 3 and last <= 1705000000000 - 3600000")
 def c14_imbalance(spark, d):
     o = inputs.table(spark, d, "orders")
-    s = o.groupBy((F.col("o_orderkey") % 5).cast("int").alias("level"), (F.col("o_custkey") % 7 * F.col("o_custkey") % 3).cast("int").alias("slot")).agg(F.count("*").alias("bytes"), (F.min("o_orderkey") * 1000).alias("compacted_ms"))
+    s = o.groupBy((F.col("o_orderkey") % 5).cast("int").alias("level"), F.least(F.col("o_custkey") % 20, F.lit(4)).cast("int").alias("slot")).agg(F.count("*").alias("bytes"), (F.min("o_orderkey") * 1000).alias("compacted_ms"))
     return compact.imbalanced_levels(s, NOW, 10).select("level", F.round("ratio", 6).alias("ratio"))
 
 
@@ -691,6 +691,7 @@ def v4_namespaces(spark, d):
 # --- single writes, commands, placement of runs ----------------------------------------
 
 LATE = 10_000_000
+MUCH_LATER = 1_710_000_000_000  # behind all events and their lifetimes
 
 
 @query(f"with {M}, m2 as (select * from m union all select '17', 1.5, false, 1000::bigint, 0, {LATE}, {NOW}), {NEWEST.replace('from m', 'from m2')} select key, value, idx from n where {LIVE}")
@@ -713,9 +714,9 @@ def f5_tombstones(spark, d):
     return kv.hidden(_log(spark, d), NOW).where("reason = 'deleted'").select("key", "idx")
 
 
-@query(f"with {M}, {NEWEST} select key, idx, ms + ttl_ms as expired_ms from n where not tombstone and ms + ttl_ms <= {NOW}")
+@query(f"with {M}, {NEWEST} select key, idx, ms + ttl_ms as expired_ms from n where not tombstone and ms + ttl_ms <= {MUCH_LATER}")
 def f6_expired(spark, d):
-    return kv.hidden(_log(spark, d), NOW).where("reason = 'expired'").select("key", "idx", (F.col("ms") + F.col("ttl_ms")).alias("expired_ms"))
+    return kv.hidden(_log(spark, d), MUCH_LATER).where("reason = 'expired'").select("key", "idx", (F.col("ms") + F.col("ttl_ms")).alias("expired_ms"))
 
 
 @query(f"with {M}, {NEWEST} select key, value, term || '.' || idx as version from n where {LIVE}")
@@ -983,10 +984,10 @@ def u1_sources(spark, d):
     return m.where("idx <= 300").withColumn("source", F.lit("low")).unionByName(m.where("idx > 300").withColumn("source", F.lit("high")))
 
 
-@query("select user_id, event_type from events where event_id % 2 = 0 except select user_id, event_type from events where event_id % 2 = 1")
+@query("select user_id, event_type from events where event_id % 40 = 0 except select user_id, event_type from events where event_id % 40 = 1")
 def u4_except(spark, d):
     e = inputs.table(spark, d, "events")
-    pairs = lambda n: e.where(F.col("event_id") % 2 == n).select("user_id", "event_type")
+    pairs = lambda n: e.where(F.col("event_id") % 40 == n).select("user_id", "event_type")
     return pairs(0).subtract(pairs(1))
 
 
