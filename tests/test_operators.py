@@ -152,3 +152,33 @@ def test_failure_detection_without_rows(spark):
 
     out = state.failure_detection(spark.createDataFrame([], "id long, seq long, ms long, state string"))
     assert [tuple(r) for r in out.collect()] == [(0, 0, 0, 0.0, 100.0)]
+
+
+def test_dropped_namespace_takes_its_vectors(spark):
+    rows = [(1, "insert", "a", 1), (2, "create", "a", 0), (3, "insert", "a", 2), (4, "drop", "a", 0), (5, "insert", "a", 3), (6, "create", "a", 0), (7, "insert", "a", 4), (8, "insert", "a", 5), (9, "delete", "a", 5)]
+    left = vector.apply_commands(spark.createDataFrame(rows, "seq long, kind string, namespace string, id long"))
+    assert [tuple(r) for r in left.collect()] == [("a", 4, 7)]
+
+
+def test_first_of_equal_offers_is_selected(spark):
+    arms = spark.createDataFrame([("x", 0.5, 4), ("y", 0.5, 4)], "action string, mean double, n long")
+    offer = lambda *a: spark.createDataFrame(list(enumerate(a)), "position int, action string")
+    assert compact.select_action(arms, offer("y", "x")).first()[0] == "y"
+    assert compact.select_action(arms, offer("x", "new")).first()[0] == "new"
+
+
+def test_compare_and_put_lets_one_request_through(spark):
+    log = kv.put(spark, "k", 1.0, 5, 0)
+    requests = spark.createDataFrame([("k", 5, 2.0), ("k", 5, 3.0), ("k", 4, 9.0)], "key string, expected_idx long, value double")
+    got = kv.state(kv.apply_compare_and_set(log, requests, 100, 10), 10)
+    assert [(r.value, r.idx) for r in got.collect()] == [(2.0, 105)]
+
+
+def test_expired_and_deleted_are_told_apart(spark):
+    log = kv.put(spark, "a", 1.0, 1, 0, 10).unionByName(kv.put(spark, "b", 1.0, 2, 0)).unionByName(kv.delete(spark, "b", 3, 5)).unionByName(kv.put(spark, "c", 1.0, 4, 0))
+    assert {(r.key, r.reason) for r in kv.hidden(log, 10).collect()} == {("a", "expired"), ("b", "deleted")}
+
+
+def test_empty_range_is_refused(spark):
+    with pytest.raises(ValueError):
+        compact.range_compaction(spark.range(1), "b", "a")
