@@ -59,6 +59,8 @@ class UnitIds:
     with another of these (next to an apostrophe or a byte beyond ASCII it may, so nothing is
     cut there), and it takes upper case for lower. So a text's ids are those of its units in
     order, and each unit is given to the tokenizer once; a unit is known by 64 hash bits.
+    A letter may become a letter and a mark in lower case (U+0130 does), and the tokenizer
+    parts these: only units that are letters in lower case too are one word for certain.
     Texts with combining marks, which may compose with a letter of one case only, and texts
     with control strings are given to the tokenizer whole.
     """
@@ -77,7 +79,7 @@ class UnitIds:
 
     def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
         """Adds units; ``hashes`` are sorted and new."""
-        plain = [u.isalpha() and max(u) < "\u0250" for u in units]
+        plain = [u.isalpha() and max(u) < "\u0250" and u.lower().isalpha() for u in units]
         simple, other = [u for u, p in zip(units, plain) if p], [u for u, p in zip(units, plain) if not p]
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1

@@ -65,3 +65,18 @@ def test_units_equal_whole_texts():
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     for text, ids in zip(texts, ids_of.batch([t.encode() for t in texts])):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_every_latin_letter_equals_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    texts = [t for c in letters for t in (c, f"{c}stanbul", f"a {c}stanbul b", f"ab{c} Z{c}z, {c}{c}", f"9{c}'s")]
+    for text, ids in zip(texts, op.UnitIds(path).batch([t.encode() for t in texts])):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_document_with_a_dotted_capital(spark):
+    got = op.pack_documents(spark.createDataFrame([(1, "\u0130stanbul is large", 7, 8), (2, "plain", 7, 8)], DOCS)).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert {r["doc_id"]: r["length"] for r in got} == {1: len(tokenizer.encode("\u0130stanbul is large", add_special_tokens=False).ids) + 1, 2: len(tokenizer.encode("plain", add_special_tokens=False).ids) + 1}
