@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.vector import distances, top_k
+from ledgerlake.operators.vector import FOUND, QUERIES, distances, top_k
 
 #: Vectors that codebooks are trained on.
 SAMPLE = 10_000
+#: Queries that a task compares with a batch at once.
+BLOCK = 256
+#: Queries of one pass over graphs: each pass builds them again, which costs about as much as some thousand searches.
+GRAPH_QUERIES = 20_000
+
+Queries = list[tuple[int, list[float]]]
 
 
 def train_codebooks(vectors: DataFrame, subspaces: int = 16, bits: int = 4, rounds: int = 25) -> np.ndarray:
@@ -47,27 +53,34 @@ def distance_tables(query: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 def search_quantised(vectors: DataFrame, queries: list[tuple[int, list[float]]], books: np.ndarray, k: int, kind: str = "l2", widen: int = 10) -> DataFrame:
     """(query_id, vec_id, distance, rank): each task takes the k * widen nearest by code, compares them exactly, and keeps k."""
-    sent = vectors.sparkSession.sparkContext.broadcast((books, [(i, np.array(q, dtype=np.float64)) for i, q in queries]))
+    sent = vectors.sparkSession.sparkContext.broadcast((books, [i for i, _ in queries], np.array([q for _, q in queries], dtype=np.float64)))
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, asked = sent.value
-        best: dict[int, list[tuple[float, int]]] = {i: [] for i, _ in asked}
+        books, asked, matrix = sent.value
+        tables = np.stack([distance_tables(q, books).ravel() for q in matrix]) if asked else np.zeros((0, 0))
+        firsts = np.arange(len(books)) * books.shape[1]
+        best_d, best_v = np.full((len(asked), 0), np.inf), np.zeros((len(asked), 0), np.int64)
         for batch in batches:
             rows = [(v, e) for v, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if e is not None]
-            if not rows:
+            if not rows or not asked:
                 continue
             ids, x = np.array([v for v, _ in rows]), np.array([e for _, e in rows], dtype=np.float64)
-            codes = encode(x, books)
-            for i, q in asked:
-                near = distance_tables(q, books)[np.arange(len(books)), codes].sum(1)
-                some = np.argpartition(near, min(k * widen, len(near)) - 1)[: k * widen]
-                exact = distances(kind, q[None], x[some])[0]
-                best[i] = heapq.nsmallest(k, best[i] + list(zip(exact.tolist(), ids[some].tolist())))
-        rows = [(i, v, d) for i, found in best.items() for d, v in found]
-        columns = list(zip(*rows)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "distance"])
-
-    return top_k(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(search, "query_id long, vec_id long, distance double"), k)
+            marks = np.zeros((len(x), tables.shape[1]))
+            np.put_along_axis(marks, encode(x, books) + firsts, 1.0, axis=1)
+            new_d, new_v = [], []
+            for at in range(0, len(asked), BLOCK):
+                near = tables[at : at + BLOCK] @ marks.T
+                some = np.argpartition(near, min(k * widen, near.shape[1]) - 1, axis=1)[:, : k * widen]
+                exact = np.concatenate([distances(kind, q[None], x[s]) for q, s in zip(matrix[at : at + BLOCK], some)])
+                d, v = np.concatenate([best_d[at : at + BLOCK], exact], 1), np.concatenate([best_v[at : at + BLOCK], ids[some]], 1)
+                order = np.lexsort((v, d))[:, :k]
+                new_d.append(np.take_along_axis(d, order, 1))
+                new_v.append(np.take_along_axis(v, order, 1))
+            best_d, best_v = np.concatenate(new_d), np.concatenate(new_v)
+        q = np.repeat(np.array(asked, dtype=np.int64), best_d.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best_v.ravel()), pa.array(best_d.ravel())], ["query_id", "vec_id", "distance"])
+
+    return top_k(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(search, FOUND), k)
 
 
 class Graph:
@@ -152,4 +165,18 @@ def search_graphs(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
                 columns = list(zip(*found)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "distance"])
 
-    return top_k(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(search, "query_id long, vec_id long, distance double"), k)
+    return top_k(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(search, FOUND), k)
+
+
+def in_passes(queries: DataFrame, search: Callable[[Queries], DataFrame], most: int = QUERIES) -> DataFrame:
+    """``search`` of all ``queries(query_id, vector)``, ``most`` or so at once; null vectors find nothing."""
+    queries = queries.where("vector is not null")
+    n = max(1, -(-queries.count() // most))
+    out = None
+    for number in range(n):
+        some = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number)
+        rows = sorted((r["query_id"], list(r["vector"])) for r in some.collect())
+        if rows:
+            found = search(rows)
+            out = found if out is None else out.unionByName(found)
+    return queries.sparkSession.createDataFrame([], FOUND + ", rank int") if out is None else out

@@ -540,15 +540,21 @@ def n7_distances(spark, d):
     return v.groupBy("label").agg(F.round(F.avg("l"), 5).alias("l2"), F.round(F.avg("c"), 5).alias("cosine"))
 
 
+def _asked(v):
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 @query()
 def v15_quantised_search(spark, d):
     v = _vectors(spark, d)
-    return ann.search_quantised(v, _first(spark, d, 10), ann.train_codebooks(v), 10)
+    books = ann.train_codebooks(v)
+    return ann.in_passes(_asked(v), lambda some: ann.search_quantised(v, some, books, 10))
 
 
 @query()
 def v8_graph_search(spark, d):
-    return ann.search_graphs(_vectors(spark, d), _first(spark, d, 10), 10)
+    v = _vectors(spark, d)
+    return ann.in_passes(_asked(v), lambda some: ann.search_graphs(v, some, 10), ann.GRAPH_QUERIES)
 
 
 # --- routing ---------------------------------------------------------------------------

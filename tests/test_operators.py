@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import hashing
 from ledgerlake.functions.vectors import distance
 from ledgerlake.operators import ann, compact, events, kv, state, vector
+from ledgerlake.plans import catalogue
 from ledgerlake.sources import storage
 from ledgerlake.streaming import streams
 
@@ -182,3 +183,23 @@ def test_expired_and_deleted_are_told_apart(spark):
 def test_empty_range_is_refused(spark):
     with pytest.raises(ValueError):
         compact.range_compaction(spark.range(1), "b", "a")
+
+
+def test_registered_approximate_searches_take_all_stated_queries(spark, sf, monkeypatch):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label")
+    q = v.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as vector")
+    exact = {(r[0], r[1]) for r in vector.nearest_of_many(v, q, 10).collect()}
+    assert len(exact) == 10 * q.count() > 100
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    for name in ("v8_graph_search", "v15_quantised_search"):
+        found = [(r[0], r[1]) for r in catalogue.queries()[name](spark, sf).collect()]
+        assert len(found) == len(exact) and len(exact & set(found)) >= 0.9 * len(exact)
+
+
+def test_searches_in_passes(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label")
+    q = v.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as vector").unionAll(spark.createDataFrame([(-1, None)], "query_id long, vector array<float>"))
+    books = ann.train_codebooks(v)
+    one, many = (sorted(map(tuple, ann.in_passes(q, lambda some: ann.search_quantised(v, some, books, 10), most).select("query_id", "vec_id", "rank").collect())) for most in (1000, 9))
+    assert one == many != []
+    assert ann.in_passes(q.limit(0), None).count() == 0
