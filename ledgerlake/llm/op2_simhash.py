@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import common
@@ -105,7 +105,7 @@ def fingerprint(text: bytes | None) -> int:
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         f = np.array([fingerprint(t) for t in common.bytes_of(batch, "text")], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f)], ["doc_id", "row", "fp"])
 
 
 @common.kernel
@@ -177,6 +177,14 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare, "u long, v long")
 
 
+def _rooted(docs: DataFrame, row: Column) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp) of every row, and (fp, least, root) of every fingerprint; ``least`` is its smallest doc_id."""
+    signed = common.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, "doc_id long, row long, fp long"))
+    least = common.cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    node = common.connected_components(link_fingerprints(least.select("fp"))).withColumnsRenamed({"node": "fp", "component": "root"})
+    return signed, common.cut(least.join(node, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs(doc_id, text, ...)``.
 
@@ -184,10 +192,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id that links reach; rows without doc_id link others but name no component. Rows
     that repeat a doc_id are rows of their own. Other columns are ignored; no rows: no rows.
     """
-    signed = common.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, "doc_id long, fp long"))
-    least = common.cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    node = common.connected_components(link_fingerprints(least.select("fp"))).withColumnsRenamed({"node": "fp", "component": "root"})
-    rooted = common.cut(least.join(node, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    signed, rooted = _rooted(docs, F.lit(0))
     of_root = common.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     of_fp = common.cut(rooted.select("fp", "root").join(of_root, "root").select("fp", "component_id"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -197,13 +202,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Of rows that share this doc_id one stays; a component without any doc_id keeps one row.
+    Of its rows that share this doc_id one stays; a component without any doc_id keeps one row.
+    Rows are told apart by a number that is written with them, so ids may repeat or be null.
     """
-    kept = common.cut(near_duplicates(docs).where("doc_id <=> component_id").select("doc_id", "fingerprint"))
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = kept.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    return found if repeated.isEmpty() else found.dropDuplicates(["doc_id"])
+    rows = common.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    signed, rooted = _rooted(rows, F.col("_row"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = signed.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(first)["row"].alias("_row"))
+    return rows.join(common.cut(kept.select("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,6 +212,15 @@ class Matcher:
                     found[item_id] = (value, start, shape.words)
 
 
+def _passes(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The items, sent in passes of about ``ITEMS``."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    passes = max(1, -(-items.count() // ITEMS))
+    for number in range(passes):
+        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
+        yield benchmark.sparkSession.sparkContext.broadcast([(i, t.encode()) for i, t in sorted(map(tuple, part.collect()), key=str)])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words) of every item that a document holds.
 
@@ -220,13 +230,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     five words has one shingle, its whole sequence. Rows that repeat an id are rows of their own.
     Other columns are ignored; no documents or no items: no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = max(1, -(-items.count() // ITEMS))
     out = None
-    for number in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
-        own = docs.sparkSession.sparkContext.broadcast([(i, t.encode()) for i, t in sorted(map(tuple, part.collect()), key=str)])
+    for own in _passes(benchmark):
 
         @common.kernel
         def find(batches: Iterable[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
@@ -245,9 +251,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id holds an item of the benchmark."""
-    gone = common.cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct())
-    return common.join_checked(docs, gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """``docs`` without the rows whose text holds an item of the benchmark; ids may repeat or be null."""
+    for own in _passes(benchmark):
+
+        @common.kernel
+        def clean(batches: Iterable[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(Benchmark(own.value))
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.document(t) for t in common.bytes_of(batch, "text")], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

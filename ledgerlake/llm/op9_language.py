@@ -223,43 +223,57 @@ def identify(docs: DataFrame) -> DataFrame:
     nothing. ``und`` with score 0: null text, no letter, or no labelled row to learn from. Rows
     that repeat an id are judged one by one. Other columns are ignored; no rows: no rows.
     """
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
+    rows = _read(docs)
     model = docs.sparkSession.sparkContext.broadcast(train(sample_of(rows)))
 
     @common.kernel
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = model.value
-        labeller = Labeller(crf) if crf else None
-        for batch in batches:
-            sums = np.zeros((batch.num_rows, len(crf.labels) + 1 if crf else 2))
-            if labeller:
-                pending: list[list[list[bytes]]] = []
-                at = words = 0
-                for i, text in enumerate(common.bytes_of(batch, "text")):
-                    lines = [line.split() for line in (text or b"").split(b"\n")]
-                    pending.append(lines)
-                    for line in lines:
-                        labeller.learn(line)
-                    words += sum(map(len, lines))
-                    if words > BLOCK or i == batch.num_rows - 1:
-                        sums[at : i + 1] = labeller.block(pending)
-                        at, words, pending = i + 1, 0, []
-                        if len(labeller.known) > REMEMBERED:
-                            labeller.forget()
-            best, n = sums[:, :-1].argmax(1), sums[:, -1]
-            score = np.where(n > 0, sums[np.arange(len(n)), best] / np.maximum(n, 1), 0.0)
-            names = [crf.labels[b] if m > 0 else UNKNOWN for b, m in zip(best, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], ["doc_id", "held_out", "lang_pred", "score"])
+        for batch, names, score in _judged(batches, model.value):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.select("doc_id", "text", "held_out").mapInArrow(predict, PREDICTED)
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
+
+
+def _judged(batches: Iterable[pa.RecordBatch], crf: Crf | None) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+    """Batches with the language and score of each row."""
+    labeller = Labeller(crf) if crf else None
+    for batch in batches:
+        sums = np.zeros((batch.num_rows, len(crf.labels) + 1 if crf else 2))
+        if labeller:
+            pending: list[list[list[bytes]]] = []
+            at = words = 0
+            for i, text in enumerate(common.bytes_of(batch, "text")):
+                lines = [line.split() for line in (text or b"").split(b"\n")]
+                pending.append(lines)
+                for line in lines:
+                    labeller.learn(line)
+                words += sum(map(len, lines))
+                if words > BLOCK or i == batch.num_rows - 1:
+                    sums[at : i + 1] = labeller.block(pending)
+                    at, words, pending = i + 1, 0, []
+                    if len(labeller.known) > REMEMBERED:
+                        labeller.forget()
+        best, n = sums[:, :-1].argmax(1), sums[:, -1]
+        score = np.where(n > 0, sums[np.arange(len(n)), best] / np.maximum(n, 1), 0.0)
+        names = [crf.labels[b] if m > 0 else UNKNOWN for b, m in zip(best, n)]
+        yield batch, names, np.clip(score, 0, 1)
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (``und``, or a score under ``LEAST_SCORE``)."""
-    judged = identify(docs).where(f"lang_pred = '{UNKNOWN}' or score < {LEAST_SCORE}")
-    gone = common.cut(judged.select(F.col("doc_id").alias("_id")).distinct())
-    return common.join_checked(docs, gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """``docs`` without the rows whose language can't be told (``und``, or a score under ``LEAST_SCORE``); ids may repeat or be null."""
+    model = docs.sparkSession.sparkContext.broadcast(train(sample_of(_read(docs))))
+
+    @common.kernel
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, names, score in _judged(batches, model.value):
+            yield batch.filter(pa.array([name != UNKNOWN and s >= LEAST_SCORE for name, s in zip(names, score)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
