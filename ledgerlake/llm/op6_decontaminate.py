@@ -2,7 +2,7 @@
 
 Texts are lower-cased (A-Z), ASCII punctuation counts as space. Every item of the
 benchmark has the weighted SimHash of its 5-word shingles, and so has every window of as
-many words of a document. A fingerprint is cut into ``BLOCKS`` blocks; two fingerprints
+many words of a document; a shorter document is one window. A fingerprint is cut into ``BLOCKS`` blocks; two fingerprints
 within ``RADIUS`` bits agree in one block up to ``RADIUS // BLOCKS`` bits for certain, so
 an index that lists for every value of every block the items nearby finds all of them.
 Then the exact weighted Jaccard similarity of the two bags of shingles decides.
@@ -190,9 +190,9 @@ class Matcher:
             known_weight[maybe] = weight[maybe] = bench.heavy[gram][at]
             reached = np.append(0, np.cumsum(known_weight))
             for shape in bench.shapes.values():
-                n = shape.words - gram + 1
-                if shape.gram != gram or len(grams) < n:
+                if shape.gram != gram:
                     continue
+                n = min(shape.words - gram + 1, len(grams))
                 starts = np.flatnonzero(reached[n:] - reached[:-n] >= SIMILARITY * min(shape.total) - 1e-9)
                 if len(starts):
                     self._windows(shape, grams, weight, starts, n, found)
@@ -209,7 +209,7 @@ class Matcher:
                 start, item_id = int(some[w]), shape.ids[item]
                 value = bench.similarity(Counter(grams[start : start + n].tolist()), shape.bags[item], shape.gram)
                 if value >= SIMILARITY - 1e-12 and value > found.get(item_id, (0.0,))[0]:
-                    found[item_id] = (value, start, shape.words)
+                    found[item_id] = (value, start, n + shape.gram - 1)
 
 
 def _passes(benchmark: DataFrame) -> Iterator[Broadcast]:
@@ -226,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)``. similarity: the best weighted
     Jaccard similarity of a window, ``SIMILARITY`` or more; start: its first word (ties: the
-    first); n_words: its words. Null, empty and wordless texts match nothing; an item with under
+    first); n_words: its words, all of a document shorter than the item. Null, empty and wordless texts match nothing; an item with under
     five words has one shingle, its whole sequence. Rows that repeat an id are rows of their own.
     Other columns are ignored; no documents or no items: no rows.
     """

@@ -60,3 +60,23 @@ def test_empty_and_stage(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f g", 1, 1)], DOCS), spark.createDataFrame([(1, "a b c d e f g", 1)], ITEMS)
     assert op.contaminated(docs.limit(0), items).count() == 0 == op.contaminated(docs, items.limit(0)).count()
     assert op.keep_clean(docs, items).count() == 0 and op.keep_clean(docs, items.limit(0)).columns == docs.columns
+
+
+def test_documents_shorter_than_an_item(spark):
+    items = [(1, " ".join(f"i{n}" for n in range(37))), (2, " ".join(f"k{n % 11} j{n}" for n in range(20)))]
+    rows = [(100 * i + n, " ".join(t.split()[:n])) for i, t in items for n in range(3, len(t.split()) + 1)]
+    bench = op.Benchmark([(i, t.encode()) for i, t in items])
+    want = set()
+    for d, t in rows:
+        words = op.words_of(t.encode())
+        h = np.array([op.xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        for shape in bench.shapes.values():
+            for at in range(max(1, len(words) - shape.words + 1) if len(words) >= shape.gram else 0):
+                window = h[at : at + shape.words]
+                bag = Counter(op.grams_of(window, shape.gram).tolist())
+                want |= {(d, item, len(window)) for item, own in zip(shape.ids, shape.bags) if bench.similarity(bag, own, shape.gram) >= 0.8}
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS)
+    table = spark.createDataFrame([(*i, 1) for i in items], ITEMS)
+    assert {(r["doc_id"], r["item_id"], r["n_words"]) for r in op.contaminated(docs, table).collect()} == want
+    assert {(136, 1, 36), (239, 2, 39)} <= want and (110, 1, 10) not in want
+    assert op.keep_clean(docs.where("doc_id in (136, 110)"), table).count() == 1
