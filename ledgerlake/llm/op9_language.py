@@ -34,7 +34,7 @@ ROUNDS = 40
 #: Words whose scores a worker remembers, and words of one forward-backward block.
 REMEMBERED, BLOCK = 150_000, 150_000
 UNKNOWN = "und"
-#: A document whose best language has a smaller mean probability is rejected by the pipeline.
+#: A document whose words' most probable labels have a smaller mean probability is rejected by the pipeline.
 LEAST_SCORE = 0.5
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -169,9 +169,13 @@ class Labeller:
 
     def block(self, texts: list[list[list[bytes]]]) -> np.ndarray:
         """By document: the sums of label probabilities over words with letters, and their number."""
+        return self.block_and_sureness(texts)[:, :-1]
+
+    def block_and_sureness(self, texts: list[list[list[bytes]]]) -> np.ndarray:
+        """``block`` and the sum of the words' largest probabilities."""
         lines = [(d, line) for d, text in enumerate(texts) for line in text if line]
         k = len(self.model.labels)
-        out = np.zeros((len(texts), k + 1))
+        out = np.zeros((len(texts), k + 2))
         if not lines:
             return out
         lines.sort(key=lambda x: -len(x[1]))
@@ -205,6 +209,7 @@ class Labeller:
         for j in range(k):
             out[:, j] = np.bincount(doc, p[counted, j], len(texts))
         out[:, k] = np.bincount(doc, minlength=len(texts))
+        out[:, k + 1] = np.bincount(doc, p[counted].max(1), len(texts))
         return out
 
 
@@ -228,7 +233,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     @common.kernel
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, score in _judged(batches, model.value):
+        for batch, names, score, _ in _judged(batches, model.value):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.select("doc_id", "text", "held_out").mapInArrow(predict, PREDICTED)
@@ -239,11 +244,11 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
 
 
-def _judged(batches: Iterable[pa.RecordBatch], crf: Crf | None) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
-    """Batches with the language and score of each row."""
+def _judged(batches: Iterable[pa.RecordBatch], crf: Crf | None) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
+    """Batches with the language and score of each row, and how surely its words are labelled."""
     labeller = Labeller(crf) if crf else None
     for batch in batches:
-        sums = np.zeros((batch.num_rows, len(crf.labels) + 1 if crf else 2))
+        sums = np.zeros((batch.num_rows, len(crf.labels) + 2 if crf else 3))
         if labeller:
             pending: list[list[list[bytes]]] = []
             at = words = 0
@@ -254,24 +259,28 @@ def _judged(batches: Iterable[pa.RecordBatch], crf: Crf | None) -> Iterator[tupl
                     labeller.learn(line)
                 words += sum(map(len, lines))
                 if words > BLOCK or i == batch.num_rows - 1:
-                    sums[at : i + 1] = labeller.block(pending)
+                    sums[at : i + 1] = labeller.block_and_sureness(pending)
                     at, words, pending = i + 1, 0, []
                     if len(labeller.known) > REMEMBERED:
                         labeller.forget()
-        best, n = sums[:, :-1].argmax(1), sums[:, -1]
+        best, n = sums[:, :-2].argmax(1), sums[:, -2]
         score = np.where(n > 0, sums[np.arange(len(n)), best] / np.maximum(n, 1), 0.0)
         names = [crf.labels[b] if m > 0 else UNKNOWN for b, m in zip(best, n)]
-        yield batch, names, np.clip(score, 0, 1)
+        yield batch, names, np.clip(score, 0, 1), sums[:, -1] / np.maximum(n, 1)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (``und``, or a score under ``LEAST_SCORE``); ids may repeat or be null."""
+    """``docs`` without the rows whose language can't be told; ids may repeat or be null.
+
+    That is ``und``, or words whose most probable labels have a mean probability under
+    ``LEAST_SCORE``: text that mixes languages stays if its words are surely labelled.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(sample_of(_read(docs))))
 
     @common.kernel
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, score in _judged(batches, model.value):
-            yield batch.filter(pa.array([name != UNKNOWN and s >= LEAST_SCORE for name, s in zip(names, score)], pa.bool_()))
+        for batch, names, _, sure in _judged(batches, model.value):
+            yield batch.filter(pa.array([name != UNKNOWN and s >= LEAST_SCORE for name, s in zip(names, sure)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

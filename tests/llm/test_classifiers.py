@@ -105,3 +105,13 @@ def test_toxicity_odd_rows(spark):
         got = tox.score_documents(docs, y).collect()
         assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert tox.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_mixed_languages_stay(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = [r[0] for r in docs.where("lang is not null").groupBy("lang").count().orderBy("count", ascending=False).limit(3).collect()]
+    by = {k: " ".join(" ".join(r["text"] for r in docs.where(docs.lang == k).orderBy("doc_id").limit(20).collect()).split()[:300]) for k in labels}
+    rows = docs.select("doc_id", "text", "lang", "source", docs.doc_id.cast("double").alias("score")).unionAll(spark.createDataFrame([(-1, "\n".join(by.values()), None, "mixed", None)], DOCS))
+    got = {r["doc_id"]: r["score"] for r in lang.identify(rows).where("doc_id = -1").collect()}
+    assert 0.2 < got[-1] < lang.LEAST_SCORE
+    assert lang.keep_identified(rows).where("doc_id = -1").count() == 1
