@@ -8,7 +8,8 @@ don't cross those of another class, and valid classes nest: those that occur onc
 are the frame, the others lie within the slots between its tokens. What the frame leaves
 open are the slots. Slots in menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments are dropped, blocks that hold nothing but words of the frame are
-boilerplate wherever no article marks them as text, and the slots of the article (without one: of the element whose slots
+boilerplate wherever no article marks them as text if the same text stands on another page
+whose whole text differs (copies of a page are one page here), and the slots of the article (without one: of the element whose slots
 hold the most text that isn't links) are the page's text.
 
 Hosts with many pages are cut into groups of about ``GROUP`` pages by a hash of the page,
@@ -215,12 +216,35 @@ def nest(classes: list[tuple[tuple[int, ...], list[tuple]]]) -> tuple[set[tuple]
     return frame, depth
 
 
+def _run(t) -> tuple[str, str]:
+    """A run of text and its path."""
+    return t.role[0], " ".join(t.text.split())
+
+
+def distinct(pages: list[Page]) -> list[Page]:
+    """Pages that differ in their text outside dropped elements: of copies the first."""
+    found: dict[tuple, Page] = {}
+    for page in pages:
+        found.setdefault(tuple(_run(t) for t in page.tokens if t.text and not t.node.drop), page)
+    return list(found.values())
+
+
+def recurring(pages: list[Page]) -> set[tuple[str, str]]:
+    """Runs of text outside articles that stand on more than one of ``pages``."""
+    seen: Counter = Counter()
+    for page in pages:
+        seen.update({_run(t) for t in page.tokens if t.text and not t.node.drop and not t.node.main})
+    return {run for run, n in seen.items() if n > 1}
+
+
 def extract(sources: list[str | None]) -> list[str]:
     """The main text of pages of one host."""
     pages = [tokenize(s or "") for s in sources]
-    frame, depth = nest(equivalence_classes(pages))
+    differing = distinct(pages)
+    frame, depth = nest(equivalence_classes(differing))
+    again = recurring(differing)
     out = []
-    chosen = _containers(pages, depth)
+    chosen = _containers(differing, depth, again)
     for page in pages:
         has_article = any(t.node.main and not t.node.drop for t in page.tokens)
         blocks: dict[int, list[str]] = {}
@@ -233,19 +257,19 @@ def extract(sources: list[str | None]) -> list[str]:
                     blocks.setdefault(t.block, []).append(t.text)
             elif t.role[0] in chosen:
                 blocks.setdefault(t.block, []).append(t.text)
-                own.setdefault(t.block, []).extend(w not in frame for w in _spoken(t))
+                own.setdefault(t.block, []).extend(w not in frame or _run(t) not in again for w in _spoken(t))
         found = (_SPACE.sub(" ", entities.unescape("".join(parts))).strip() for b, parts in sorted(blocks.items()) if any(own.get(b, [True])))
         out.append("\n\n".join(b for b in found if b))
     return out
 
 
-def _containers(pages: list[Page], depth: dict[tuple, int]) -> set[str]:
+def _containers(pages: list[Page], depth: dict[tuple, int], again: set[tuple[str, str]]) -> set[str]:
     """Paths of the slots that are text where no article says so: those below the element with the most text outside links."""
     plain: Counter = Counter()
     for page in pages:
         for t in page.tokens:
             if t.text and not t.node.drop and not t.node.main:
-                n = sum(len(w) - 1 for _, w in _spoken(t)) if any(w not in depth for w in _spoken(t)) else 0
+                n = sum(len(w) - 1 for _, w in _spoken(t)) if _run(t) not in again or any(w not in depth for w in _spoken(t)) else 0
                 plain[t.role[0]] += -n if t.node.link else n
     if not plain:
         return set()

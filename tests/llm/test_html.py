@@ -71,3 +71,15 @@ def test_large_hosts_nulls_and_repeats(spark, monkeypatch):
 
 def test_empty(spark):
     assert op.main_texts(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_copies_of_a_page_keep_their_text():
+    text = lambda n: f"<h2>Title{n}</h2><p>Every{n} word{n} stands{n} here{n} once{n}.</p><p>More{n} of{n} it{n}.</p>"
+    want = lambda n: f"Title{n}\n\nEvery{n} word{n} stands{n} here{n} once{n}.\n\nMore{n} of{n} it{n}."
+    copies = [site(n, text("x")) for n in range(32)]
+    got = op.extract(copies + [site(40 + n, text(n)) for n in range(32)])
+    assert got == [want("x")] * 32 + [want(n) for n in range(32)]
+    for got in op.extract(copies[:2]):
+        assert want("x") in got
+    words = ["one two three", "three one two", "two three one"]
+    assert [w in t for w, t in zip(words, op.extract([site(n, f"<p>{w}</p>") for n, w in enumerate(words)]))] == [True] * 3
