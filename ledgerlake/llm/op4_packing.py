@@ -4,8 +4,8 @@ Every open sequence has three residual capacities: tokens, documents and attenti
 (the sum of squared piece lengths). Pieces, longest first, go to the open sequence that
 satisfies every constraint and scores best, by the weighted norm of what would be left or
 by the weighted dot product of demand and residual; if none can take the piece, a
-sequence is opened. Sequences are held by residual tokens, so that the tightest levels
-are looked at first, and all others only if no sequence of those is feasible.
+sequence is opened. Sequences are held by their residuals: a bound on the score of every level of
+residual tokens tells which levels can hold the best one, so the choice is exact.
 
 Pieces are dealt into groups of about ``GROUP`` by a hash of the document, and each group
 is packed by one task: the loss is at most one partly filled sequence for each group.
@@ -31,8 +31,6 @@ TOKENS = 2048
 GROUP = 100_000
 #: Units whose ids a worker remembers, and bytes of text that are looked up at once.
 REMEMBERED, CHUNK = 1_000_000, 1_000_000
-#: Sequences of the tightest levels that are scored before one is chosen.
-LOOKED_AT = 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -58,7 +56,8 @@ class UnitIds:
     The tokenizer never joins what white space parts, nor a letter, a digit or punctuation
     with another of these (next to an apostrophe or a byte beyond ASCII it may, so nothing is
     cut there), and it takes upper case for lower. So a text's ids are those of its units in
-    order, and each unit is given to the tokenizer once; a unit is known by 64 hash bits.
+    order, and each unit is given to the tokenizer once. A unit is looked up by 64 hash bits and
+then compared byte by byte; a text with a unit that only shares its hash goes to the tokenizer whole.
     A letter may become a letter and a mark in lower case (U+0130 does), and the tokenizer
     parts these: only units that are letters in lower case too are one word for certain.
     Texts with combining marks, which may compose with a letter of one case only, and texts
@@ -74,17 +73,20 @@ class UnitIds:
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.offset = self.length = np.zeros(0, np.int64)
+        self.offset = self.length = np.zeros(0, np.int64)  # of a unit's ids in the pool
         self.pool = np.zeros(0, np.uint32)
+        self.at = self.size = np.zeros(0, np.int64)  # of a unit's own bytes
+        self.spelt = np.zeros(0, np.uint8)
 
     def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
         """Adds units; ``hashes`` are sorted and new."""
         plain = [u.isalpha() and max(u) < "\u0250" and u.lower().isalpha() for u in units]
-        simple, other = [u for u, p in zip(units, plain) if p], [u for u, p in zip(units, plain) if not p]
+        simple = [u for u, p in zip(units, plain) if p]
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(simple):
-            raise RuntimeError("a unit isn't one word of the tokenizer")
+        if len(ends) != len(simple):  # one of them isn't one word of the tokenizer
+            plain, ids, ends = [False] * len(units), ids[:0], ends[:0]
+        other = [u for u, p in zip(units, plain) if not p]
         odd = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
         length = np.zeros(len(units), np.int64)
         offset = np.zeros(len(units), np.int64)
@@ -94,13 +96,18 @@ class UnitIds:
         length[~mask] = [len(x) for x in odd]
         offset[~mask] = len(ids) + np.cumsum(length[~mask]) - length[~mask]
         at = np.searchsorted(self.hashes, hashes)
+        spelt = [u.encode() for u in units]
+        size = np.array([len(b) for b in spelt])
+        self.at = np.insert(self.at, at, np.cumsum(size) - size + len(self.spelt))
+        self.size = np.insert(self.size, at, size)
+        self.spelt = np.concatenate([self.spelt, np.frombuffer(b"".join(spelt), np.uint8)])
         self.offset = np.insert(self.offset, at, offset + len(self.pool))
         self.length = np.insert(self.length, at, length)
         self.hashes = np.insert(self.hashes, at, hashes)
         self.pool = np.concatenate([self.pool, ids, *odd])
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def __call__(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of each text, and the texts whose ids aren't theirs: a unit's hash is that of another."""
         raw = np.frombuffer(b"\n".join(t.lower() for t in texts) + b"\n", np.uint8)
         kind = KINDS[raw]
         now, after = kind[:-1], kind[1:]
@@ -122,18 +129,26 @@ class UnitIds:
             self._learn(found[new], [text[x:y].decode() for x, y in zip(begins[first[new]].tolist(), ends[first[new]].tolist())])
             at = np.searchsorted(self.hashes, found)
         row = at[where]
+        size = ends - begins
+        other = self.size[row] != size
+        known = np.repeat(self.at[row] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        differs = self.spelt[np.minimum(known, len(self.spelt) - 1)] != raw[kind > 0] if len(size) else np.zeros(0, bool)
+        if differs.any():
+            other |= np.add.reduceat(differs, np.cumsum(size) - size) > 0
+        limits = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))
+        wrong = np.unique(np.searchsorted(limits, np.flatnonzero(other), "right")).tolist()
         length = self.length[row]
         behind = np.cumsum(length)
         ids = self.pool[np.repeat(self.offset[row] - behind + length, length) + np.arange(behind[-1] if len(behind) else 0)]
-        limits = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))
         cuts = np.concatenate([[0], behind])[limits]
-        return np.split(ids, cuts[:-1]) if texts else []
+        return (np.split(ids, cuts[:-1]) if texts else []), wrong
 
     def batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; odd texts go to the tokenizer whole."""
         odd = [i for i, t in enumerate(texts) if b"<|" in t or b"\xcc" in t or b"\xcd" in t]
-        out = self([b"" if i in set(odd) else t for i, t in enumerate(texts)] if odd else texts)
-        for i in odd:
+        left = set(odd)
+        out, wrong = self([b"" if i in left else t for i, t in enumerate(texts)] if odd else texts)
+        for i in odd + wrong:
             out[i] = np.array(self.tokenizer.encode_batch_fast([texts[i].decode()], add_special_tokens=False)[0].ids, np.uint32)
         return out
 
@@ -181,43 +196,62 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, end_id: int =
 
 
 class Packer:
-    """Best fit under the capacities (tokens, documents, attention cost)."""
+    """Best fit under the capacities (tokens, documents, attention cost).
+
+    Open sequences are held by level (residual tokens), then by their other residuals, so that
+    equal ones are scored once. ``bound`` has the best other residuals of each level: with
+    them no sequence of a level scores better than the level's bound, and levels are searched
+    in the order of their bounds until no other can hold a better one.
+    """
 
     def __init__(self, capacities: tuple[int, int, int], weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm"):
         if rule not in ("norm", "dot"):
             raise ValueError(f"unknown rule {rule!r}")
         self.capacities, self.weights, self.rule = capacities, weights, rule
+        self.best = min if rule == "norm" else max
         self.left: list[tuple[int, int, int]] = []
-        self.levels: list[list[int]] = [[] for _ in range(capacities[0] + 1)]
-        self.used = 0  # bit r: a sequence with r residual tokens is open
+        self.levels: list[dict[tuple[int, int], list[int]]] = [{} for _ in range(capacities[0] + 1)]
+        self.bound = np.full((3, capacities[0] + 1), np.nan)
+        self.bound[0] = np.arange(capacities[0] + 1)
 
-    def score(self, bin_id: int, demand: tuple[int, int, int]) -> float:
-        """Smaller is better."""
-        left = self.left[bin_id]
+    def score(self, left, demand: tuple[int, int, int]):
+        """Smaller is better; ``left`` are residuals or arrays of them."""
+        parts = zip(self.weights, demand, left, self.capacities)
         if self.rule == "dot":
-            return -sum(w * d * r / (c * c) for w, d, r, c in zip(self.weights, demand, left, self.capacities))
-        return sum(w * ((r - d) / c) ** 2 for w, d, r, c in zip(self.weights, demand, left, self.capacities))
-
-    def choose(self, demand: tuple[int, int, int]) -> tuple[int, int] | None:
-        """(level, position) of the best feasible sequence among the tightest, else of any feasible one."""
-        best, found, seen = None, None, 0
-        above = self.used >> demand[0] << demand[0]
-        while above:
-            bit = above & -above
-            above ^= bit
-            level = bit.bit_length() - 1
-            row = self.levels[level]
-            for at in range(len(row) - 1, -1, -1):
-                left = self.left[row[at]]
-                if left[1] >= demand[1] and left[2] >= demand[2]:
-                    value = self.score(row[at], demand)
-                    if best is None or value < best:
-                        best, found = value, (level, at)
-                seen += 1
-                if seen >= LOOKED_AT and found is not None:
-                    return found
+            return -sum(w * (d / c) * (r / c) for w, d, r, c in parts)
+        return sum(w * ((r - d) / c) ** 2 for w, d, r, c in parts)
+
+    def choose(self, demand: tuple[int, int, int]) -> tuple[int, tuple[int, int]] | None:
+        """(level, other residuals) of the feasible sequence that scores best; of equal ones that with the fewest tokens left."""
+        left = self.bound[:, demand[0] :]
+        if self.rule == "norm":  # what is infeasible scores no better than what just fits
+            left = np.maximum(left, np.array(demand)[:, None])
+        bounds = np.nan_to_num(self.score(left, demand), nan=np.inf)
+        best, found = np.inf, None
+        while (at := int(bounds.argmin()), bounds[at] < best)[1]:
+            level = at + demand[0]
+            for other in self.levels[level]:
+                if other[0] >= demand[1] and other[1] >= demand[2] and (value := self.score((level, *other), demand)) < best:
+                    best, found = value, (level, other)
+            bounds[at] = np.inf
         return found
 
+    def _open(self, level: int, other: tuple[int, int], bin_id: int) -> None:
+        self.levels[level].setdefault(other, []).append(bin_id)
+        self._bound(level)
+
+    def _bound(self, level: int) -> None:
+        held = self.levels[level]
+        self.bound[1:, level] = [self.best(x) for x in zip(*held)] if held else np.nan
+
+    def _take(self, level: int, other: tuple[int, int]) -> int:
+        own = self.levels[level][other]
+        bin_id = own.pop()
+        if not own:
+            del self.levels[level][other]
+            self._bound(level)
+        return bin_id
+
     def place(self, length: int) -> tuple[int, int]:
         """(sequence, offset) of a piece."""
         demand = (length, 1, length * length)
@@ -228,17 +262,11 @@ class Packer:
             bin_id, left = len(self.left), self.capacities
             self.left.append(left)
         else:
-            row = self.levels[at[0]]
-            bin_id = row[at[1]]
-            row[at[1]] = row[-1]
-            row.pop()
-            if not row:
-                self.used ^= 1 << at[0]
+            bin_id = self._take(*at)
             left = self.left[bin_id]
         self.left[bin_id] = now = (left[0] - demand[0], left[1] - 1, left[2] - demand[2])
-        if now[0] and now[1] and now[2]:
-            self.levels[now[0]].append(bin_id)
-            self.used |= 1 << now[0]
+        if all(now):
+            self._open(now[0], now[1:], bin_id)
         return bin_id, self.capacities[0] - left[0]
 
 
@@ -246,8 +274,9 @@ def pack(parts: DataFrame, tokens: int = TOKENS, documents: int | None = None, a
     """``parts`` (already cut) with sequence_id and offset.
 
     The default capacities for documents and attention cost hold for any sequence that the
-    tokens allow, so they cost no sequences; smaller ones bind. Rows repeated in ``parts``
-    are packed one by one; no rows: no rows.
+    tokens allow, so they cost no sequences; smaller ones bind. Rows repeated in ``parts`` and
+    rows without id are packed one by one and dealt over the groups like any others; equally
+    long pieces go by document and piece, nulls first; no rows: no rows.
     """
     capacities = (tokens, documents or tokens, attention or tokens * tokens)
     groups = max(1, -(-parts.count() // GROUP))
@@ -262,12 +291,16 @@ def pack(parts: DataFrame, tokens: int = TOKENS, documents: int | None = None, a
         group = group.drop_columns(["part"])
         return group.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 32))).append_column("offset", pa.array(offset))
 
-    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     return dealt.groupBy("part").applyInArrow(pack_group, PLACES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, **capacities) -> DataFrame:
-    """Pieces of ``docs(doc_id, text, ...)`` and their places; null text counts as empty."""
+    """Pieces of ``docs(doc_id, text, ...)`` and their places, as ``pieces`` and ``pack`` say.
+
+    Null text counts as empty: one piece, the end id. Rows that repeat an id, or have none, are
+    documents of their own. Other columns are ignored; no rows: no rows.
+    """
     parts = common.cut(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacities.get("tokens", TOKENS)))
     return pack(parts, **capacities)
 

@@ -80,3 +80,49 @@ def test_a_document_with_a_dotted_capital(spark):
     got = op.pack_documents(spark.createDataFrame([(1, "\u0130stanbul is large", 7, 8), (2, "plain", 7, 8)], DOCS)).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert {r["doc_id"]: r["length"] for r in got} == {1: len(tokenizer.encode("\u0130stanbul is large", add_special_tokens=False).ids) + 1, 2: len(tokenizer.encode("plain", add_special_tokens=False).ids) + 1}
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_the_choice_is_the_best_of_all_feasible_sequences(rule):
+    rng = random.Random(2)
+    packer = op.Packer((100, 4, 3000), weights=(1.0, 0.5, 0.7), rule=rule)
+    for _ in range(1500):
+        length = rng.randint(1, 50)
+        demand, before = (length, 1, length * length), list(packer.left)
+        scores = [packer.score(left, demand) for left in before if all(r >= d for r, d in zip(left, demand)) and all(left)]
+        b, _ = packer.place(length)
+        if scores:
+            assert packer.score(before[b], demand) == pytest.approx(min(scores), abs=1e-12)
+        else:
+            assert b == len(before)
+
+
+def check(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    for text, ids in zip(texts, op.UnitIds(path).batch([t.encode() for t in texts])):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_every_character_in_many_places_equals_whole_texts():
+    characters = [chr(c) for c in [*range(0x3000), 0xFB01, 0xFEFF, 0x1F600, 0x1D400, 0x10FFFF]]
+    for form in ("a{0}b", "1{0}2 {0}", ".{0}, I{0} {0}S", "x'{0}s {0}{0}"):
+        check([form.format(c) for c in characters])
+
+
+def test_words_that_share_a_hash_keep_their_own_ids():
+    word, other = "a", "b"
+    for _ in range(11):
+        word, other = word + other, other + word  # their polynomial hashes modulo 2^64 are equal
+    check([word, other, f"{word} {other} x", f"{other} x", word])
+    ids_of = op.UnitIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert [ids_of([t.encode()])[1] for t in (word, other, "x")] == [[], [0], []]
+
+
+def test_rows_repeated_often_are_dealt_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(op, "GROUP", 50)
+    got = op.pack_documents(spark.createDataFrame([(1, "same words", 7, 8)] * 300 + [(None, None, 1, 1)] * 100, DOCS)).collect()
+    groups = {}
+    for r in got:
+        groups[r["sequence_id"] >> 32] = groups.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(got) == 400 and len(groups) > 4 and max(groups.values()) < 150
