@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,14 +24,22 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import common
 
-#: The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
-PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The base patterns are
+#: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
+#: ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
+#: card [0-9]([\x20-]?[0-9])+
+#: phone \+[0-9][\x20().0-9-]+[0-9]
+#: They are matched in linear time: from the start of a run of digits, possessively (what
+#: follows a run is never in it, so giving back doesn't help), or from a mark outwards.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone", "secret")
 
-_HIDDEN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
+_AT = re.compile(r"\(at\)|\[at\]", re.IGNORECASE)
+_HIDDEN_DOMAIN = re.compile(r" ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++", re.IGNORECASE)
 _DIGITS = re.compile(r"(?<![0-9A-Za-z.])\(?[0-9][0-9 ().-]{7,22}[0-9](?![0-9A-Za-z])")
 _SECRET = re.compile(r"(?:passw(?:or)?d|pwd|token|secret|api[_-]?key)\s*[=:]\s*\"?([^\s\"]{6,})\"?", re.IGNORECASE)
 _PHONE_SHAPE = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$")
@@ -58,20 +67,44 @@ def luhn(digits: str) -> bool:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed, then start."""
-    found = []
-    if "@" in text:
-        found += [("email", *m.span()) for m in EMAIL.finditer(text)]
-    found += [("ip", *m.span()) for m in IP.finditer(text) if all(_small(p) for p in m[0].split("."))]
-    for m in CARD.finditer(text):
+    found = [("email", *span) for span in _around(text, ((i, i + 1) for i in _places(text, "@")), _DOMAIN, "")]
+    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(_small(p) for p in m[0].split("."))]
+    for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
                 found.append(("card", *m.span()))
     if "+" in text:
-        found += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+        found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
     return found
 
 
+def _places(text: str, mark: str) -> Iterator[int]:
+    at = text.find(mark)
+    while at >= 0:
+        yield at
+        at = text.find(mark, at + 1)
+
+
+def _around(text: str, marks: Iterable[tuple[int, int]], domain: re.Pattern, gap: str) -> Iterator[tuple[int, int]]:
+    """Spans of addresses: before each mark a local part (and ``gap``), behind it a domain; none overlap.
+
+    Only what lies between two marks is looked at for the second, so each character is once.
+    """
+    low = 0
+    for at, behind in marks:
+        if at < low:
+            continue
+        before = text[low:at]
+        if gap and before.endswith(gap):
+            before = before[: -len(gap)]
+        start = low + len(before.rstrip(_LOCAL))
+        m = domain.match(text, behind) if start < low + len(before) else None
+        if m:
+            yield start, m.end()
+        low = m.end() if m else behind
+
+
 def _small(part: str) -> bool:
     """Whether a run of digits is at most 255, however many zeros lead."""
     part = part.lstrip("0")
@@ -80,21 +113,26 @@ def _small(part: str) -> bool:
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, tuple[int, ...]]]:
     """(kind, start, end, votes) of looser spans that no base span and no earlier candidate overlaps."""
-    taken = sorted((a, b) for _, a, b in base)
-    loose: list[tuple[str, int, int]] = []
-    if "@" not in text or "at" in text.lower():
-        if "(at)" in (low := text.lower()) or "[at]" in low:
-            loose += [("email", *m.span()) for m in _HIDDEN_EMAIL.finditer(text)]
+    loose = [("email", *span) for span in _around(text, (m.span() for m in _AT.finditer(text)), _HIDDEN_DOMAIN, " ")]
     if "=" in text or ":" in text:
         loose += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
     for m in _DIGITS.finditer(text):
         n = sum(map(len, _GROUPS.findall(m[0])))
         if 8 <= n <= 19:
             loose.append(("phone" if n <= 15 else "card", *m.span()))
-    out = []
+    taken: list[list[int]] = []  # the base spans, united
+    for x, y in sorted((x, y) for _, x, y in base):
+        if taken and x < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], y)
+        else:
+            taken.append([x, y])
+    out, last = [], 0
     for kind, a, b in sorted(loose, key=lambda x: (x[1], -x[2])):
-        if not any(a < y and x < b for x, y in taken):
-            taken.append((a, b))
+        at = bisect_left(taken, a, key=lambda span: span[1])  # the first that may reach behind a
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if a >= last and (at == len(taken) or taken[at][0] >= b):
+            last = b
             out.append((kind, a, b, votes(kind, text, a, b)))
     return out
 

@@ -1,4 +1,9 @@
 import hashlib
+import random
+import re
+import time
+
+import pytest
 
 from ledgerlake.llm import op7_pii as op
 
@@ -11,6 +16,46 @@ def test_base_spans():
     assert op.base_spans("") == [] and op.base_spans("0000001.2.3.4")[0] == ("ip", 0, 13) and not op.base_spans("+1234567")
 
 
+def luhn(digits):
+    total = 0
+    for place, d in enumerate(map(int, reversed(digits))):
+        total += d if place % 2 == 0 else sum(divmod(2 * d, 10))
+    return total % 10 == 0
+
+
+def spans_by_definition(text):
+    """The base patterns as stated, by the regular expression engine, with the checks written anew."""
+    digits = lambda t: [c for c in t if c in "0123456789"]
+    checks = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(x) <= 255 for x in t.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda t: 16 <= len(digits(t)) <= 19 and luhn(digits(t))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 8 <= len(digits(t)) <= 15),
+    }
+    return [(kind, *m.span()) for kind, (pattern, fits) in checks.items() for m in re.finditer(pattern, text) if fits(m[0])]
+
+
+def test_base_spans_equal_their_definition():
+    rng = random.Random(5)
+    for alphabet, n in (("a@.-_+1", 60), ("12.0", 60), ("4111 -", 80), ("+1 ().-9x", 80), ("aZ0@.%+- (1)\n\u00e9\u0661", 200), ("ab@c.d 10.2.3.4 4111111111111111 +1555", 300)):
+        for _ in range(2000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, n)))
+            assert op.base_spans(text) == spans_by_definition(text), repr(text)
+    cards = ["4111111111111111", "4111 1111-1111 1111", "6011000990139424", "4111111111111112"]
+    for _ in range(500):
+        text = rng.choice(["", " ", "x", "1 ", "-"]).join(rng.choice(cards) for _ in range(3))
+        assert op.base_spans(text) == spans_by_definition(text), repr(text)
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "1 ", "1.", "@", "a@", "a@b.", "(at)", "a (at) ", "a(at)b.", "+1", "+1 (", "((", "token", "token=", "password ", "a.b@c.de 10.1.2.3 ", "555-123-4567 "])
+def test_long_runs_take_linear_time(unit):
+    judge = op.aggregate({})
+    began = time.perf_counter()
+    op.all_spans(unit * (1_000_000 // len(unit)), judge)
+    op.all_spans(unit * (500_000 // len(unit)) + "@x", judge)
+    assert time.perf_counter() - began < 6
+
+
 def test_reliabilities_are_recovered():
     # labelers 0 and 1 agree mostly, labeler 3 is a coin
     counts = {}
