@@ -5,9 +5,12 @@ benchmark has the weighted SimHash of its 5-word shingles, and so has every wind
 many words of a document; a shorter document is one window. A fingerprint is cut into ``BLOCKS`` blocks; two fingerprints
 within ``RADIUS`` bits agree in one block up to ``RADIUS // BLOCKS`` bits for certain, so
 an index that lists for every value of every block the items nearby finds all of them.
-Then the exact weighted Jaccard similarity of the two bags of shingles decides.
+Then the exact weighted Jaccard similarity of the two bags of shingles decides. A shingle
+weighs as many as its words have letters (bytes of UTF-8), so long words say more than short
+ones; the weight is the shingle's own, whatever else is in the benchmark, and sums of weights
+are whole numbers.
 
-Windows whose shingles weigh too little in the benchmark to reach the similarity with any
+Windows of whose weight too little is in the benchmark to reach the similarity with any
 item of their length are passed over: that bound is exact, and it is what makes windows at
 every word of every document affordable. ``RADIUS`` is 20 of 64 bits: at the smallest
 similarity that counts, 0.8, fingerprints differ in 9.7 bits on average (standard
@@ -16,7 +19,7 @@ deviation 2.9), and farther pairs differ in more.
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -38,6 +41,8 @@ ITEMS = 10_000
 #: Items of one index table (its size is BLOCKS * 65536 * INDEXED / 8 bytes).
 INDEXED = 512
 REMEMBERED = 250_000
+#: Windows that are signed at once start within so many words.
+STRETCH = 8192
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -57,10 +62,24 @@ def grams_of(h: np.ndarray, gram: int) -> np.ndarray:
     return g ^ (g >> np.uint64(29))
 
 
+def weights_of(sizes: np.ndarray, gram: int) -> np.ndarray:
+    """Weight of each gram, from the bytes of each word."""
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+    return total[gram:] - total[:-gram]
+
+
 def signed(grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weight of each gram towards each of 64 bits."""
     bits = np.unpackbits(grams.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return (bits.astype(np.float64) * 2 - 1) * weights[:, None]
+    return np.where(bits, weights[:, None], -weights[:, None])
+
+
+def fingerprints_of(grams: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of the ``n`` grams at each of ``starts``, which lie within a stretch."""
+    low = starts[0]
+    total = np.cumsum(signed(grams[low : starts[-1] + n], weights[low : starts[-1] + n]), axis=0, dtype=np.int64)
+    total = np.concatenate([np.zeros((1, 64), np.int64), total])
+    return packed(total[starts - low + n] - total[starts - low])
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
@@ -73,53 +92,45 @@ class Shape:
 
     words: int
     gram: int
-    ids: list[int] = field(default_factory=list)
+    ids: list[int | None] = field(default_factory=list)
     bags: list[Counter] = field(default_factory=list)
-    total: list[float] = field(default_factory=list)
+    total: list[int] = field(default_factory=list)
     fingerprints: np.ndarray | None = None
 
 
 class Benchmark:
-    """Items by length, with the weights of their shingles (rare in the benchmark: heavier)."""
+    """Items by length, with the weights of their shingles."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int | None, bytes]]):
         self.shapes: dict[int, Shape] = {}
-        hashed = []
-        count: dict[int, Counter] = {}
+        self.weight: dict[int, dict[int, int]] = {}
         for item_id, text in items:
             if words := words_of(text):
-                h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
                 gram = min(SHINGLE, len(words))
-                grams = grams_of(h, gram)
-                hashed.append((item_id, len(words), gram, grams))
-                count.setdefault(gram, Counter()).update(set(grams.tolist()))
-        n = max(1, len(hashed))
-        self.unseen = 1 + math.log(n)
-        self.weight = {g: {s: 1 + math.log(n / c) for s, c in of.items()} for g, of in count.items()}
-        self.grams = {g: np.array(sorted(of), dtype=np.uint64) for g, of in count.items()}
-        self.heavy = {g: np.array([self.weight[g][s] for s in sorted(of)]) for g, of in count.items()}
-        for item_id, words, gram, grams in hashed:
-            shape = self.shapes.setdefault(words, Shape(words, gram))
-            shape.ids.append(item_id)
-            shape.bags.append(Counter(grams.tolist()))
-            shape.total.append(sum(self.weight[gram][s] for s in grams.tolist()))
-            w = np.array([self.weight[gram][s] for s in grams.tolist()])
-            fp = packed(signed(grams, w).sum(0, keepdims=True))
-            shape.fingerprints = fp if shape.fingerprints is None else np.append(shape.fingerprints, fp)
+                grams = grams_of(np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64), gram)
+                weights = weights_of(np.array([len(w) for w in words]), gram)
+                self.weight.setdefault(gram, {}).update(zip(grams.tolist(), weights.tolist()))
+                shape = self.shapes.setdefault(len(words), Shape(len(words), gram))
+                shape.ids.append(item_id)
+                shape.bags.append(Counter(grams.tolist()))
+                shape.total.append(int(weights.sum()))
+                fp = packed(signed(grams, weights).sum(0, keepdims=True))
+                shape.fingerprints = fp if shape.fingerprints is None else np.append(shape.fingerprints, fp)
+        self.grams = {g: np.array(sorted(of), dtype=np.uint64) for g, of in self.weight.items()}
         self.flags = {}
         for g, of in self.grams.items():
             flag = np.zeros(1 << 20, bool)
             flag[(of & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             self.flags[g] = flag
 
-    def similarity(self, bag: Counter, other: Counter, gram: int) -> float:
-        weight = self.weight[gram]
-        both = either = 0.0
-        for s in bag.keys() | other.keys():
-            w = weight.get(s, self.unseen)
-            both += w * min(bag[s], other[s])
-            either += w * max(bag[s], other[s])
-        return both / either if either else 0.0
+
+def similarity(bag: Counter, other: Counter, weight: dict[int, int]) -> float:
+    """Weighted Jaccard similarity; ``weight`` has the grams of both."""
+    both = either = 0
+    for s in bag.keys() | other.keys():
+        both += weight[s] * min(bag[s], other[s])
+        either += weight[s] * max(bag[s], other[s])
+    return both / either if either else 0.0
 
 
 class Index:
@@ -169,56 +180,69 @@ class Matcher:
                 known[w] = xxhash.xxh64_intdigest(w)
         return np.array([known[w] for w in words], dtype=np.uint64)
 
-    def document(self, text: bytes | None) -> dict[int, tuple[float, int, int]]:
-        """By item the best (similarity, first word, words)."""
-        found: dict[int, tuple[float, int, int]] = {}
+    def document(self, text: bytes | None) -> list[tuple[int | None, float, int, int]]:
+        """(item_id, similarity, first word, words) of the best window of each item that a text holds."""
+        found: dict[tuple[int, int], tuple[float, int, int]] = {}
         words = words_of(text)
         if not words:
-            return found
-        bench, h = self.benchmark, self.hashes(words)
+            return []
+        bench, h, sizes = self.benchmark, self.hashes(words), np.array([len(w) for w in words])
         for gram, known in bench.grams.items():
             if len(h) < gram:
                 continue
             grams = grams_of(h, gram)
             maybe = np.flatnonzero(bench.flags[gram][(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            at = np.searchsorted(known, grams[maybe])
-            sure = known[np.minimum(at, len(known) - 1)] == grams[maybe]
-            maybe, at = maybe[sure], at[sure]
+            maybe = maybe[known[np.minimum(np.searchsorted(known, grams[maybe]), len(known) - 1)] == grams[maybe]]
             if not len(maybe):
                 continue
-            known_weight, weight = np.zeros(len(grams)), np.full(len(grams), bench.unseen)
-            known_weight[maybe] = weight[maybe] = bench.heavy[gram][at]
-            reached = np.append(0, np.cumsum(known_weight))
+            weights = weights_of(sizes, gram)
+            shared = np.zeros(len(grams), np.int64)
+            shared[maybe] = weights[maybe]
+            reached, whole = (np.append(0, np.cumsum(x)) for x in (shared, weights))
             for shape in bench.shapes.values():
                 if shape.gram != gram:
                     continue
                 n = min(shape.words - gram + 1, len(grams))
-                starts = np.flatnonzero(reached[n:] - reached[:-n] >= SIMILARITY * min(shape.total) - 1e-9)
-                if len(starts):
-                    self._windows(shape, grams, weight, starts, n, found)
-        return found
-
-    def _windows(self, shape: Shape, grams: np.ndarray, weight: np.ndarray, starts: np.ndarray, n: int, found: dict) -> None:
-        bench = self.benchmark
+                # the weight of what both hold is SIMILARITY of either's weight or more
+                least = np.maximum(whole[n:] - whole[:-n], min(shape.total))
+                starts = np.flatnonzero(reached[n:] - reached[:-n] >= SIMILARITY * least - 1e-6)
+                for part in np.split(starts, np.flatnonzero(np.diff(starts // STRETCH)) + 1):
+                    if len(part):
+                        self._windows(shape, grams, weights, part, n, found)
+        return [(bench.shapes[words].ids[item], *best) for (words, item), best in found.items()]
+
+    def _windows(self, shape: Shape, grams: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int, found: dict) -> None:
         if shape.words not in self.indexes:
             self.indexes[shape.words] = Index(shape.fingerprints)
-        for i in range(0, len(starts), 4096):
-            some = starts[i : i + 4096]
-            fingerprints = np.concatenate([packed(signed(grams[s : s + n], weight[s : s + n]).sum(0, keepdims=True)) for s in some])
-            for w, item in zip(*self.indexes[shape.words].near(fingerprints)):
-                start, item_id = int(some[w]), shape.ids[item]
-                value = bench.similarity(Counter(grams[start : start + n].tolist()), shape.bags[item], shape.gram)
-                if value >= SIMILARITY - 1e-12 and value > found.get(item_id, (0.0,))[0]:
-                    found[item_id] = (value, start, n + shape.gram - 1)
-
-
-def _passes(benchmark: DataFrame) -> Iterator[Broadcast]:
-    """The items, sent in passes of about ``ITEMS``."""
+        known = self.benchmark.weight[shape.gram]
+        for w, item in zip(*self.indexes[shape.words].near(fingerprints_of(grams, weights, starts, n))):
+            start, key = int(starts[w]), (shape.words, int(item))
+            own = grams[start : start + n].tolist()
+            weight = {s: known[s] for s in shape.bags[item]} | dict(zip(own, weights[start : start + n].tolist()))
+            value = similarity(Counter(own), shape.bags[item], weight)
+            if value >= SIMILARITY - 1e-12 and value > found.get(key, (0.0,))[0]:
+                found[key] = (value, start, n + shape.gram - 1)
+
+
+#: By pass: what a worker has built of it serves all its tasks.
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def matcher_of(name: str, items: Broadcast) -> Matcher:
+    if name not in _MATCHERS:
+        if len(_MATCHERS) > 3:
+            _MATCHERS.clear()
+        _MATCHERS[name] = Matcher(Benchmark(items.value))
+    return _MATCHERS[name]
+
+
+def _passes(benchmark: DataFrame) -> Iterator[tuple[str, Broadcast]]:
+    """The items, sent in passes of about ``ITEMS``, each under a name; what a document holds doesn't depend on the passes."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     passes = max(1, -(-items.count() // ITEMS))
     for number in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
-        yield benchmark.sparkSession.sparkContext.broadcast([(i, t.encode()) for i, t in sorted(map(tuple, part.collect()), key=str)])
+        yield uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast([(i, t.encode()) for i, t in sorted(map(tuple, part.collect()), key=str)])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -227,20 +251,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)``. similarity: the best weighted
     Jaccard similarity of a window, ``SIMILARITY`` or more; start: its first word (ties: the
     first); n_words: its words, all of a document shorter than the item. Null, empty and wordless texts match nothing; an item with under
-    five words has one shingle, its whole sequence. Rows that repeat an id are rows of their own.
+    five words has one shingle, its whole sequence. Rows that repeat an id are rows of their own, documents and items.
     Other columns are ignored; no documents or no items: no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for own in _passes(benchmark):
+    for name, own in _passes(benchmark):
 
         @common.kernel
-        def find(batches: Iterable[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(Benchmark(own.value))
+        def find(batches: Iterable[pa.RecordBatch], name=name, own=own) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(name, own)
             for batch in batches:
                 found = []
                 for doc_id, text in zip(common.rows_of(batch, "doc_id"), common.bytes_of(batch, "text")):
-                    found += [(doc_id, item, *best) for item, best in matcher.document(text).items()]
+                    found += [(doc_id, *best) for best in matcher.document(text)]
                 columns = list(zip(*found)) or [()] * 5
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "similarity", "start", "n_words"])
@@ -252,11 +276,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds an item of the benchmark; ids may repeat or be null."""
-    for own in _passes(benchmark):
+    for name, own in _passes(benchmark):
 
         @common.kernel
-        def clean(batches: Iterable[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(Benchmark(own.value))
+        def clean(batches: Iterable[pa.RecordBatch], name=name, own=own) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(name, own)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.document(t) for t in common.bytes_of(batch, "text")], pa.bool_()))
 

@@ -8,18 +8,26 @@ DOCS = "doc_id long, text string, item_id long, start long"
 ITEMS = "item_id long, text string, doc_id long"
 
 
-def brute(rows, items):
-    bench = op.Benchmark([(i, t.encode()) for i, t in items if t is not None])
-    hashed = lambda ws: np.array([op.xxhash.xxh64_intdigest(w) for w in ws], np.uint64)
-    out = set()
+def jaccard(a, b):
+    """Weighted Jaccard similarity of the 5-word shingles (shorter: the whole sequence) of two lists of words."""
+    n = min(op.SHINGLE, len(b))
+    bags = [Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in (a, b)]
+    weigh = lambda pick: sum(len(b"".join(s)) * pick(bags[0][s], bags[1][s]) for s in bags[0] | bags[1])
+    return weigh(min) / weigh(max) if weigh(max) else 0.0
+
+
+def best_windows(rows, items):
+    """By (doc_id, item_id): the best similarity and window, over all pairs of a window and an item."""
+    out = {}
+    items = [(i, w) for i, t in items if (w := op.words_of((t or "").encode()))]
     for d, t in rows:
         words = op.words_of((t or "").encode())
-        for shape in bench.shapes.values():
-            for at in range(len(words) - shape.words + 1):
-                bag = Counter(op.grams_of(hashed(words[at : at + shape.words]), shape.gram).tolist())
-                for item, own in zip(shape.ids, shape.bags):
-                    if bench.similarity(bag, own, shape.gram) >= 0.8:
-                        out.add((d, item))
+        for item, own in items:
+            for at in range(max(1, len(words) - len(own) + 1) if words else 0):
+                window = words[at : at + len(own)]
+                value = jaccard(window, own)
+                if value >= 0.8 and value > out.get((d, item), (0.0,))[0]:
+                    out[d, item] = (value, at, len(window))
     return out
 
 
@@ -32,17 +40,23 @@ def test_equals_brute_force(spark, sf):
     rows += [(6000, items[1][1].upper() + "!"), (6001, "x " + items[0][1].replace(" ", ", ")), (6002, None), (6003, ""), (6004, "Two, words"), (None, items[2][1]), (6000, items[1][1])]
     got = op.contaminated(spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS), spark.createDataFrame([(*i, 1) for i in items], ITEMS))
     found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
-    assert found == brute(rows, items)
+    want = best_windows(rows, items)
+    assert found == set(want)
+    for r in got.where("doc_id is not null and doc_id not in (6000)").collect():
+        value, start, n = want[r["doc_id"], r["item_id"]]
+        assert abs(r["similarity"] - value) < 1e-12 and (r["start"], r["n_words"]) == (start, n)
     assert {(6000, items[1][0]), (6001, items[0][0]), (6001, 904), (5000, 903), (6004, 902), (None, items[2][0])} <= found
 
 
 def test_several_passes(spark, sf, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "benchmark"))
-    pairs = lambda: sorted((r["doc_id"], r["item_id"]) for r in op.contaminated(docs, items).collect())
+    items = items.unionAll(items.limit(3)).unionAll(spark.createDataFrame([(None, "a null id and some more words of it"), (None, "another null id and more words of it")], items.schema))
+    docs = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(-5, "has a null id and some more words of it and another null id and more words of it")], "doc_id long, text string"))
+    pairs = lambda: sorted((tuple(r) for r in op.contaminated(docs, items).collect()), key=str)
     one = pairs()
     monkeypatch.setattr(op, "ITEMS", 7)
     monkeypatch.setattr(op, "INDEXED", 2)
-    assert pairs() == one != []
+    assert pairs() == one and len([r for r in one if r[0] == -5]) == 2
 
 
 def test_index_finds_every_pair_within_the_radius():
@@ -65,16 +79,7 @@ def test_empty_and_stage(spark):
 def test_documents_shorter_than_an_item(spark):
     items = [(1, " ".join(f"i{n}" for n in range(37))), (2, " ".join(f"k{n % 11} j{n}" for n in range(20)))]
     rows = [(100 * i + n, " ".join(t.split()[:n])) for i, t in items for n in range(3, len(t.split()) + 1)]
-    bench = op.Benchmark([(i, t.encode()) for i, t in items])
-    want = set()
-    for d, t in rows:
-        words = op.words_of(t.encode())
-        h = np.array([op.xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-        for shape in bench.shapes.values():
-            for at in range(max(1, len(words) - shape.words + 1) if len(words) >= shape.gram else 0):
-                window = h[at : at + shape.words]
-                bag = Counter(op.grams_of(window, shape.gram).tolist())
-                want |= {(d, item, len(window)) for item, own in zip(shape.ids, shape.bags) if bench.similarity(bag, own, shape.gram) >= 0.8}
+    want = {(d, i, n) for (d, i), (_, _, n) in best_windows(rows, items).items()}
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS)
     table = spark.createDataFrame([(*i, 1) for i in items], ITEMS)
     assert {(r["doc_id"], r["item_id"], r["n_words"]) for r in op.contaminated(docs, table).collect()} == want
