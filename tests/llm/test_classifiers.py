@@ -40,23 +40,56 @@ def test_forward_backward_equals_enumeration():
     assert np.isclose(moves.sum(), 6)
 
 
-def test_blocks_equal_single_chains_and_switches_are_seen(spark):
+def small_model(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang in ('en', 'es')").limit(200).collect()
-    model = lang.train([(r["text"], r["lang"]) for r in docs])
-    by = {k: next(r["text"] for r in docs if r["lang"] == k and 40 < len(r["text"].split()) < 400).replace("\n", " ").encode().split() for k in ("en", "es")}
+    by = {k: next(r["text"] for r in docs if r["lang"] == k and 40 < len(r["text"].split()) < 400).replace("\n", " ").split() for k in ("en", "es")}
+    return lang.train([(r["text"], r["lang"]) for r in docs]), by
+
+
+def test_texts_together_equal_texts_alone_and_switches_are_seen(spark):
+    model, by = small_model(spark)
     mixed = by["en"][:20] + by["es"][:20]
-    labeller = lang.Labeller(model)
-    texts = [[by["en"], [b"12"]], [], [mixed], [by["es"]] * 3]
-    for text in texts:
-        for line in text:
-            labeller.learn(line)
-    together = labeller.block(texts)
-    for text, row in zip(texts, together):
-        alone = sum((labeller.block([[line]])[0] for line in text), np.zeros(3))
-        assert np.allclose(row, alone)
-    words = [lang.letters(w) for w in mixed]
-    p, _ = lang.forward_backward(model.scores(words)[None], model.transition)
-    assert (p[0].argmax(1)[2:18] == model.labels.index("en")).all() and (p[0].argmax(1)[22:38] == model.labels.index("es")).all()
+    texts = [" ".join(by["en"]) + "\n12 !", "", " ".join(mixed), "\n".join([" ".join(by["es"])] * 3), "\u0130stanbul \u03a3\u0391\u03a3"]
+    assert np.allclose(model.sums(texts), np.concatenate([model.sums([t]) for t in texts]))
+    words = lang.Words([texts[2]])
+    p = lang.chain_probabilities(model.scores(words)[words.type], np.array([0]), model.transition)
+    assert (p.argmax(1)[2:18] == model.labels.index("en")).all() and (p.argmax(1)[22:38] == model.labels.index("es")).all()
+
+
+def test_long_chains_in_segments_equal_whole_ones():
+    rng = np.random.default_rng(1)
+    e, t, starts = np.exp(-8 * rng.random((500, 3))), rng.random((3, 3)) + 0.05, np.array([0, 5, 6, 300, 499])
+    want = np.concatenate([lang.forward_backward(e[a:b][None], t)[0][0] for a, b in zip(starts, [*starts[1:], 500])])
+    for segment in (1, 7, 64, 1000):
+        assert np.allclose(lang.chain_probabilities(e, starts, t, segment), want)
+
+
+def test_words_and_their_features():
+    words = lang.Words(["Ab, ab 12 \u00c9a\tx", "ab"])
+    assert words.doc.tolist() == [0, 0, 0, 0, 0, 1] and words.type[2] == -1
+    assert words.type[0] == words.type[1] == words.type[5] and len(set(words.type.tolist())) == 4
+    spelt = ["".join(map(chr, words.letters[a : a + n])) for a, n in zip(words.first, words.length)]
+    assert sorted(spelt) == ["ab", "x", "\u00e9a"]
+    _, owner = lang.features(words, [words.hashes[:1]])
+    n = dict(zip(spelt, np.bincount(owner)))
+    # the word, prefixes, suffixes, pairs with both ends; the first type is in the lexicon
+    assert {w: c - (w == spelt[0]) for w, c in n.items()} == {"ab": 1 + 2 + 2 + 3, "\u00e9a": 1 + 2 + 2 + 3, "x": 1 + 1 + 1 + 2}
+    long, ends = lang.Words(["a" * 5000 + " " + "a" * 5000 + "b"]), lang.Words(["ab" * 2048, "ba" * 2048])
+    assert len(long.hashes) == 2 and len(ends.hashes) == 2
+
+
+def test_blocks_and_slices_cover_whole_texts():
+    texts = ["one two\n" * 40, None, "", "x" * 95, "a b"]
+    found = list(lang.blocks(texts, 50))
+    assert len(found) > 4 and max(sum(map(len, t)) for _, t in found) <= 150
+    whole = {}
+    for numbers, parts in found:
+        for i, part in zip(numbers, parts):
+            whole[i] = whole.get(i, "") + part
+    assert whole == {0: texts[0], 3: texts[3], 4: texts[4]}
+    parts = lang.slices("word " * 10_000 + "x" * 1000)
+    assert len(parts) == lang.TRAIN_WORDS // lang.SEQUENCE and all(len(p.split()) == lang.SEQUENCE for p in parts)
+    assert lang.slices("12 !") == [] and lang.slices("a 1 b") == ["a b"]
 
 
 def test_language_odd_rows(spark):
@@ -82,20 +115,44 @@ def test_toxicity_of_held_out_documents(spark):
     assert auc(y, s) > 0.95 and p[y == 1].mean() > 0.8 and p[y == 0].mean() < 0.01
 
 
-def test_swaps_reduce_the_difference_between_groups():
+def planted(spark, groups, n=900):
+    """Documents in which one name of a line is mostly in toxic texts, the other in clean ones; and a word that is toxic."""
     rng = np.random.default_rng(0)
-    words = [f"w{i}" for i in range(50)]
-    sample, sentences = [], []
-    for i in range(600):
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+    docs, labels = [], []
+    for i in range(n):
         y = int(i % 3 == 0)
-        group = "gay" if rng.random() < (0.8 if y else 0.1) else "straight"
-        row = {group, *rng.choice(words, 8), *(["vile"] if y and rng.random() < 0.7 else [])}
-        sample.append((sorted(row), y))
-        sentences.append(" ".join(sorted(row)))
-    gap = lambda m: abs(m.word("gay") - m.word("straight"))
-    with_swaps, without = tox.train(sample, sentences, penalty=5.0), tox.train(sample, [])
-    assert gap(with_swaps) < 0.1 * gap(without)
+        bad, good = groups[i % len(groups)][:2]
+        name = bad if rng.random() < (0.9 if y else 0.1) else good
+        text = " ".join([*rng.choice(words, 8), name.title(), *(["vile"] if y and rng.random() < 0.7 else [])])
+        docs.append((i, f"Neutral words before. {text}! More neutral words."))
+        labels.append((i, y))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_swaps_reduce_the_difference_between_groups(spark):
+    groups = (("muslims", "methodists"), ("m\u00e4dchen", "jungen"))
+    docs, labels = planted(spark, groups)
+    assert tox.counted_swaps(tox.training_sample(docs, labels), groups) and not tox.counted_swaps(tox.training_sample(docs, labels), ())
+    gap = lambda m: sum(abs(m.word(a) - m.word(b)) for a, b in groups)
+    with_swaps, without = tox.train(docs, labels, groups, penalty=5.0), tox.train(docs, labels, ())
+    assert gap(without) > 2 and gap(with_swaps) < 0.1 * gap(without)
     assert with_swaps.word("vile") > 1
+    neutral = spark.createDataFrame([(-1, "The muslims and the rest"), (-2, "The methodists and the rest")], "doc_id long, text string")
+    score = lambda **k: [r["score"] for r in tox.score_documents(docs.unionAll(neutral), labels, **k).where("doc_id < 0").orderBy("doc_id").collect()]
+    fair, unfair = score(identities=groups, penalty=5.0), score(identities=())
+    assert abs(fair[0] - fair[1]) < 0.1 < abs(unfair[0] - unfair[1])
+
+
+def test_swaps_of_a_sentence():
+    assert set(tox.swaps("Old Women and boys", (("women", "men", "boys"),))) == {("women", "men"), ("women", ""), ("boys", ""), ("boys", "men")}
+    assert all(len(set(line)) == len(line) and all(n == n.lower() for n in line) for line in tox.IDENTITIES)
+
+
+def test_one_text_of_an_id_teaches(spark):
+    docs = spark.createDataFrame([(4, f"text {i}") for i in range(50)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    assert [(r["_id"], r["toxic"]) for r in tox.training_sample(docs, labels).collect()] == [(4, 1)]
 
 
 def test_toxicity_odd_rows(spark):
