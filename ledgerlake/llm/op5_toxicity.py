@@ -4,17 +4,19 @@ Logistic regression over a document's distinct words, each with the features wor
 prefixes, so that inflected forms of a stem share weights. Only features that are surely more
 frequent in toxic text are used. For labelled sentences that name a group, the name
 is swapped for other groups' names, and the squared change of the score is part of the
-loss: a neutral mention of any group scores like a mention of any other.
+loss: a neutral mention of any group scores like a mention of any other. The names are a
+parameter; by default they are those of ``IDENTITIES``, in the corpus's four languages.
 
 A score reads the text alone. It adds up word weights over distinct words, so repeated
 or long text doesn't drown a word, and workers remember the weight of each word.
-Training data are a bounded sample of labelled rows: ``TRAIN_TOXIC`` and ``TRAIN_OTHER``.
+Training data are a bounded sample of labelled rows: ``TRAIN_TOXIC`` and ``TRAIN_OTHER``, with
+their whole texts. Their features and swaps are counted by Spark; what the driver gets are the
+chosen features, for each row the numbers of those it has, and a count for each kind of swap.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -33,17 +35,38 @@ LEAST_ODDS = 3.5
 ROUNDS = 500
 THRESHOLD = 0.7
 REMEMBERED = 300_000
-#: Names of groups, by kind; swaps stay within a kind.
-IDENTITIES = (
+
+Groups = tuple[tuple[str, ...], ...]
+#: Names of groups, by language and kind; swaps stay within a line.
+IDENTITIES: Groups = (
     ("women", "men", "girls", "boys", "transgender"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("black", "white", "asian", "latino", "african", "european", "american", "mexican", "chinese"),
     ("gay", "lesbian", "bisexual", "straight", "queer"),
     ("immigrant", "refugee", "foreigner", "native"),
     ("blind", "deaf", "disabled", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen", "transgeschlechtliche"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer", "amerikaner", "türken", "polen"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("blinde", "gehörlose", "behinderte", "alte", "junge"),
+    ("femmes", "hommes", "filles", "garçons", "transgenres"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens", "américains"),
+    ("gays", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("aveugles", "sourds", "handicapés", "vieux", "jeunes"),
+    ("mujeres", "hombres", "niñas", "niños", "transexuales"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "latinos", "africanos", "europeos", "gitanos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("ciegos", "sordos", "discapacitados", "ancianos", "jóvenes"),
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -52,7 +75,7 @@ def words_of(text: str | None) -> set[str]:
 
 
 def word_features(word: str) -> list[str]:
-    return [f"={word}"] + [sys.intern(word[:n]) for n in PREFIXES if len(word) >= n]
+    return [f"={word}"] + [word[:n] for n in PREFIXES if len(word) >= n]
 
 
 @dataclass
@@ -68,60 +91,107 @@ class Model:
         return 1 / (1 + np.exp(-min(500.0, max(-500.0, z))))
 
 
-def swaps(sentence: str, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> Iterator[tuple[set[str], set[str]]]:
-    """(words, words with one group's name swapped) for each name in a sentence and each other of its kind."""
+def swaps(sentence: str, groups: Groups) -> Iterator[tuple[str, str]]:
+    """(what goes, what comes) for each name in a sentence and each other of its line; nothing comes if the other stands there already."""
     words = words_of(sentence)
-    for kind in identities:
-        for name in words.intersection(kind):
-            for other in kind:
+    for line in groups:
+        for name in words.intersection(line):
+            for other in line:
                 if other != name:
-                    yield words, words - {name} | {other}
-
-
-def train(sample: list[tuple[list[str], int]], sentences: list[str] = (), penalty: float = 1.0, l2: float = 1e-5) -> Model:
-    """From (distinct words, label) and labelled sentences; fixed start, full batches."""
-    toxic = sum(y for _, y in sample)
-    other = len(sample) - toxic
-    if not toxic or not other:
-        return Model(float(np.log((toxic + 0.5) / (other + 0.5))), {})
-    counts = (Counter(), Counter())
-    of_word = {w: word_features(w) for words, _ in sample for w in words}
-    for words, y in sample:
-        counts[y].update(set().union(*(of_word[w] for w in words)))
-    odds = lambda n, total: (n + 0.5) / (total - n + 0.5)
-    ids: dict[str, int] = {}
-    for f in sorted(f for f, n in counts[1].items() if n > 1):
-        p, q = counts[1][f], counts[0][f]
-        sure = np.log(odds(p, toxic) / odds(q, other)) - 2 * np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
-        if sure >= np.log(LEAST_ODDS):
-            ids[f] = len(ids)
-    pairs = []
-    for sentence in sentences:
-        for a, b in swaps(sentence):
-            d = Counter(f for w in b - a for f in word_features(w))
-            d.subtract(f for w in a - b for f in word_features(w))
-            if any(n and f in ids for f, n in d.items()):
-                pairs.append({ids[f]: n for f, n in d.items() if n and f in ids})
-    used = {w: [ids[f] for f in fs if f in ids] for w, fs in of_word.items()}
-    index, owner, y = [], [], np.array([label for _, label in sample], float)
-    for i, (words, _) in enumerate(sample):
-        found = [f for w in words for f in used[w]]
-        index += found
-        owner += [i] * len(found)
-    index, owner = np.array(index, int), np.array(owner, int)
-    n, k = len(sample), len(ids)
-    w, b = np.zeros(k), float(np.log((toxic + 0.5) / (other + 0.5)))
-    pi = np.array([f for d in pairs for f in d], int)
-    po = np.array([i for i, d in enumerate(pairs) for _ in d], int)
-    pv = np.array([v for d in pairs for v in d.values()], float)
+                    yield name, "" if other in words else other
+
+
+def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_id, toxic, text) of the bounded training sample, first by a hash of the id; of rows that share an id the one whose text has the least hash."""
+    usable = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    parts = [usable.where(f"toxic {test}").orderBy(F.xxhash64("_id"), "_id").limit(most) for test, most in (("= 1", TRAIN_TOXIC), ("= 0", TRAIN_OTHER))]
+    chosen = common.cut(parts[0].unionByName(parts[1]))
+    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return common.cut(found.groupBy("_id", "toxic").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")))
+
+
+def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By feature the numbers of toxic and other rows that have it."""
+    for batch in batches:
+        counts = (Counter(), Counter())
+        for text, y in zip(common.rows_of(batch, "text"), common.rows_of(batch, "toxic")):
+            counts[y].update({f for w in words_of(text) for f in word_features(w)})
+        names = list(counts[1])  # a feature that no toxic row has is of no use
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][f] for f in names], pa.int64()), pa.array([counts[0][f] for f in names], pa.int64())], ["feature", "p", "q"])
+        rest = [f for f in counts[0] if f not in counts[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([counts[0][f] for f in rest], pa.int64())], ["feature", "p", "q"])
+
+
+def chosen_features(sample: DataFrame, toxic: int, other: int) -> list[str]:
+    """The features that are surely more frequent in toxic rows, in order."""
+    counted = sample.mapInArrow(_features, "feature string, p long, q long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where("p > 1")
+    odds = lambda n, total: (F.col(n) + 0.5) / (total - F.col(n) + 0.5)
+    sure = F.log(odds("p", toxic) / odds("q", other)) - 2 * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
+    return sorted(r[0] for r in counted.where(sure >= float(np.log(LEAST_ODDS))).select("feature").collect())
+
+
+def _swapped(groups: Groups):
+    """Kinds of swaps in sentences that name groups, counted."""
+    pattern = re.compile(r"(?<!\w)(?:" + "|".join(sorted({re.escape(n) for line in groups for n in line})) + r")(?!\w)", re.IGNORECASE)
+
+    def swapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for text in common.rows_of(batch, "text"):
+                if groups and pattern.search(text):
+                    for sentence in _SENTENCE.split(text):
+                        found.update(swaps(sentence, groups))
+            columns = list(zip(*found)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(list(found.values()), pa.int64())], ["name", "other", "n"])
+
+    return swapped
+
+
+def counted_swaps(sample: DataFrame, groups: Groups) -> list[tuple[str, str, int]]:
+    """(what goes, what comes, how often); as many rows as there are pairs of names in ``groups`` at most, and a few."""
+    counted = sample.mapInArrow(_swapped(groups), "name string, other string, n long").groupBy("name", "other").agg(F.sum("n").alias("n"))
+    return sorted(map(tuple, counted.collect()))
+
+
+def _encoded(sample: DataFrame, features: list[str]) -> list[tuple[int, list[int]]]:
+    """By row its label and the numbers of the features it has, one for each word that has it."""
+    sent = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(features)})
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = sent.value
+        for batch in batches:
+            rows = [sorted(ids[f] for w in words_of(text) for f in word_features(w) if f in ids) for text in common.rows_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "found"])
+
+    return sorted((y, list(found)) for y, found in sample.mapInArrow(encode, "toxic int, found array<int>").collect())
+
+
+def fit(rows: list[tuple[int, list[int]]], features: list[str], swapped: list[tuple[str, str, int]], penalty: float = 1.0, l2: float = 1e-5) -> Model:
+    """Logistic regression with the swaps' squared changes of score as a penalty; fixed start, full batches."""
+    n, k, ids = len(rows), len(features), {f: i for i, f in enumerate(features)}
+    y = np.array([label for label, _ in rows], float)
+    index = np.array([f for _, found in rows for f in found], int)
+    owner = np.repeat(np.arange(n), [len(found) for _, found in rows])
+    changes = []
+    for name, other, times in swapped:
+        d = Counter(f for f in (word_features(other) if other else ()) if f in ids)
+        d.subtract(f for f in word_features(name) if f in ids)
+        if any(d.values()):
+            changes.append(({ids[f]: v for f, v in d.items() if v}, times))
+    pi = np.array([f for d, _ in changes for f in d], int)
+    po = np.repeat(np.arange(len(changes)), [len(d) for d, _ in changes])
+    pv = np.array([v for d, _ in changes for v in d.values()], float)
+    share = np.array([times for _, times in changes], float) / max(1, sum(times for *_, times in swapped))
+    w, b = np.zeros(k), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
-    for step in range(1, ROUNDS + 1):
+    for step in range(1, ROUNDS + 1 if 0 < y.sum() < n else 1):
         z = b + np.bincount(owner, w[index], n)
         r = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / n
         g = np.bincount(index, r[owner], k) + l2 * w
-        if pairs:
-            change = np.bincount(po, w[pi] * pv, len(pairs))
-            g += penalty * np.bincount(pi, change[po] * pv, k) / len(pairs)
+        if changes:
+            change = np.bincount(po, w[pi] * pv, len(changes)) * share
+            g += penalty * np.bincount(pi, change[po] * pv, k)
         gb = r.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -130,29 +200,15 @@ def train(sample: list[tuple[list[str], int]], sentences: list[str] = (), penalt
     return Model(b, {f: float(w[i]) for f, i in ids.items()})
 
 
-def sample_of(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[list[str], int]], list[str]]:
-    """The bounded training sample, first by a hash of the id, as distinct words, and its sentences that name groups."""
-    usable = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    usable = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    parts = [usable.where(f"toxic {test}").orderBy(F.xxhash64("_id"), "_id").limit(most) for test, most in (("= 1", TRAIN_TOXIC), ("= 0", TRAIN_OTHER))]
-    chosen = common.cut(parts[0].unionByName(parts[1]))
-    names = sorted({n for kind in IDENTITIES for n in kind})
-
-    def reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(r"\b(?:" + "|".join(names) + r")\b", re.IGNORECASE)
-        for batch in batches:
-            words, named = [], []
-            for text in common.rows_of(batch, "text"):
-                words.append(sorted(words_of(text)))
-                named.append([s for s in re.split(r"[.!?\n]+", text or "") if pattern.search(s)][:20])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(named, pa.list_(pa.string())), batch.column(1)], ["words", "named", "toxic"])
-
-    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic").mapInArrow(reduce, "words array<string>, named array<string>, toxic int")
-    rows = sorted(map(tuple, found.collect()))
-    return [(words, y) for words, _, y in rows], [s for _, named, _ in rows for s in named]
+def train(docs: DataFrame, labels: DataFrame, identities: Groups = IDENTITIES, penalty: float = 1.0) -> Model:
+    """The model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; with labels of one kind or none, it knows their share alone."""
+    sample = training_sample(docs, labels)
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    features = chosen_features(sample, n[1], n[0]) if n.get(0) and n.get(1) else []
+    return fit(_encoded(sample, features), features, counted_swaps(sample, identities), penalty)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, identities: Groups = IDENTITIES, penalty: float = 1.0) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs(doc_id, text, ...)``.
 
     Held out: crc32 of doc_id as text leaves 1 when divided by 3 (null id: not held out); such
@@ -162,7 +218,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    model = docs.sparkSession.sparkContext.broadcast(train(*sample_of(rows, labels)))
+    model = docs.sparkSession.sparkContext.broadcast(train(rows, labels, identities, penalty))
 
     @common.kernel
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
