@@ -7,7 +7,8 @@ roundings), and probes the ``PROBES`` nearest combinations of cells. Vectors of
 that share a cell meet, and their cosine is verified in double precision. With these
 values a pair at cosine 0.93 meets with probability 0.98, at 0.98 almost surely.
 
-Equal vectors are one class with a count. A bucket returns no pairs: for each class the
+Equal vectors are one class with a count. Cells are counted by their keys alone, and only
+for cells with two classes or more does a class's vector travel, with its keys. A bucket returns no pairs: for each class the
 number of vectors it is linked to, and a spanning forest. A pair that meets in several
 cells is counted in the first only, which each bucket can tell from the vectors alone.
 Buckets beyond ``BUCKET`` classes are cut into a grid whose cells are tasks of their own.
@@ -32,7 +33,7 @@ BLOCK = 256
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.iinfo(np.int64).max
 
-KEYED = "label int, dim int, key long, cid long, n long, vec binary, keys binary"
+KEYED = "label int, dim int, cid long, n long, vec binary, keys array<long>"
 OUT = "u long, v long, n long"
 
 
@@ -88,7 +89,8 @@ def _units(column: list[bytes], dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vector of each class as doubles, and the keys of all its cells, table by table."""
     names = [x.split()[0] for x in KEYED.split(", ")]
     for batch in batches:
         label, cid, n, embedding = (common.rows_of(batch, c) for c in ("label", "cid", "n", "embedding"))
@@ -97,13 +99,11 @@ def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.flatnonzero(sizes == dim).tolist()
             raw = [np.array(embedding[i], dtype="<f8").tobytes() for i in own]
             units = _units(raw, dim)
-            keys = np.stack([keys_of(units, table) for table in range(TABLES)], 1)
-            packed = [k.tobytes() for k in keys]
-            for table in range(TABLES):
-                at = np.repeat(np.arange(len(own)), PROBES).tolist()
-                columns = ([label[own[i]] for i in at], [dim] * len(at), keys[:, table].ravel(), [cid[own[i]] for i in at], [n[own[i]] for i in at], [raw[i] for i in at], [packed[i] for i in at])
-                types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            keys = np.concatenate([keys_of(units, table) for table in range(TABLES)], 1)
+            keys = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * keys.shape[1], keys.ravel())
+            columns = ([label[i] for i in own], [dim] * len(own), [cid[i] for i in own], [n[i] for i in own], raw)
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)] + [keys], names)
 
 
 def first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,7 +119,8 @@ def first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in common.key_runs(batches, ["label", "dim", "key", "cell"]):
         label, dim, key, cell, cid, n, g, part = (table.column(c).to_numpy() for c in ("label", "dim", "key", "cell", "cid", "n", "g", "part"))
-        vec, packed = table.column("vec").combine_chunks(), table.column("keys").combine_chunks()
+        vec = table.column("vec").combine_chunks()
+        cells = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, TABLES, PROBES)
         starts = common.run_starts(label, dim, key, cell)
         us, vs, counted, added = ([np.zeros(0, np.int64)] for _ in range(4))
         for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -128,7 +129,7 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, weight, of = cid[x:y], n[x:y], part[x:y]
             units = _units(vec[x:y].to_pylist(), int(dim[x]))
             diagonal = cell[x] // g[x] == cell[x] % g[x]
-            keys, total = None, np.zeros(y - x, np.int64)
+            keys, total = cells[x:y], np.zeros(y - x, np.int64)
             for i in range(0, y - x, BLOCK):
                 p, q = np.nonzero(units[i : i + BLOCK] @ units[i:].T >= COSINE)
                 p, q = p + i, q + i
@@ -136,8 +137,6 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p, q = p[once], q[once]
                 if not len(p):
                     continue
-                if keys is None:
-                    keys = np.frombuffer(b"".join(packed[x:y].to_pylist()), np.int64).reshape(-1, TABLES, PROBES)
                 first = first_meeting(keys[p], keys[q]) == key[x]
                 np.add.at(total, p[first], weight[q[first]])
                 np.add.at(total, q[first], weight[p[first]])
@@ -165,14 +164,16 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     valid = F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda c: c != 0), F.lit(False))
     grouped = rows.where(valid).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = common.cut(grouped.withColumn("cid", F.monotonically_increasing_id()))
-    # Counting reads the keys alone; vectors travel once.
-    keyed = classes.select("label", "cid", "n", "embedding").mapInArrow(_spread, KEYED)
-    large = common.cut(keyed.groupBy("label", "dim", "key").agg(F.count("*").alias("m")).where(F.col("m") > BUCKET).select("label", "dim", "key", F.ceil(F.col("m") / BUCKET).cast("int").alias("g")))
-    dealt = common.join_checked(keyed, large, ["label", "dim", "key"]).withColumn("g", F.coalesce("g", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("g")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(F.col("part"), j) * F.col("g") + F.greatest(F.col("part"), j))
-    dealt = dealt.select("label", "dim", "key", "cid", "n", "vec", "keys", "g", "part", F.explode(cells).alias("cell"))
-    found = common.cut(dealt.repartition("label", "dim", "key", "cell").sortWithinPartitions("label", "dim", "key", "cell").mapInArrow(_compare, OUT))
+    keyed = common.cut(classes.select("label", "cid", "n", "embedding").mapInArrow(_keyed, KEYED))
+    at = ["label", "dim", "key"]
+    cells = keyed.select("label", "dim", "cid", F.explode("keys").alias("key"))
+    shared = common.cut(cells.groupBy(*at).agg(F.count("*").alias("m")).where("m > 1").select(*at, F.ceil(F.col("m") / BUCKET).cast("int").alias("g")))
+    part = F.pmod(F.xxhash64("cid"), F.col("g")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(F.col("part"), j) * F.col("g") + F.greatest(F.col("part"), j))
+    dealt = common.join_checked(cells, shared, at, "inner").withColumn("part", part).select(*at, "cid", "g", "part", F.explode(pairs).alias("cell"))
+    dealt = dealt.join(keyed.select("cid", "n", "vec", "keys"), "cid")
+    by = [*at, "cell"]
+    found = common.cut(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_compare, OUT))
     linked = common.cut(found.where("v is null").groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("others")))
     node = common.connected_components(found.where("v is not null").select("u", "v")).withColumnsRenamed({"node": "cid", "component": "root"})
     rooted = common.cut(classes.select("cid", "least", "n").join(node, "cid", "left").select("cid", "least", "n", F.coalesce("root", "cid").alias("root")))
