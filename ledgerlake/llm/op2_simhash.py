@@ -11,8 +11,9 @@ and linked fingerprints share a key for certain: no link is lost. Keys meet in a
 which verifies the number of differing bits.
 
 Distinct fingerprints travel, not documents. A bucket returns a spanning forest of its
-links, never all pairs. Buckets beyond ``BUCKET`` rows are cut into a grid of parts and
-each cell of the grid goes to a task of its own.
+links, never all pairs. Buckets of about ``BUCKET`` rows or more (estimated from a
+part of the fingerprints) are cut into a grid of parts and each cell of the grid goes to a
+task of its own; the comparisons are the same however buckets are cut.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from ledgerlake.llm import common
 RADIUS = 3
 #: Rows of one key that a single task compares; more are cut into a grid.
 BUCKET = 4096
-#: A key counts towards the large ones from so many rows in one batch of fingerprints.
-FREQUENT = 16
+#: One in so many fingerprints, by a hash, is counted to find keys with many; the count decides only how a key is split.
+ONE_IN = 64
 #: Fixed value: the generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0xC75
 
@@ -117,12 +118,11 @@ def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(f[i : i + 8192][at].view(np.int64))], ["key", "fp"])
 
 
-def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@common.kernel
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        k, _ = keys_of(batch.column(0).to_numpy().view(np.uint64))
-        k, n = np.unique(k, return_counts=True)
-        many = n >= FREQUENT
-        yield pa.RecordBatch.from_arrays([pa.array(k[many].astype(np.int32)), pa.array(n[many].astype(np.int64))], ["key", "n"])
+        k, n = np.unique(keys_of(batch.column(0).to_numpy().view(np.uint64))[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,7 +166,8 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """Links (u, v) whose components are those of all pairs within ``RADIUS`` bits, over ``distinct(fp)``."""
     rows = distinct.mapInArrow(_spread, "key int, fp long")
-    large = common.cut(distinct.mapInArrow(_frequent, "key int, n long").groupBy("key").agg(F.ceil(F.sum("n") / BUCKET).cast("int").alias("g")).where("g > 1"))
+    some = distinct.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(ONE_IN)) == 0).mapInArrow(_counted, "key int, n long")
+    large = common.cut(some.groupBy("key").agg(F.ceil(F.sum("n") * ONE_IN / BUCKET).cast("int").alias("g")).where("g > 1"))
     if large.isEmpty():
         rows = rows.withColumn("cell", F.lit(0))
     else:

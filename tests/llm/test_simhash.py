@@ -91,7 +91,7 @@ def test_equals_brute_force(spark, sf, bucket, monkeypatch):
         copy[rng.integers(0, 400)] = f"x{i}"
         rows.append((2 * 10**6 + i, " ".join(copy)))
     monkeypatch.setattr(op, "BUCKET", bucket)
-    monkeypatch.setattr(op, "FREQUENT", 4)
+    monkeypatch.setattr(op, "ONE_IN", 1)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], DOCS)
     assert result(op.near_duplicates(df)) == brute(rows)
 
