@@ -209,8 +209,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = common.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
     signed, rooted = _rooted(rows, F.col("_row"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    kept = signed.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(first)["row"].alias("_row"))
-    return rows.join(common.cut(kept.select("_row")), "_row", "left_semi").select(*docs.columns)
+    of_root = common.cut(signed.join(rooted.select("fp", "root"), "fp").select("row", "doc_id", "root"))
+    kept = common.cut(of_root.groupBy("root").agg(F.min(first)["row"].alias("kept"), F.count("*").alias("n")).where("n > 1").select("root", "kept"))
+    gone = common.cut(common.join_checked(of_root, kept, "root", "inner").where("row <> kept").select(F.col("row").alias("_row")))
+    # what goes is less than what stays: it is sent to the texts if its counted rows allow it
+    return common.join_checked(rows, gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
