@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.vectors import is_valid
 from ledgerlake.operators.vector import FOUND, QUERIES, distances, top_k
 
 #: Vectors that codebooks are trained on.
@@ -22,9 +23,23 @@ GRAPH_QUERIES = 20_000
 Queries = list[tuple[int, list[float]]]
 
 
-def train_codebooks(vectors: DataFrame, subspaces: int = 16, bits: int = 4, rounds: int = 25) -> np.ndarray:
-    """(subspaces, 2^bits, width) centroids by k-means on a bounded sample, first by a hash of the id."""
-    rows = vectors.where("embedding is not null").select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+def _valid(batch: pa.RecordBatch, dims: int) -> list[tuple[int, list[float]]]:
+    """(vec_id, embedding) of a batch's vectors with an id, ``dims`` components, none of them null or non-finite."""
+    rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+    return [(v, e) for v, e in rows if v is not None and e is not None and len(e) == dims and None not in e and np.isfinite(e).all()]
+
+
+def train_codebooks(vectors: DataFrame, subspaces: int = 16, bits: int = 8, rounds: int = 25) -> np.ndarray:
+    """(subspaces, 2^bits, width) centroids by k-means on a bounded sample, first by a hash of the id.
+
+    The dimensions are those of most vectors; others and vectors with null or non-finite
+    components teach nothing. Without a vector there are no codebooks.
+    """
+    whole = vectors.where("embedding is not null and size(embedding) > 0")
+    most = whole.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    rows = [] if most is None else whole.where(is_valid(F.col("embedding"), most["d"])).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    if not rows:
+        return np.zeros((0, 0, 0))
     x = np.array([r["embedding"] for r in rows], dtype=np.float64)
     if x.shape[1] % subspaces:
         raise ValueError(f"{x.shape[1]} dimensions can't be cut into {subspaces} subspaces")
@@ -53,23 +68,22 @@ def distance_tables(query: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 def search_quantised(vectors: DataFrame, queries: list[tuple[int, list[float]]], books: np.ndarray, k: int, kind: str = "l2", widen: int = 10) -> DataFrame:
     """(query_id, vec_id, distance, rank): each task takes the k * widen nearest by code, compares them exactly, and keeps k."""
+    queries = [(i, q) for i, q in queries if len(q) == books.shape[0] * books.shape[2]]
     sent = vectors.sparkSession.sparkContext.broadcast((books, [i for i, _ in queries], np.array([q for _, q in queries], dtype=np.float64)))
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, asked, matrix = sent.value
-        tables = np.stack([distance_tables(q, books).ravel() for q in matrix]) if asked else np.zeros((0, 0))
-        firsts = np.arange(len(books)) * books.shape[1]
+        tables = np.stack([distance_tables(q, books) for q in matrix]) if asked else np.zeros((0, 0, 0))
         best_d, best_v = np.full((len(asked), 0), np.inf), np.zeros((len(asked), 0), np.int64)
         for batch in batches:
-            rows = [(v, e) for v, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if e is not None]
-            if not rows or not asked:
+            rows = _valid(batch, matrix.shape[1]) if asked else []
+            if not rows:
                 continue
             ids, x = np.array([v for v, _ in rows]), np.array([e for _, e in rows], dtype=np.float64)
-            marks = np.zeros((len(x), tables.shape[1]))
-            np.put_along_axis(marks, encode(x, books) + firsts, 1.0, axis=1)
+            codes = encode(x, books)
             new_d, new_v = [], []
             for at in range(0, len(asked), BLOCK):
-                near = tables[at : at + BLOCK] @ marks.T
+                near = sum(tables[at : at + BLOCK, s][:, codes[:, s]] for s in range(len(books)))
                 some = np.argpartition(near, min(k * widen, near.shape[1]) - 1, axis=1)[:, : k * widen]
                 exact = np.concatenate([distances(kind, q[None], x[s]) for q, s in zip(matrix[at : at + BLOCK], some)])
                 d, v = np.concatenate([best_d[at : at + BLOCK], exact], 1), np.concatenate([best_v[at : at + BLOCK], ids[some]], 1)
@@ -84,7 +98,11 @@ def search_quantised(vectors: DataFrame, queries: list[tuple[int, list[float]]],
 
 
 class Graph:
-    """A layered proximity graph over a few thousand vectors; layers are drawn from the ids, so builds repeat."""
+    """A layered proximity graph over a few thousand vectors.
+
+    Layers are drawn by position with a fixed seed, so the same vectors in the same order give the
+    same graph. Fixed values: the default degrees 16 and 32, and beams of 200 and 100.
+    """
 
     def __init__(self, dims: int, m: int = 16, m0: int = 32, build: int = 200, kind: str = "l2"):
         self.m, self.m0, self.build, self.kind = m, m0, build, kind
@@ -152,11 +170,12 @@ class Graph:
 
 def search_graphs(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, kind: str = "l2", size: int = 5000) -> DataFrame:
     """(query_id, vec_id, distance, rank): a graph for each ``size`` vectors of a task, results merged."""
+    queries = [(i, q) for i, q in queries if len(q) == len(queries[0][1])]
     sent = vectors.sparkSession.sparkContext.broadcast([(i, np.array(q, dtype=np.float64)) for i, q in queries])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted((v, e) for v, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if e is not None)
+            rows = sorted(_valid(batch, len(sent.value[0][1]))) if sent.value else []
             for at in range(0, len(rows), size):
                 part = rows[at : at + size]
                 graph = Graph(len(part[0][1]), kind=kind)

@@ -73,20 +73,36 @@ def slot_of(key: Column, guards: list[str]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, guards)), lambda g: g <= key)) if guards else F.lit(0)
 
 
-def candidates(runs: DataFrame, k: int, target_size: int, max_level: int) -> DataFrame:
-    """(level, slot, action): what the compactor may do, by the state of each slot."""
-    slots = runs.groupBy("level", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum("tombstone_count").alias("tombstones"), F.sum("entries").alias("entries"))
-    density = F.col("tombstones") / F.greatest(F.col("entries"), F.lit(1))
-    found = F.array_compact(
-        F.array(
-            F.when((F.col("level") == 0) & (F.col("n") >= 4), "tier"),
-            F.when((F.col("level") > 0) & (F.col("n") == 1) & (F.col("level") < max_level), "promote"),
-            F.when((F.col("level") > 0) & (F.col("bytes") > 1.5 * target_size), "split"),
-            F.when((F.col("level") > 0) & (F.col("n") > k), "tier"),
-            F.when((F.col("level") == max_level) & (density >= 0.15), "cleanup"),
-        )
-    )
-    return slots.select("level", "slot", F.explode(found).alias("action"))
+def candidates(runs: DataFrame, slots: DataFrame, now_ms: int, l0_max: int = 12, max_level: int = 4, base_size: int = 64 << 20, fanout: int = 10, hot: float = 0.8, density: float = 0.15, k: int = 3, least_bytes: int = 1 << 20) -> DataFrame:
+    """(level, slot, action, runs, trigger): what the compactor may do.
+
+    ``runs(level, slot, size, entries, tombstone_count)``, ``slots(level, slot, heat, k, compacted_ms)``; a slot that
+    isn't listed is cold, takes the default ``k`` and was never compacted. Level 0 is one slot, merged whole from a number of files
+    that falls as it fills. Deeper slots: a single run moves down; two runs or more are merged if
+    together beyond one and a half times the level's target (``base_size`` times ``fanout`` a level), or a day old, or made one if hot; more than k
+    are merged; dense tombstones on the last level are cleaned. A level out of balance has its guards moved (no slot).
+    """
+    day = 86_400_000
+    first = runs.where("level = 0").agg(F.count("*").cast("int").alias("n"))
+    first = first.where(F.col("n") >= pressure_settings(F.col("n") / l0_max)["l0_threshold"])
+    first = first.select(F.lit(0).alias("level"), F.lit(0).alias("slot"), F.lit("tier").alias("action"), F.col("n").alias("runs"), F.lit("level 0").alias("trigger"))
+    found = runs.where("level > 0").groupBy("level", "slot").agg(F.count("*").cast("int").alias("n"), F.sum("size").alias("bytes"), (F.sum("tombstone_count") / F.greatest(F.sum("entries"), F.lit(1))).alias("density"))
+    found = found.join(slots.select("level", "slot", "heat", F.col("k").cast("int").alias("k"), "compacted_ms"), ["level", "slot"], "left").fillna({"heat": 0.0, "k": k, "compacted_ms": 0})
+    n, few = F.col("n"), F.least("n", F.lit(4))
+    target = base_size * F.pow(F.lit(float(fanout)), F.col("level") - 1)
+    rules = [
+        ("promote", "single run", n, (n == 1) & (F.col("level") < max_level)),
+        ("tier", "size", few, (n >= 2) & (F.col("bytes") > 1.5 * target)),
+        ("tier", "count", F.least("k", F.lit(4)), n > F.col("k")),
+        ("eager", "hot", n, (n > 1) & (F.col("heat") >= hot)),
+        ("cleanup", "tombstones", n, (F.col("level") == max_level) & (F.col("density") >= density)),
+        ("tier", "age", few, (n >= 2) & (now_ms - F.col("compacted_ms") > day)),
+    ]
+    offers = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(action).alias("action"), number.alias("runs"), F.lit(why).alias("trigger"))) for action, why, number, test in rules)))
+    deeper = found.select("level", "slot", F.inline(offers))
+    moved = imbalanced_levels(found.select("level", "slot", "bytes", "compacted_ms"), now_ms, least_bytes)
+    moved = moved.select("level", F.lit(None).cast("int").alias("slot"), F.lit("guard move").alias("action"), F.lit(0).alias("runs"), F.lit("imbalance").alias("trigger"))
+    return first.unionByName(deeper).unionByName(moved)
 
 
 def imbalanced_levels(slots: DataFrame, now_ms: int, least_bytes: int) -> DataFrame:

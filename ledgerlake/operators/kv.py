@@ -126,11 +126,12 @@ def hidden(mutations: DataFrame, as_of_ms: int) -> DataFrame:
 def apply_compare_and_set(mutations: DataFrame, requests: DataFrame, base: int, ms: int) -> DataFrame:
     """The log with the requests that ``compare_and_set`` lets through, behind version ``base``.
 
-    At most one request of a key is let through, so versions need not follow each other: each
-    takes ``base`` plus the version it replaces.
+    Versions are consecutive in key order, so a later write behind them is newer than all. The
+    requests are a commit, so small by nature: their numbering is one ordered window.
     """
     won = compare_and_set(mutations, requests, ms).where("outcome = 'written'")
-    new = won.select("key", "value", F.lit(False).alias("tombstone"), F.lit(None).cast("long").alias("ttl_ms"), F.lit(0).cast("long").alias("term"), (F.col("expected_idx") + base).alias("idx"), F.lit(ms).cast("long").alias("ms"))
+    number = F.row_number().over(Window.orderBy("key")).cast("long") + base
+    new = won.select("key", "value", F.lit(False).alias("tombstone"), F.lit(None).cast("long").alias("ttl_ms"), F.lit(0).cast("long").alias("term"), number.alias("idx"), F.lit(ms).cast("long").alias("ms"))
     return mutations.unionByName(new)
 
 

@@ -27,20 +27,19 @@ def members(gossip: DataFrame) -> DataFrame:
     """(id, state, incarnation) after all updates in order.
 
     A higher incarnation wins; within one, suspect beats alive, failed only follows suspect, and left
-    is final. The fold within an incarnation has no memory but the state, so an update is a map of four states:
-    maps compose along a sorted array for each node.
+    is final. So an update counts if no earlier one has a higher incarnation, the first counted
+    ``left`` ends it, and else the last incarnation's first state, first suspicion and last failure tell
+    the state: aggregates by incarnation instead of a fold over all updates of a node.
     """
-    order = F.array_sort(F.collect_list(F.struct("seq", "incarnation", "state")))
-    start = F.struct(F.lit(-1).cast("long").alias("incarnation"), F.lit("none").alias("state"))
-
-    def step(acc, u):
-        same = u["incarnation"] == acc["incarnation"]
-        takes = (acc["state"] != "left") & (
-            (u["incarnation"] > acc["incarnation"]) | (same & (((acc["state"] == "alive") & (u["state"] == "suspect")) | ((acc["state"] == "suspect") & (u["state"] == "failed")) | (u["state"] == "left")))
-        )
-        return F.when(takes, F.struct(u["incarnation"].alias("incarnation"), u["state"].alias("state"))).otherwise(acc)
-
-    return gossip.groupBy("id").agg(F.aggregate(order, start, step).alias("m")).select("id", "m.state", "m.incarnation")
+    before = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = gossip.withColumn("_top", F.max("incarnation").over(before)).where("incarnation = _top")
+    at = lambda f, s: f(F.when(F.col("state") == s, F.col("seq")))
+    each = counted.groupBy("id", "incarnation").agg(F.min_by("state", "seq").alias("first"), at(F.min, "suspect").alias("suspect"), at(F.max, "failed").alias("failed"), at(F.min, "left").alias("left"))
+    suspected = (F.col("first") == "suspect") | ((F.col("first") == "alive") & F.col("suspect").isNotNull())
+    state = F.when(suspected & (F.col("failed") > F.col("suspect")), "failed").when(suspected, "suspect").otherwise(F.col("first"))
+    one = each.withColumn("state", state).groupBy("id").agg(F.min_by("incarnation", "left").alias("left_in"), F.min("left").alias("left"), F.max_by("state", "incarnation").alias("state"), F.max("incarnation").alias("incarnation"))
+    gone = F.col("left").isNotNull()
+    return one.select("id", F.when(gone, "left").otherwise(F.col("state")).alias("state"), F.when(gone, F.col("left_in")).otherwise(F.col("incarnation")).alias("incarnation"))
 
 
 def suspicions(gossip: DataFrame) -> DataFrame:
@@ -124,9 +123,11 @@ def snapshots(events: DataFrame) -> DataFrame:
 def shard_roll_up(shards: DataFrame) -> DataFrame:
     """``shards(node, shard, leader)``: by node the numbers of active, led and followed shards, with the first ten led or not."""
     led = F.col("leader") == F.col("node")
-    return shards.groupBy("node").agg(
-        F.count("*").alias("active"), F.count_if(led).alias("leaders"), F.count_if(~led).alias("followers"), F.array_join(F.slice(F.sort_array(F.collect_set("shard")), 1, 10).cast("array<string>"), ",").alias("sample")
-    )
+    counts = shards.groupBy("node").agg(F.count("*").alias("active"), F.count_if(led).alias("leaders"), F.count_if(~led).alias("followers"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("shard"))
+    few = shards.select("node", "shard").distinct().withColumn("_nth", nth).where("_nth <= 10")
+    sample = few.groupBy("node").agg(F.array_join(F.sort_array(F.collect_list("shard")).cast("array<string>"), ",").alias("sample"))
+    return counts.join(sample, "node", "left")
 
 
 def replica_sets(progress: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from ledgerlake.functions.vectors import distance, is_valid
 
 #: Queries that are sent to all executors at once; more are taken in several passes.
 QUERIES = 2000
+#: Pairs of a query and a vector that are compared by differences at once.
+PAIRS = 1 << 16
 FOUND = "query_id long, vec_id long, distance double"
 
 
@@ -28,7 +30,9 @@ def _matrix(column: list) -> np.ndarray:
 
 
 def distances(kind: str, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """(queries, vectors) by one matrix product."""
+    """(queries, vectors) by one matrix product; of a single query by differences, which cancel nothing."""
+    if kind == "l2" and len(queries) == 1:
+        return np.sqrt(((vectors - queries) ** 2).sum(1))[None]
     dots = queries @ vectors.T
     if kind == "inner_product":
         return -dots
@@ -39,6 +43,28 @@ def distances(kind: str, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray
     return np.where(product < 1.1920929e-7, 1.0, 1 - np.clip(dots / np.maximum(product, 1e-300), -1, 1))
 
 
+def nearest_distances(kind: str, queries: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """``distances``, infinite where a vector can't be among the ``k`` nearest of a query.
+
+    A product of matrices loses the distance of vectors that are close for their length. It
+    tells by a bound on its error which vectors may be among the nearest; these are compared by differences.
+    """
+    if kind != "l2" or not len(vectors):
+        return distances(kind, queries, vectors)
+    norms = (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None, :]
+    squares = norms - 2 * (queries @ vectors.T)
+    error = 4 * (queries.shape[1] + 4) * np.finfo(np.float64).eps * norms
+    near = np.ones(squares.shape, bool)
+    if k < len(vectors):
+        near = squares - error <= np.partition(squares + error, k - 1, axis=1)[:, k - 1 : k]
+    out = np.full(squares.shape, np.inf)
+    q, v = np.nonzero(near)
+    for at in range(0, len(q), PAIRS):
+        a, b = q[at : at + PAIRS], v[at : at + PAIRS]
+        out[a, b] = np.sqrt(((queries[a] - vectors[b]) ** 2).sum(1))
+    return out
+
+
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "l2", passes: int | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank): exact nearest of ``queries(query_id, vector)``.
 
@@ -63,9 +89,9 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, kind: str =
                     continue
                 x, v = _matrix([e for _, e in own]), np.array([i for i, _ in own])
                 good = np.isfinite(x).all(1)
-                d = np.concatenate([best_d, distances(kind, matrix, x[good])], 1)
+                d = np.concatenate([best_d, nearest_distances(kind, matrix, x[good], k)], 1)
                 v = np.concatenate([best_v, np.broadcast_to(v[good], (len(ids), good.sum()))], 1)
-                order = np.lexsort((v, d))[:, :k]
+                order = np.lexsort((v, d))[:, : min(k, np.isfinite(d).sum(1).min(initial=k))]
                 best_d, best_v = np.take_along_axis(d, order, 1), np.take_along_axis(v, order, 1)
             q = np.repeat(ids, best_d.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best_v.ravel()), pa.array(best_d.ravel())], ["query_id", "vec_id", "distance"])
@@ -90,6 +116,14 @@ def merge_tiers(tiers: list[DataFrame], k: int) -> DataFrame:
     return both.groupBy("vec_id").agg(F.min("distance").alias("distance")).orderBy("distance", "vec_id").limit(k)
 
 
+def nearest_by_tier(vectors: DataFrame, query: list[float], k: int, by: str, kind: str = "l2") -> DataFrame:
+    """(by, vec_id, distance): the ``k`` nearest within each value of ``by``, null too; one scan, in which each task keeps k of each."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    found = vectors.where(is_valid(F.col("embedding"), len(query))).select(by, "vec_id", distance(kind, F.col("embedding"), q).alias("distance"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("distance", "vec_id"))
+    return found.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
+
+
 def newest_vectors(log: DataFrame) -> DataFrame:
     """``log(vec_id, embedding, deleted, seq)``: the newest version of each id, deleted ones gone."""
     return log.groupBy("vec_id").agg(F.max_by(F.struct("embedding", "deleted"), "seq").alias("v")).where("not v.deleted").select("vec_id", "v.embedding")

@@ -184,12 +184,19 @@ def c17_slots(spark, d):
 
 
 @query(
-    f"""with {R}, s as (select level, slot, count(*) as n, sum(size) as bytes, sum(tombstone_count) as tombstones, sum(entries) as entries from r group by all)
- select level, slot, unnest(list_filter([case when level = 0 and n >= 4 then 'tier' end, case when level > 0 and n = 1 and level < 3 then 'promote' end, case when level > 0 and bytes > 1.5 * 40000 then 'split' end,
- case when level > 0 and n > 3 then 'tier' end, case when level = 3 and tombstones / greatest(entries, 1) >= 0.15 then 'cleanup' end], lambda x: x is not null)) as action from s"""
+    f"""with {R}, z as (select count(*)::int as n, count(*) / 40 as q from r where level = 0),
+ s as (select r.level, r.slot, count(*)::int as n, sum(size) as bytes, sum(tombstone_count) / sum(entries) as density, (r.level * 3 + r.slot) / 10 as heat, 5 + r.slot as k, {NOW} - 20 * 3600000 * r.slot as compacted_ms from r where level > 0 group by 1, 2),
+ t as (select *, unnest([{{'action': 'promote', 'runs': n, 'trigger': 'single run', 'ok': n = 1 and level < 3}}, {{'action': 'tier', 'runs': least(n, 4), 'trigger': 'size', 'ok': n >= 2 and bytes > 1.5 * 40000 * pow(2, level - 1)}},
+ {{'action': 'tier', 'runs': least(k, 4), 'trigger': 'count', 'ok': n > k}}, {{'action': 'eager', 'runs': n, 'trigger': 'hot', 'ok': n > 1 and heat >= 0.8}}, {{'action': 'cleanup', 'runs': n, 'trigger': 'tombstones', 'ok': level = 3 and density >= 0.15}},
+ {{'action': 'tier', 'runs': least(n, 4), 'trigger': 'age', 'ok': n >= 2 and {NOW} - compacted_ms > 86400000}}]) as o from s)
+ select 0 as level, 0 as slot, 'tier' as action, n as runs, 'level 0' as trigger from z where n >= case when q >= 0.75 then 2 when q >= 0.5 then 3 else 4 end
+ union all select level, slot, o.action, o.runs::int, o.trigger from t where o.ok
+ union all select level, null, 'guard move', 0, 'imbalance' from s group by level having count(*) > 1 and sum(bytes) >= 10 and max(bytes) / avg(bytes) >= 3 and max(compacted_ms) <= {NOW} - 3600000"""
 )
 def c8_candidates(spark, d):
-    return compact.candidates(inputs.runs(spark, d), 3, 40_000, 3)
+    r = inputs.runs(spark, d)
+    slots = r.select("level", "slot").distinct().select("level", "slot", ((F.col("level") * 3 + F.col("slot")) / 10).alias("heat"), (F.col("slot") + 5).alias("k"), (NOW - 20 * 3_600_000 * F.col("slot").cast("long")).alias("compacted_ms"))
+    return compact.candidates(r, slots, NOW, 40, 3, 40_000, 2, least_bytes=10)
 
 
 @query("select event_id, case when q >= 0.9 then 2 when q >= 0.75 then 2 when q >= 0.5 then 3 else 4 end as l0_threshold, case when q >= 0.9 then 0.0 when q >= 0.75 then 0.02 when q >= 0.5 then 0.05 else 0.1 end::double as epsilon, case when q >= 0.9 then 16 when q >= 0.75 then 32 when q >= 0.5 then 64 else 128 end as slice_mib from (select event_id, (event_id % 100) / 100.0 as q from events)")
@@ -515,9 +522,8 @@ def v6_batched_knn(spark, d):
 
 @query(f"with d as (select v.vec_id, v.label, {L2.format(**PAIR)} as distance from embeddings v, embeddings q where q.vec_id = 0), t as (select * from d qualify row_number() over (partition by label order by distance, vec_id) <= 10) select vec_id, round(min(distance), 6) as distance from t group by 1 order by min(distance), vec_id limit 5")
 def v9_tiered(spark, d):
-    v, q = _vectors(spark, d), _first(spark, d, 1)[0][1]
-    tiers = [vector.nearest(v.where(F.col("label") == n), q, 10) for n in range(10)]
-    return vector.merge_tiers(tiers, 5).select("vec_id", F.round("distance", 6).alias("distance"))
+    tiers = vector.nearest_by_tier(_vectors(spark, d), _first(spark, d, 1)[0][1], 10, "label").select("vec_id", "distance")
+    return vector.merge_tiers([tiers], 5).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query("with l as (select vec_id % 100 as vec_id, vec_id as seq, vec_id % 9 = 0 as deleted from embeddings) select vec_id, seq from l qualify row_number() over (partition by vec_id order by seq desc) = 1 and not deleted")
@@ -732,11 +738,12 @@ def k16_versioned_read(spark, d):
 
 @query(
     f"""with {M}, {NEWEST}, c as (select key, idx from n where {LIVE}), q as (select cast(user_id as varchar) as key, event_id as idx from events where event_id % 3 = 0), won as (select * from q semi join c using (key, idx)),
- m2 as (select * from m union all select key, -1.0, false, null, 0, idx + {LATE}, {NOW} from won), n2 as (select * from m2 qualify row_number() over (partition by key order by term desc, idx desc) = 1) select key, value, idx from n2 where {LIVE}"""
+ m2 as (select * from m union all select key, -1.0, false, null, 0, row_number() over (order by key) + {LATE}, {NOW} from won union all select '17', 2.5, false, null, 0, {LATE} + 1000, {NOW}), n2 as (select * from m2 qualify row_number() over (partition by key order by term desc, idx desc) = 1) select key, value, idx from n2 where {LIVE}"""
 )
 def k17_compare_and_put(spark, d):
     q = inputs.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("expected_idx"), F.lit(-1.0).alias("value"))
-    return kv.state(kv.apply_compare_and_set(_log(spark, d), q, LATE, NOW), NOW).select("key", "value", "idx")
+    after = kv.apply_compare_and_set(_log(spark, d), q, LATE, NOW).unionByName(kv.put(spark, "17", 2.5, LATE + 1000, NOW))
+    return kv.state(after, NOW).select("key", "value", "idx")
 
 
 KIND = "case when event_id % 97 = 0 then 'drop' when event_id % 41 = 0 then 'create' when event_type = 'error' then 'delete' else 'insert' end"
@@ -884,10 +891,9 @@ def a19_write_pressure(spark, d):
 # --- filters, folds and rankings of events -----------------------------------------------
 
 
-@query(f"with {T} select {COUNTS} from t where node = 3")
+@query(f"with {T} select node, {COUNTS} from t group by 1")
 def a1_batch_summary(spark, d):
-    t = inputs.telemetry(spark, d).where("node = 3")
-    return t.agg(*(F.count_if(F.col("type") == x).alias(f"n_{x}") for x in TYPES))
+    return inputs.telemetry(spark, d).groupBy("node").agg(*(F.count_if(F.col("type") == x).alias(f"n_{x}") for x in TYPES))
 
 
 @query(f"with {T}, {BATCHES} select sum(n)::bigint as events from b where window_end > {NOW}")
@@ -990,11 +996,11 @@ def u1_sources(spark, d):
     return m.where("idx <= 300").withColumn("source", F.lit("low")).unionByName(m.where("idx > 300").withColumn("source", F.lit("high")))
 
 
-@query("select user_id, event_type from events where event_id % 40 = 0 except select user_id, event_type from events where event_id % 40 = 1")
+@query("select user_id, event_type, (epoch_us(ts) // 86400000000)::bigint as day from events where event_id % 2 = 0 except select user_id, event_type, (epoch_us(ts) // 86400000000)::bigint from events where event_id % 2 = 1")
 def u4_except(spark, d):
     e = inputs.table(spark, d, "events")
-    pairs = lambda n: e.where(F.col("event_id") % 40 == n).select("user_id", "event_type")
-    return pairs(0).subtract(pairs(1))
+    half = lambda n: e.where(F.col("event_id") % 2 == n).select("user_id", "event_type", F.floor(millis("ts") / DAY).cast("long").alias("day"))
+    return half(0).subtract(half(1))
 
 
 @query("with c as (select *, l_extendedprice as t from lineitem) select l_returnflag as type, count(*) filter (l_quantity <= 40) - count(*) filter (l_quantity <= 10) as n from c group by 1")

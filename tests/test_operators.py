@@ -58,8 +58,50 @@ def test_line_of_vectors(spark):
 
 
 def test_merge_of_tiers(spark):
-    tiers = [spark.createDataFrame(t, "vec_id string, distance double") for t in ([("vec1", 0.5), ("vec2", 0.3)], [("vec1", 0.4), ("vec3", 0.6)])]
-    assert [tuple(r) for r in vector.merge_tiers(tiers, 3).collect()] == [("vec2", 0.3), ("vec1", 0.4), ("vec3", 0.6)]
+    tiers = [spark.createDataFrame(t, "vec_id string, distance double") for t in ([("a", 2.0), ("c", 1.5), ("d", 9.0)], [("a", 1.0), ("b", 1.25)])]
+    assert [tuple(r) for r in vector.merge_tiers(tiers, 3).collect()] == [("a", 1.0), ("b", 1.25), ("c", 1.5)]
+
+
+def test_tiers_include_null(spark):
+    v = spark.createDataFrame([(i, [float(i)], None if i % 3 == 0 else i % 3) for i in range(30)], "vec_id long, embedding array<float>, label int")
+    got = vector.nearest_by_tier(v, [0.0], 2, "label").collect()
+    assert sorted(r["vec_id"] for r in got) == [0, 1, 2, 3, 4, 5]
+
+
+def test_distances_of_close_vectors_are_exact(spark):
+    rng = np.random.default_rng(0)
+    base = 1000 * rng.normal(size=16)
+    x = np.stack([base, base + 1e-8, base + 1e-7, base - 3e-8, *(1000 * rng.normal(size=(200, 16)))])
+    v = spark.createDataFrame([(i, e.tolist(), 0) for i, e in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(4)], "query_id long, vector array<double>")
+    got = {}
+    for r in vector.nearest_of_many(v, q, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["distance"]))
+    for i in range(4):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = sorted(range(len(x)), key=lambda j: (d[j], j))[:4]
+        assert [j for j, _ in got[i]] == want and np.allclose([e for _, e in got[i]], d[want], rtol=1e-9, atol=0)
+
+
+def test_approximate_searches_pass_over_invalid_vectors(spark):
+    rows = [(i, [float(i), 1.0], 0) for i in range(30)] + [(90, [float("nan"), 1.0], 0), (91, None, 0), (92, [1.0], 0), (93, [float("inf"), 0.0], 0), (94, [None, 1.0], 0), (95, [], 0)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    books = ann.train_codebooks(v, subspaces=2)
+    for found in (ann.search_quantised(v, [(1, [5.0, 1.0])], books, 3), ann.search_graphs(v, [(1, [5.0, 1.0])], 3)):
+        assert [r["vec_id"] for r in found.orderBy("rank").collect()] == [5, 4, 6]
+    none = v.limit(0)
+    assert ann.train_codebooks(none).shape == (0, 0, 0)
+    assert ann.search_quantised(none, [(1, [5.0, 1.0])], ann.train_codebooks(none), 3).count() == 0 == ann.search_graphs(v, [], 3).count()
+
+
+def test_compaction_candidates(spark):
+    now, mib = 10 * 86_400_000, 1 << 20
+    runs = spark.createDataFrame([(0, s, mib, 10, 0) for s in (0, 1, 2, 2)] + [(1, 0, mib, 10, 0)] + [(1, 1, 60 * mib, 10, 0)] * 2 + [(2, 0, mib, 10, 0)] * 5 + [(4, 0, mib, 10, 2), (4, 1, mib, 10, 1)], "level int, slot int, size long, entries long, tombstone_count long")
+    slots = spark.createDataFrame([(1, 1, 0.9, 3, now), (2, 0, 0.1, 3, now)], "level int, slot int, heat double, k int, compacted_ms long")
+    got = {(r["level"], r["slot"], r["trigger"]): (r["action"], r["runs"]) for r in compact.candidates(runs, slots, now).collect()}
+    assert got == {(0, 0, "level 0"): ("tier", 4), (1, 0, "single run"): ("promote", 1), (1, 1, "size"): ("tier", 2), (1, 1, "hot"): ("eager", 2), (2, 0, "count"): ("tier", 3), (4, 0, "tombstones"): ("cleanup", 1)}
+    old = compact.candidates(runs, slots.where("level = 1"), now).where("trigger = 'age'").collect()
+    assert [(r["level"], r["slot"], r["runs"]) for r in old] == [(2, 0, 4)]
 
 
 def test_recall(spark, sf):
@@ -172,7 +214,9 @@ def test_compare_and_put_lets_one_request_through(spark):
     log = kv.put(spark, "k", 1.0, 5, 0)
     requests = spark.createDataFrame([("k", 5, 2.0), ("k", 5, 3.0), ("k", 4, 9.0)], "key string, expected_idx long, value double")
     got = kv.state(kv.apply_compare_and_set(log, requests, 100, 10), 10)
-    assert [(r.value, r.idx) for r in got.collect()] == [(2.0, 105)]
+    assert [(r.value, r.idx) for r in got.collect()] == [(2.0, 101)]
+    later = kv.apply_compare_and_set(log, requests, 100, 10).unionByName(kv.put(spark, "k", 7.0, 102, 11))
+    assert [(r.value, r.idx) for r in kv.state(later, 11).collect()] == [(7.0, 102)]
 
 
 def test_expired_and_deleted_are_told_apart(spark):

@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
+from ledgerlake.operators import kv
 from ledgerlake.plans import catalogue
+from ledgerlake.sources import inputs, storage
 
 NAMES = sorted(catalogue.queries())
 
@@ -33,6 +35,9 @@ def test_equals_oracle(spark, sf, duck, name):
         assert rows
 
 
-def test_range_filter_reaches_the_scan(spark, sf, capsys):
-    catalogue.queries()["a16_levels"](spark, sf).explain("formatted")
-    assert "ReadSchema" in capsys.readouterr().out
+def test_range_filter_reaches_the_scan_of_a_run(spark, sf, tmp_path, capsys):
+    storage.write_run(inputs.mutations(spark, sf), f"{tmp_path}/run", files=4)
+    kv.scan(storage.read_runs(spark, [f"{tmp_path}/run"]), "17", "3", catalogue.NOW).select("key", "value").explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(key,17)" in pushed and "LessThan(key,3)" in pushed
