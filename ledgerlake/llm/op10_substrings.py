@@ -368,5 +368,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
     return joined.select("doc_id", "text", "ranges").mapInArrow(_removed(texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else ""))
 
 
+#: For documents with distinct ids.
+ORACLE_SQL = r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+ p as (select doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) as words, unnest(range(1, len(w) - 18)) as i from d where len(w) > 19),
+ r as (select doc_id, i from p qualify row_number() over (partition by words order by doc_id, i) > 1), c as (select distinct doc_id, unnest(range(i, i + 20)) as i from r),
+ u as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d), k as (select doc_id, string_agg(word, ' ' order by i) as kept, count(*) as n from u anti join c using (doc_id, i) group by 1)
+ select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)"""
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"), texts=False)

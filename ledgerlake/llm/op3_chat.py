@@ -192,6 +192,13 @@ def digest(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(_digest, DIGEST)
 
 
+_IN_ORDER = "order by turn nulls first, role nulls first, text"
+ORACLE_SQL = f"""with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations union all select -1, unnest([0, 1]), unnest(['user', 'assistant']), '{PROBE}'),
+ e as (select *, length(replace(replace(replace(coalesce(role, ''), '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + 24 as size from t)
+ select conv_id, count(*) as n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' {_IN_ORDER})) as turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+ sha256(coalesce(string_agg(text, '' {_IN_ORDER}) filter (role = 'assistant'), '')) as loss_sha256, sum(size)::bigint as formatted_chars from e group by 1"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")

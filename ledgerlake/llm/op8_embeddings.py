@@ -185,5 +185,12 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+#: All pairs of a label; the query finds those that share a lattice cell.
+ORACLE_SQL = f"""with recursive e as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and list_sum(list_transform(embedding, lambda x: x::double * x)) > 0 and isfinite(list_sum(embedding::double[])) and list_count(embedding) = len(embedding)),
+ l as (select a.vec_id as u, b.vec_id as v from e a join e b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= {COSINE}),
+ r as (select vec_id as u, vec_id as c from embeddings union select l.v, r.c from r join l on l.u = r.u), c as (select u as vec_id, min(c) as component_id from r group by 1), n as (select u as vec_id, count(*) as n from l group by 1)
+ select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join c using (vec_id) left join n using (vec_id)"""
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))
