@@ -168,9 +168,9 @@ def filter_batches(events: DataFrame, keep: Column, width: int, types: list[str]
 
 
 def stability(elections: DataFrame, now_ms: int) -> DataFrame:
-    """``elections(shard, ms)``: time since the last one, and whether that is recent (30 s) or long past (5 min)."""
+    """``elections(shard, ms)``: time since the last one, and whether that is recent (30 s), within a minute, or long past (5 min)."""
     age = now_ms - F.max("ms")
-    return elections.groupBy("shard").agg(age.alias("stable_ms")).withColumns({"recent": F.col("stable_ms") < 30_000, "stable": F.col("stable_ms") > 300_000})
+    return elections.groupBy("shard").agg(age.alias("stable_ms")).withColumns({"recent": F.col("stable_ms") < 30_000, "within_minute": F.col("stable_ms") < 60_000, "stable": F.col("stable_ms") > 300_000})
 
 
 def node_states(events: DataFrame) -> DataFrame:

@@ -148,3 +148,9 @@ def flush_due(size_bytes: Column, age_ms: Column) -> Column:
 def read_from(log: DataFrame, segment: int, pos: int) -> DataFrame:
     """Records of ``log(segment, pos, ...)`` at or behind a position."""
     return log.where((F.col("segment") > segment) | ((F.col("segment") == segment) & (F.col("pos") >= pos)))
+
+
+def apply_log(commands: DataFrame) -> DataFrame:
+    """(space, key, seq) left by ``commands(seq, kind, space, key)``, ``put`` and ``delete`` of keys; the last command on a key decides."""
+    last = commands.where(F.col("kind").isin("put", "delete")).groupBy("space", "key").agg(F.max_by("kind", "seq").alias("_kind"), F.max("seq").alias("seq"))
+    return last.where("_kind = 'put'").select("space", "key", "seq")

@@ -139,3 +139,38 @@ def leader_first(replicas: DataFrame) -> DataFrame:
     """``replicas(shard, node, leader)`` with the place of each in its shard: the leader, then by node."""
     order = Window.partitionBy("shard").orderBy(F.desc(F.col("node") == F.col("leader")), "node")
     return replicas.select("shard", "node", F.row_number().over(order).alias("place"))
+
+
+def last_terms(terms: DataFrame, n: int = 10) -> DataFrame:
+    """``terms(shard, term)``: the ``n`` highest terms of each shard."""
+    nth = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("term")))
+    return terms.select("shard", "term").distinct().withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
+
+
+def stability_counts(shards: DataFrame) -> DataFrame:
+    """``shards(stable_ms, recent, stable)``: how many are stable, recently elected, in between for under two minutes, and all."""
+    between = ~F.col("stable") & ~F.col("recent") & (F.col("stable_ms") < 120_000)
+    return shards.agg(F.count_if("stable").alias("stable"), F.count_if("recent").alias("recent"), F.count_if(between).alias("warning"), F.count("*").alias("total"))
+
+
+def lease_valid(expiry_ms: Column, now_ms: int) -> Column:
+    """Whether a read may rely on a lease: there is one, and it hasn't expired."""
+    return F.coalesce(expiry_ms > now_ms, F.lit(False))
+
+
+def log_up_to_date(term: Column, idx: Column, own_term: Column, own_idx: Column) -> Column:
+    """Whether a candidate's log may win a vote: a later last term, or as long a log in the same."""
+    return (term > own_term) | ((term == own_term) & (idx >= own_idx))
+
+
+def expired_suspicions(gossip: DataFrame, now_ms: int, timeout_ms: int) -> DataFrame:
+    """(id, suspected_ms) of nodes that have been suspected since ``timeout_ms`` or longer, and nothing else since."""
+    other = gossip.groupBy("id").agg(F.max(F.when(F.col("state") != "suspect", F.col("seq"))).alias("_other"))
+    since = gossip.where("state = 'suspect'").join(other, "id").where("_other is null or seq > _other").groupBy("id").agg(F.min("ms").alias("suspected_ms"))
+    return since.where(now_ms - F.col("suspected_ms") >= timeout_ms)
+
+
+def route(keys: DataFrame, view: DataFrame) -> DataFrame:
+    """``keys(key, shard)`` with leader and replicas from ``view(shard, node, leader)``; null for a shard the view doesn't know."""
+    known = view.groupBy("shard").agg(F.max("leader").alias("leader"), F.array_join(F.sort_array(F.collect_set("node")).cast("array<string>"), ",").alias("replicas"))
+    return keys.join(known, "shard", "left")

@@ -82,3 +82,39 @@ def write_pressure(operations: DataFrame, half_life: int, threshold: float = 0.5
     later = operations.count() - F.col("rank")
     ratio = F.coalesce(F.sum(F.when(F.col("write"), a * F.pow(F.lit(1 - a), later))), F.lit(0.0))
     return ranked.agg(ratio.alias("ratio")).withColumn("pressed", F.col("ratio") > threshold)
+
+
+def lsm_statistics(runs: DataFrame, records: DataFrame, memory_bytes: int, filter_bytes: int, flush_bytes: int) -> DataFrame:
+    """One row of ``runs(level, size)`` and ``records(bytes_in, bytes_out)``: files, bytes and amplifications.
+
+    Reads look into every file of level 0 and one of each deeper level that holds any; space is
+    measured against the deepest level; the memory ratio against the flush limit and the filters' budget.
+    """
+    level = lambda test, value: F.coalesce(F.sum(F.when(test, value)), F.lit(0))
+    each = runs.groupBy("level").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    total = each.agg(
+        F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), level(F.col("level") == 0, F.col("files")).alias("l0_files"), level(F.col("level") > 0, F.lit(1)).alias("deeper"), F.max_by("bytes", "level").alias("last")
+    )
+    written = amplification(records).select("write_amplification")
+    return total.crossJoin(F.broadcast(written)).select(
+        "files", "bytes", "l0_files", "write_amplification", (F.col("l0_files") + F.col("deeper")).cast("double").alias("read_amplification"),
+        F.when(F.col("last") > 0, F.col("bytes") / F.col("last")).otherwise(1.0).alias("space_amplification"),
+        ((memory_bytes + F.when(F.col("files") > 0, filter_bytes).otherwise(0)) / (flush_bytes + filter_bytes)).alias("memory_ratio"),
+    )
+
+
+def overall_pressure(l0: Column, memory: Column, buffer: Column) -> Column:
+    """The highest class of the three ratios."""
+    return F.greatest(pressure(l0), pressure(memory), pressure(buffer))
+
+
+def slot_history(samples: DataFrame) -> DataFrame:
+    """``samples(level, slot, heat)``: least, most and mean heat of each slot."""
+    return samples.groupBy("level", "slot").agg(F.min("heat").alias("least"), F.max("heat").alias("most"), F.avg("heat").alias("mean"))
+
+
+def selection_statistics(choices: DataFrame, by: str, n: int = 10) -> DataFrame:
+    """``choices(by, seq, explored, ucb, reward)``: of the last ``n`` of each the share of explorations, mean bound and mean reward."""
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("seq")))
+    last = choices.withColumn("_nth", nth).where(F.col("_nth") <= n)
+    return last.groupBy(by).agg((F.count_if("explored") / F.count("*")).alias("explored"), F.avg("ucb").alias("ucb"), F.avg("reward").alias("reward"))

@@ -15,6 +15,8 @@ from ledgerlake.functions.vectors import distance, is_valid
 QUERIES = 2000
 #: Pairs of a query and a vector that are compared by differences at once.
 PAIRS = 1 << 16
+#: Limits of names in bytes, and of dimensions.
+NAMESPACE_LIMIT, ID_LIMIT, DIMENSION_LIMIT = 256, 512, 4096
 FOUND = "query_id long, vec_id long, distance double"
 
 
@@ -159,3 +161,29 @@ def shrink_degree(edges: DataFrame, most: int) -> DataFrame:
     """Of ``edges(node, neighbour, distance)`` the nearest ``most`` of each node, ties by neighbour."""
     nth = F.row_number().over(Window.partitionBy("node").orderBy("distance", "neighbour"))
     return edges.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+
+
+def command_outcomes(commands: DataFrame) -> DataFrame:
+    """(seq, kind, namespace, outcome) of ``commands(seq, kind, namespace)``: ``exists`` for a create of an open namespace, ``missing`` for others on a closed one, else ``ok``."""
+    past = Window.partitionBy("namespace").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce(F.max_by(F.col("kind") == "create", F.when(F.col("kind").isin("create", "drop"), F.col("seq"))).over(past), F.lit(False))
+    create = F.col("kind") == "create"
+    outcome = F.when(create & opened, "exists").when(~create & ~opened, "missing").otherwise("ok")
+    return commands.select("seq", "kind", "namespace", outcome.alias("outcome"))
+
+
+def rejected(vectors: DataFrame, dims: int | None = None) -> DataFrame:
+    """``vectors(namespace, id, embedding)`` beyond the limits, with the reason."""
+    size = F.coalesce(F.size("embedding"), F.lit(0))
+    reason = F.when(F.octet_length("namespace") == 0, "empty namespace").when(F.octet_length("namespace") > NAMESPACE_LIMIT, "namespace too long")
+    reason = reason.when(F.octet_length("id") == 0, "empty id").when(F.octet_length("id") > ID_LIMIT, "id too long")
+    reason = reason.when(size <= 0, "empty vector").when(size > DIMENSION_LIMIT, "too many dimensions")
+    reason = reason if dims is None else reason.when(size != dims, "other dimensions")
+    return vectors.withColumn("reason", reason).where("reason is not null")
+
+
+def get(vectors: DataFrame, ids: DataFrame, with_vectors: bool = True) -> DataFrame:
+    """``ids(vec_id)`` with whether they are there and, if asked for, their vectors."""
+    columns = ["vec_id", "embedding"] if with_vectors else ["vec_id"]
+    here = vectors.select(*columns).withColumn("found", F.lit(True))
+    return ids.join(here, "vec_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))

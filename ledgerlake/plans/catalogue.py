@@ -607,10 +607,10 @@ def a14_hit_ratio(spark, d):
     return events.hit_ratio(inputs.telemetry(spark, d), ["node"], "view", "click", DAY).select("node", F.round("current", 6).alias("current"), F.round("mean", 6).alias("mean"))
 
 
-@query(f"with {T}, l as (select * from t qualify row_number() over (partition by type order by ms desc, event_id desc) <= 10) select type, round(count(*) filter (event_id % 3 = 0) / count(*), 6) as explored, round(avg(value), 6) as mean from l group by 1")
+@query(f"with {T}, l as (select * from t qualify row_number() over (partition by type order by event_id desc) <= 10) select type, round(count(*) filter (event_id % 3 = 0) / count(*), 6) as explored, round(avg(value * 2 + node), 6) as ucb, round(avg(value), 6) as reward from l group by 1")
 def a12_selection_statistics(spark, d):
-    last = events.last_n(inputs.telemetry(spark, d), ["type"], 10)
-    return last.groupBy("type").agg(F.round(F.count_if(F.col("event_id") % 3 == 0) / F.count("*"), 6).alias("explored"), F.round(F.avg("value"), 6).alias("mean"))
+    t = inputs.telemetry(spark, d).select("type", F.col("event_id").alias("seq"), (F.col("event_id") % 3 == 0).alias("explored"), (F.col("value") * 2 + F.col("node")).alias("ucb"), F.col("value").alias("reward"))
+    return stats.selection_statistics(t, "type").withColumns({c: F.round(c, 6) for c in ("explored", "ucb", "reward")})
 
 
 @query(f"with {T}, l as (select shard, arg_max(node, event_id) filter (type = 'view' and shard % 5 > 0) as leader from t where shard is not null group by 1) select leader, count(*) as shards from l group by 1")
@@ -930,7 +930,7 @@ def f18_type_and_shard(spark, d):
     return storage.from_json(lines, "event_id: bigint, shard: int").where("shard is not null").select("event_id", "type", "shard")
 
 
-@query(f"with {T}, s as (select shard, 1706600000000 - max(ms) as stable_ms from t where shard is not null and type = 'error' group by 1) select *, stable_ms < 30000 as recent, stable_ms > 300000 as stable from s")
+@query(f"with {T}, s as (select shard, 1706600000000 - max(ms) as stable_ms from t where shard is not null and type = 'error' group by 1) select *, stable_ms < 30000 as recent, stable_ms < 60000 as within_minute, stable_ms > 300000 as stable from s")
 def f19_stability(spark, d):
     return events.stability(inputs.telemetry(spark, d).where("shard is not null and type = 'error'"), 1_706_600_000_000)
 
@@ -1048,3 +1048,126 @@ def v11_codebooks(spark, d):
     books = ann.train_codebooks(_vectors(spark, d))
     rows = [(s, c, [float(x) for x in book]) for s, part in enumerate(books) for c, book in enumerate(part)]
     return spark.createDataFrame(rows, "subspace int, centroid int, position array<double>")
+
+
+# --- statistics, leases, routes and filters ------------------------------------------------
+
+
+@query(f"with {R}, l as (select level, count(*) as files, sum(size) as bytes from r group by 1), w as (select sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice) as w from lineitem) select sum(files)::bigint as files, sum(bytes)::bigint as bytes, coalesce(sum(files) filter (level = 0), 0)::bigint as l0_files, round((select w from w), 6) as write_amplification, (coalesce(sum(files) filter (level = 0), 0) + count(*) filter (level > 0))::double as read_amplification, round(sum(bytes) / arg_max(bytes, level), 6) as space_amplification, round((1000 + 5000) / (4000 + 5000), 6) as memory_ratio from l")
+def a16_statistics(spark, d):
+    r = inputs.table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("bytes_in"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("bytes_out"))
+    found = stats.lsm_statistics(inputs.runs(spark, d), r, 1000, 5000, 4000)
+    return found.withColumns({c: F.round(c, 6) for c in ("write_amplification", "space_amplification", "memory_ratio")})
+
+
+PRESSURE = "case when {0} >= 1.1 then 4 when {0} >= 0.9 then 3 when {0} >= 0.75 then 2 when {0} >= 0.5 then 1 else 0 end"
+
+
+@query(f"select event_id, greatest({PRESSURE.format('(event_id % 130)::double / 100')}, {PRESSURE.format('(event_id % 70)::double / 100')}, {PRESSURE.format('(event_id % 7)::double / 10')}) as pressure from events")
+def a17_overall_pressure(spark, d):
+    ratio = lambda n, by: (F.col("event_id") % n).cast("double") / by
+    return inputs.table(spark, d, "events").select("event_id", stats.overall_pressure(ratio(130, 100), ratio(70, 100), ratio(7, 10)).alias("pressure"))
+
+
+@query("select (user_id % 4)::int as level, (user_id % 12)::int as slot, min((event_id % 100) / 100) as least, max((event_id % 100) / 100) as most, round(avg((event_id % 100) / 100), 6) as mean from events group by 1, 2")
+def a13_slot_history(spark, d):
+    e = inputs.table(spark, d, "events").select((F.col("user_id") % 4).cast("int").alias("level"), (F.col("user_id") % 12).cast("int").alias("slot"), (F.col("event_id") % 100 / 100).alias("heat"))
+    return stats.slot_history(e).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"with {T}, s as (select shard, max(ms) + 200000 - shard * 20000 as at, max(ms) as last from t where shard is not null group by 1), a as (select (select max(last) from s) - last + shard * 20000 as age from s) select count(*) filter (age > 300000) as stable, count(*) filter (age < 30000) as recent, count(*) filter (age between 30000 and 119999) as warning, count(*) as total from a")
+def a10_stability_counts(spark, d):
+    last = inputs.telemetry(spark, d).where("shard is not null").groupBy("shard").agg(F.max("ms").alias("ms"))
+    newest = last.agg(F.max("ms")).first()[0]
+    return state.stability_counts(events.stability(last.select("shard", (F.col("ms") - F.col("shard") * 20_000).alias("ms")), newest))
+
+
+@query(f"with {T}, e as (select distinct shard, event_id // 50 as term from t where shard is not null) select shard, term from e qualify row_number() over (partition by shard order by term desc) <= 10")
+def w3_last_terms(spark, d):
+    return state.last_terms(inputs.telemetry(spark, d).where("shard is not null").select("shard", F.floor(F.col("event_id") / 50).alias("term")))
+
+
+@query(f"with {T} select event_id, coalesce(case when event_id % 5 > 0 then ms + 3600000 end > {NOW}, false) as valid from t")
+def raft_lease(spark, d):
+    expiry = F.when(F.col("event_id") % 5 > 0, F.col("ms") + 3_600_000)
+    return inputs.telemetry(spark, d).select("event_id", state.lease_valid(expiry, NOW).alias("valid"))
+
+
+@query("select event_id, (event_id % 4, event_id % 9) >= (user_id % 4, user_id % 9) as wins from events")
+def raft_log_up_to_date(spark, d):
+    e, u = F.col("event_id"), F.col("user_id")
+    return inputs.table(spark, d, "events").select("event_id", state.log_up_to_date(e % 4, e % 9, u % 4, u % 9).alias("wins"))
+
+
+@query(f"with {G}, o as (select id, max(seq) filter (state <> 'suspect') as o from g group by 1), s as (select g.id, min(ms) as suspected_ms from g join o using (id) where state = 'suspect' and (o is null or seq > o) group by 1) select * from s where {MUCH_LATER} - suspected_ms >= 3600000")
+def swim_expired_suspicions(spark, d):
+    return state.expired_suspicions(inputs.gossip(spark, d), MUCH_LATER, 3_600_000)
+
+
+@query(
+    _SQL["n2_jump_hash"].replace("select id as o_orderkey, max(b)::int as bucket from j group by 1", "")[:-1]
+    + f""", b as (select id, max(b)::int as shard from j group by 1), p as (select distinct user_id % 60 as shard, user_id % 5 as node from events), v as (select shard, shard % 5 as leader, array_to_string(list_sort(list(node)), ',') as replicas from p group by 1)
+ select b.id as o_orderkey, b.shard, leader, replicas from b left join v using (shard)"""
+)
+def placement_route(spark, d):
+    view = inputs.table(spark, d, "events").select((F.col("user_id") % 60).cast("int").alias("shard"), (F.col("user_id") % 5).alias("node")).distinct().withColumn("leader", (F.col("shard") % 5).cast("long"))
+    keys = inputs.table(spark, d, "orders").select("o_orderkey").distinct().select("o_orderkey", hashing.jump_bucket(F.col("o_orderkey"), 64).alias("shard"))
+    return state.route(keys, view)
+
+
+@query(f"with c as (select event_id as seq, {KIND} as kind, user_id % 5 as namespace from events), o as (select *, coalesce(arg_max(kind = 'create', case when kind in ('create', 'drop') then seq end) over (partition by namespace order by seq rows between unbounded preceding and 1 preceding), false) as open from c) select seq, kind, namespace, case when kind = 'create' and open then 'exists' when kind <> 'create' and not open then 'missing' else 'ok' end as outcome from o")
+def v1_command_outcomes(spark, d):
+    return vector.command_outcomes(inputs.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.expr(KIND).alias("kind"), (F.col("user_id") % 5).alias("namespace")))
+
+
+@query("with i as (select distinct o_custkey as vec_id from orders) select i.vec_id, e.vec_id is not null as found, len(embedding)::int as dimensions from i left join embeddings e using (vec_id)")
+def v4_get(spark, d):
+    ids = inputs.table(spark, d, "orders").select(F.col("o_custkey").alias("vec_id")).distinct()
+    return vector.get(_vectors(spark, d), ids).select("vec_id", "found", F.when(F.col("found"), F.size("embedding")).alias("dimensions"))
+
+
+@query(
+    f"""with c as (select event_id as seq, case when event_id % 2 = 0 then case when event_type = 'error' then 'delete' else 'put' end end as kv, {KIND} as kind, user_id % 5 as namespace, user_id as id from events),
+ k as (select id, max(seq) as seq, arg_max(kv, seq) as kv from c where kv is not null group by 1),
+ o as (select *, arg_max(kind = 'create', case when kind in ('create', 'drop') then seq end) over (partition by namespace order by seq rows unbounded preceding) as open from c where kv is null),
+ d as (select namespace, max(seq) as dropped from c where kv is null and kind = 'drop' group by 1), l as (select * from o where open and kind in ('insert', 'delete') qualify row_number() over (partition by namespace, id order by seq desc) = 1)
+ select 'keys' as space, id as key, seq from k where kv = 'put' union all select namespace::varchar, id, seq from l left join d using (namespace) where kind = 'insert' and (dropped is null or seq > dropped)"""
+)
+def k18_command_log(spark, d):
+    e = inputs.table(spark, d, "events")
+    keyed = e.where("event_id % 2 = 0").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("kind"), F.lit("keys").alias("space"), F.col("user_id").alias("key"))
+    vectors = vector.apply_commands(e.where("event_id % 2 = 1").select(F.col("event_id").alias("seq"), F.expr(KIND).alias("kind"), (F.col("user_id") % 5).alias("namespace"), F.col("user_id").alias("id")))
+    return kv.apply_log(keyed).unionByName(vectors.select(F.col("namespace").cast("string").alias("space"), F.col("id").alias("key"), "seq"))
+
+
+HASH = "('0x' || substr(md5(url), 1, 16))::ubigint"
+
+
+def _hashes(spark, d):
+    return inputs.table(spark, d, "pages").select("page_id", F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 16), 16, -10).cast("long").alias("hash"))
+
+
+@query(f"select page_id, ({HASH} >> 52)::bigint as quotient, (({HASH} >> 44) & 255)::bigint as remainder from pages")
+def n5_fingerprints(spark, d):
+    q, r = hashing.fingerprint(F.col("hash"), 12, 8)
+    return _hashes(spark, d).select("page_id", q.alias("quotient"), r.alias("remainder"))
+
+
+@query(f"select distinct ({HASH} >> 60)::bigint as quotient, (({HASH} >> 56) & 15)::bigint as remainder from pages")
+def a27_quotient_filter(spark, d):
+    """Two filters, merged."""
+    h = _hashes(spark, d)
+    parts = [hashing.quotient_filter(h.where(F.col("page_id") % 2 == n), "hash", 4, 4) for n in (0, 1)]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+@query()
+def a26_bloom_filter(spark, d):
+    return hashing.bloom_filter(inputs.table(spark, d, "pages").select("url"), "url")
+
+
+@query("select vec_id, case when vec_id % 7 = 0 then 'empty namespace' when vec_id % 11 = 0 then 'empty id' else 'other dimensions' end as reason from embeddings where vec_id % 7 = 0 or vec_id % 11 = 0 or vec_id % 13 = 0")
+def f13_vector_limits(spark, d):
+    broken = F.when(F.col("vec_id") % 13 == 0, F.slice("embedding", 1, 9)).otherwise(F.col("embedding"))
+    name = lambda n: F.when(F.col("vec_id") % n == 0, "").otherwise("x")
+    return vector.rejected(_vectors(spark, d).select("vec_id", name(7).alias("namespace"), name(11).alias("id"), broken.alias("embedding")), 64).select("vec_id", "reason")
