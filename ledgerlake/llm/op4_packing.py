@@ -30,7 +30,7 @@ from ledgerlake.llm import common
 TOKENS = 2048
 GROUP = 100_000
 #: Units whose ids a worker remembers, and bytes of text that are looked up at once.
-REMEMBERED, CHUNK = 1_000_000, 1_000_000
+REMEMBERED, CHUNK = 700_000, 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -73,9 +73,9 @@ then compared byte by byte; a text with a unit that only shares its hash goes to
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.offset = self.length = np.zeros(0, np.int64)  # of a unit's ids in the pool
+        self.offset = self.length = np.zeros(0, np.int32)  # of a unit's ids in the pool
         self.pool = np.zeros(0, np.uint32)
-        self.at = self.size = np.zeros(0, np.int64)  # of a unit's own bytes
+        self.at = self.size = np.zeros(0, np.int32)  # of a unit's own bytes
         self.spelt = np.zeros(0, np.uint8)
 
     def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
@@ -137,7 +137,7 @@ then compared byte by byte; a text with a unit that only shares its hash goes to
             other |= np.add.reduceat(differs, np.cumsum(size) - size) > 0
         limits = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))
         wrong = np.unique(np.searchsorted(limits, np.flatnonzero(other), "right")).tolist()
-        length = self.length[row]
+        length = self.length[row].astype(np.int64)
         behind = np.cumsum(length)
         ids = self.pool[np.repeat(self.offset[row] - behind + length, length) + np.arange(behind[-1] if len(behind) else 0)]
         cuts = np.concatenate([[0], behind])[limits]

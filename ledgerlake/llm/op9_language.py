@@ -35,7 +35,7 @@ BUCKETS = 1 << 16
 LEXICON = 300
 ROUNDS = 40
 #: Characters of one block, and words of one step of the chains.
-BLOCK, SEGMENT = 1_000_000, 128
+BLOCK, SEGMENT = 400_000, 128
 UNKNOWN = "und"
 #: A document whose words' most probable labels have a smaller mean probability is rejected by the pipeline.
 LEAST_SCORE = 0.5
