@@ -150,9 +150,10 @@ def test_swaps_of_a_sentence():
 
 
 def test_one_text_of_an_id_teaches(spark):
-    docs = spark.createDataFrame([(4, f"text {i}") for i in range(50)] + [(None, "x")], "doc_id long, text string")
-    labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
-    assert [(r["_id"], r["toxic"]) for r in tox.training_sample(docs, labels).collect()] == [(4, 1)]
+    known = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = spark.createDataFrame([(known, f"text {i}") for i in range(50)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(known, 1), (known, 0), (None, 1)], "doc_id long, toxic int")
+    assert [(r["_id"], r["toxic"]) for r in tox.training_sample(docs, labels).collect()] == [(known, 1)]
 
 
 def test_toxicity_odd_rows(spark):
