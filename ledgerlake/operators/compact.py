@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import ordering
+
 
 def merge(entries: DataFrame, drop_tombstones: bool) -> DataFrame:
     """``entries(key, value, tombstone, run)``: of each key the one from the newest run (largest number)."""
@@ -58,9 +60,7 @@ def propose_guards(keys: DataFrame, slots: int) -> DataFrame:
     Keys are range-partitioned and ranked within partitions, whose offsets come from a count by
     partition: no task sorts all keys.
     """
-    from ledgerlake.operators.ordering import with_rank
-
-    ranked = with_rank(keys.select("key").distinct(), "key")
+    ranked = ordering.with_rank(keys.select("key").distinct(), "key")
     n = ranked.count()
     if n <= slots:
         return ranked.select((F.col("rank") - 1).alias("guard_id"), F.col("key").alias("guard"))
@@ -129,11 +129,9 @@ def arm_statistics(rewards: DataFrame) -> DataFrame:
 
     The weight of a reward depends only on how many follow, so sums replace the fold.
     """
-    w = Window.partitionBy("action")
-    later = F.count("*").over(w) - F.row_number().over(w.orderBy("seq"))
-    first = F.row_number().over(w.orderBy("seq")) == 1
-    weight = F.pow(F.lit(0.9), later) * F.when(first, 1.0).otherwise(0.1)
-    return rewards.select("action", (F.col("reward") * weight).alias("part")).groupBy("action").agg(F.sum("part").alias("mean"), F.count("*").alias("n"))
+    numbered = ordering.ranked(rewards.select("action", "seq", "reward"), ["action"], ["seq"])
+    weight = F.pow(F.lit(0.9), F.col("of") - F.col("rank")) * F.when(F.col("rank") == 1, 1.0).otherwise(0.1)
+    return numbered.select("action", (F.col("reward") * weight).alias("part")).groupBy("action").agg(F.sum("part").alias("mean"), F.count("*").alias("n"))
 
 
 def ucb(arms: DataFrame, c: float = 2.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.times import window_start
+from ledgerlake.operators import ordering
 
 
 def parse_numbers(text: Column) -> Column:
@@ -63,13 +64,12 @@ def series_statistics(events: DataFrame, key: list[str]) -> DataFrame:
 
 
 def percentiles(events: DataFrame, key: list[str], points: dict[str, float]) -> DataFrame:
-    """Values at rank floor(n * p) from 0, by a count and a rank for each key.
-
-    Values are ranked by a window, so a key's values are sorted with spilling, not gathered in an array.
-    """
-    w = Window.partitionBy(*key)
-    ranked = events.select(*key, "value", (F.row_number().over(w.orderBy("value")) - 1).alias("rank"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(*key).agg(*(F.max(F.when(F.col("rank") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("value"))).alias(name) for name, p in points.items()))
+    """Values at rank floor(n * p) from 0. Equal values are counted before they are ranked."""
+    counts = events.groupBy(*key, "value").agg(F.count("*").alias("_n"))
+    found = ordering.ranked(counts, key, ["value"], weight="_n")
+    at = lambda p: F.least(F.floor(F.col("of") * p), F.col("of") - 1)
+    here = lambda p: (at(p) < F.col("rank")) & (at(p) >= F.col("rank") - F.col("_n"))
+    return found.groupBy(*key).agg(*(F.max(F.when(here(p), F.col("value"))).alias(name) for name, p in points.items()))
 
 
 def histogram(events: DataFrame, bounds: list[float]) -> DataFrame:
@@ -95,28 +95,35 @@ def last_n(events: DataFrame, key: list[str], n: int) -> DataFrame:
 
 def trend(events: DataFrame, key: list[str]) -> DataFrame:
     """Whether the mean of the later half exceeds that of the earlier (the middle belongs to the later)."""
-    w = Window.partitionBy(*key)
-    half = F.floor(F.count("*").over(w) / 2)
-    ranked = events.select(*key, "value", (F.row_number().over(w.orderBy("ms", "event_id")) <= half).alias("early"))
-    return ranked.groupBy(*key).agg((F.avg(F.when(~F.col("early"), F.col("value"))) > F.avg(F.when(F.col("early"), F.col("value")))).alias("rising"))
+    found = ordering.ranked(events.select(*key, "value", "ms", "event_id"), key, ["ms", "event_id"])
+    early = F.col("rank") <= F.floor(F.col("of") / 2)
+    return found.groupBy(*key).agg((F.avg(F.when(~early, F.col("value"))) > F.avg(F.when(early, F.col("value")))).alias("rising"))
 
 
 def sliding_total(events: DataFrame, key: list[str], width: int) -> DataFrame:
-    """Events with the sum and the number of those up to ``width`` ms before them, themselves included."""
-    w = Window.partitionBy(*key).orderBy("ms").rangeBetween(-width, 0)
-    return events.withColumns({"window_total": F.sum("value").over(w), "window_n": F.count("*").over(w)})
+    """Events with the sum and the number of those up to ``width`` ms before them, themselves included.
+
+    Each event goes to its own stretch of ``width`` ms and, as a mere summand, to the next, so
+    a task holds two stretches of a key. Events without a time are each other's neighbours.
+    """
+    stretch = F.floor(F.col("ms") / width)
+    places = F.when(F.col("ms").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(stretch, stretch + 1))
+    each = events.select("*", F.posexplode(places).alias("_summand", "_stretch"))
+    w = Window.partitionBy(*key, "_stretch").orderBy("ms").rangeBetween(-width, 0)
+    found = each.withColumns({"window_total": F.sum("value").over(w), "window_n": F.count("*").over(w)})
+    return found.where("_summand = 0").drop("_summand", "_stretch")
 
 
 def as_of(points: DataFrame, facts: DataFrame, by: str, point_ms: str, fact_ms: str, value: str) -> DataFrame:
     """For each point the value of the latest fact of its key at or before it; null without one.
 
-    Points and facts are merged and sorted once by key, instead of a range join that pairs them all.
+    Points and facts are merged and ordered once by key, instead of a range join that pairs them all.
     """
     both = points.select(by, F.col(point_ms).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(dict(facts.dtypes)[value]).alias("v"), F.lit(None).cast("long").alias("tie")).unionByName(
         facts.select(by, F.col(fact_ms).alias("at"), F.lit(0).alias("kind"), F.col(value).alias("v"), F.col("event_id").alias("tie"))
     )
-    w = Window.partitionBy(by).orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("v", F.last("v", ignorenulls=True).over(w)).where("kind = 1").select(by, F.col("at").alias(point_ms), F.col("v").alias(value))
+    found = ordering.with_last(both, [by], ["at", "kind", "tie"], F.col("v"), "last", own=True)
+    return found.where("kind = 1").select(by, F.col("at").alias(point_ms), F.col("last").alias(value))
 
 
 def per_minute(events: DataFrame, end_ms: int, minutes: int) -> DataFrame:
@@ -181,6 +188,7 @@ def node_states(events: DataFrame) -> DataFrame:
 
 def watch(views: DataFrame) -> DataFrame:
     """``views(cluster, seq, view)``: the first and every changed one, with an epoch that grows by one each time."""
-    w = Window.partitionBy("cluster").orderBy("seq")
-    changed = views.withColumn("_before", F.lag("view").over(w)).where("_before is null or _before <> view")
-    return changed.select("cluster", "seq", "view", F.row_number().over(w).alias("epoch"))
+    before = F.col("_before.view")
+    seen = ordering.with_last(views, ["cluster"], ["seq"], F.struct("view"), "_before")
+    changed = seen.where(before.isNull() | (before != F.col("view")))
+    return ordering.ranked(changed.select("cluster", "seq", "view"), ["cluster"], ["seq"]).select("cluster", "seq", "view", F.col("rank").cast("int").alias("epoch"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.times import window_start
+from ledgerlake.operators import ordering
 
 
 def increases(samples: DataFrame, series: list[str], order: str = "event_id") -> DataFrame:
@@ -13,8 +14,9 @@ def increases(samples: DataFrame, series: list[str], order: str = "event_id") ->
 
     No extrapolation to the edges of a window.
     """
-    before = F.lag("value").over(Window.partitionBy(*series).orderBy(order))
-    return samples.withColumn("increase", F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before))
+    before = F.col("_before.value")
+    found = ordering.with_last(samples, series, [order], F.struct("value"), "_before")
+    return found.withColumn("increase", F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)).drop("_before")
 
 
 def rate(samples: DataFrame, series: list[str], width: int) -> DataFrame:
@@ -46,15 +48,16 @@ def gauge_delta(samples: DataFrame, series: list[str], width: int) -> DataFrame:
 
 def lag_behind(positions: DataFrame, group: str, value: str) -> DataFrame:
     """How far each replica is behind the one furthest ahead."""
-    return positions.withColumn("lag", F.max(value).over(Window.partitionBy(group)) - F.col(value))
+    furthest = positions.groupBy(F.col(group).alias("_group")).agg(F.max(value).alias("_furthest"))
+    return positions.join(furthest, F.col(group).eqNullSafe(F.col("_group"))).withColumn("lag", F.col("_furthest") - F.col(value)).drop("_group", "_furthest")
 
 
 def sustained(points: DataFrame, key: list[str], at: str, condition: str, least: int) -> DataFrame:
     """(key, begin, end) of stretches of points that all satisfy ``condition`` and last ``least`` or longer."""
     rows = points.withColumn("_bad", F.when(F.expr(condition), 0).otherwise(1))
-    rows = rows.withColumn("_run", F.sum("_bad").over(Window.partitionBy(*key).orderBy(at)))
-    runs = rows.where("_bad = 0").groupBy(*key, "_run").agg(F.min(at).alias("begin_ms"), F.max(at).alias("end_ms"))
-    return runs.where(F.col("end_ms") - F.col("begin_ms") >= least).drop("_run")
+    rows = ordering.ranked(rows.select(*key, at, "_bad", (-F.col("_bad")).alias("_good")), key, [at, "_good"], weight="_bad")
+    runs = rows.where("_bad = 0").groupBy(*key, "rank").agg(F.min(at).alias("begin_ms"), F.max(at).alias("end_ms"))
+    return runs.where(F.col("end_ms") - F.col("begin_ms") >= least).drop("rank")
 
 
 def gauge(samples: DataFrame, series: list[str], by: list[str]) -> DataFrame:

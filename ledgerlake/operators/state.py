@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import ordering
+
 
 def latest_status(gossip: DataFrame) -> DataFrame:
     return gossip.groupBy("id").agg(F.max_by("state", "seq").alias("state"))
@@ -17,8 +19,8 @@ def health(status: DataFrame) -> DataFrame:
 
 def transitions(gossip: DataFrame, keep: int) -> DataFrame:
     """Changes of state (before the first a node is alive), the last ``keep`` of each node."""
-    w = Window.partitionBy("id").orderBy("seq")
-    changed = gossip.withColumn("before", F.lag("state", 1, "alive").over(w)).where("state <> before")
+    known = ordering.with_last(gossip.select("id", "seq", "state"), ["id"], ["seq"], F.struct("state"), "_b")
+    changed = known.withColumn("before", F.when(F.col("_b").isNull(), "alive").otherwise(F.col("_b.state"))).where("state <> before")
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))
     return changed.withColumn("nth", nth).where(F.col("nth") <= keep).select("id", "seq", "before", "state")
 
@@ -31,8 +33,7 @@ def members(gossip: DataFrame) -> DataFrame:
     ``left`` ends it, and else the last incarnation's first state, first suspicion and last failure tell
     the state: aggregates by incarnation instead of a fold over all updates of a node.
     """
-    before = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = gossip.withColumn("_top", F.max("incarnation").over(before)).where("incarnation = _top")
+    counted = ordering.with_last(gossip, ["id"], ["seq"], F.col("incarnation"), "_top", own=True, most=True).where("incarnation = _top")
     at = lambda f, s: f(F.when(F.col("state") == s, F.col("seq")))
     each = counted.groupBy("id", "incarnation").agg(F.min_by("state", "seq").alias("first"), at(F.min, "suspect").alias("suspect"), at(F.max, "failed").alias("failed"), at(F.min, "left").alias("left"))
     suspected = (F.col("first") == "suspect") | ((F.col("first") == "alive") & F.col("suspect").isNotNull())
@@ -49,15 +50,14 @@ def suspicions(gossip: DataFrame) -> DataFrame:
 
 def confirm_latency(gossip: DataFrame) -> DataFrame:
     """(id, seq, latency_ms) from a node's last suspicion to each failure; null without suspicion."""
-    w = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    since = F.last(F.when(F.col("state") == "suspect", F.col("ms")), ignorenulls=True).over(w)
-    return gossip.withColumn("since", since).where("state = 'failed'").select("id", "seq", (F.col("ms") - F.col("since")).alias("latency_ms"))
+    suspected = F.when(F.col("state") == "suspect", F.col("ms"))
+    return ordering.with_last(gossip, ["id"], ["seq"], suspected, "since").where("state = 'failed'").select("id", "seq", (F.col("ms") - F.col("since")).alias("latency_ms"))
 
 
 def elections(terms: DataFrame) -> DataFrame:
     """``terms(shard, ms, event_id, term)``: the term of each shard, its elections (rises) and the last one's time."""
-    w = Window.partitionBy("shard").orderBy("ms", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rose = terms.withColumn("before", F.coalesce(F.max("term").over(w), F.lit(0))).withColumn("rose", F.col("term") > F.col("before"))
+    rose = ordering.with_last(terms, ["shard"], ["ms", "event_id"], F.col("term"), "before", most=True)
+    rose = rose.withColumn("rose", F.col("term") > F.coalesce("before", F.lit(0)))
     return rose.groupBy("shard").agg(F.max("term").alias("term"), F.count_if("rose").alias("elections"), F.max(F.when(F.col("rose"), F.col("ms"))).alias("last_ms"))
 
 
@@ -73,8 +73,8 @@ def happens_before(history: DataFrame) -> DataFrame:
     Counted by merging invocations and returns in time order, not by pairing operations.
     """
     marks = history.select("key", F.col("invoke_ms").alias("at"), F.lit(0).alias("returned"), "id").unionByName(history.select("key", F.col("return_ms").alias("at"), F.lit(1).alias("returned"), "id"))
-    w = Window.partitionBy("key").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    return marks.withColumn("n", F.coalesce(F.sum("returned").over(w), F.lit(0))).where("returned = 0").select("id", "n")
+    counted = ordering.ranked(marks, ["key"], ["at", "returned", "id"], weight="returned")
+    return counted.where("returned = 0").select("id", F.col("rank").alias("n"))
 
 
 def placement_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -97,9 +97,9 @@ def failure_detection(gossip: DataFrame) -> DataFrame:
 
     A false alarm is a node that is alive after a suspicion that no failure has followed.
     """
-    before = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    since = lambda s: F.max(F.when(F.col("state") == s, F.struct("seq", "ms"))).over(before)
-    seen = gossip.select("state", "ms", since("suspect").alias("s"), since("failed").alias("f"))
+    of = lambda s: F.when(F.col("state") == s, F.struct("seq", "ms"))
+    seen = ordering.with_last(gossip.select("id", "seq", "state", "ms"), ["id"], ["seq"], of("suspect"), "s", most=True)
+    seen = ordering.with_last(seen, ["id"], ["seq"], of("failed"), "f", most=True)
     is_ = lambda s: F.col("state") == s
     alarm = is_("alive") & F.col("s").isNotNull() & (F.col("f").isNull() | (F.col("f.seq") < F.col("s.seq")))
     found = seen.agg(

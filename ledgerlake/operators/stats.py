@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import ordering
+
 #: Heat of an operation.
 HEAT = {"get": 1.0, "scan": 2.0, "put": 0.5, "delete": 0.5}
 
@@ -40,9 +42,9 @@ def heat(operations: DataFrame, half_life: int) -> DataFrame:
     Each operation's weight depends only on how many follow it, so no fold is needed.
     """
     a = alpha(half_life)
-    later = F.count("*").over(Window.partitionBy("slot")) - F.row_number().over(Window.partitionBy("slot").orderBy("seq"))
+    later = F.col("of") - F.col("rank")
     weight = F.coalesce(F.create_map(*(F.lit(x) for kv in HEAT.items() for x in kv))[F.col("op")], F.lit(0.0))
-    return operations.select("slot", (a * weight * F.pow(F.lit(1 - a), later)).alias("h")).groupBy("slot").agg(F.sum("h").alias("heat"))
+    return ordering.ranked(operations.select("slot", "seq", "op"), ["slot"], ["seq"]).select("slot", (a * weight * F.pow(F.lit(1 - a), later)).alias("h")).groupBy("slot").agg(F.sum("h").alias("heat"))
 
 
 def decayed(heat_column: Column, a: float, idle_seconds: Column) -> Column:
@@ -75,11 +77,9 @@ def write_pressure(operations: DataFrame, half_life: int, threshold: float = 0.5
 
     The weight of an operation depends on how many follow it, which range partitions tell.
     """
-    from ledgerlake.operators.ordering import with_rank
-
     a = alpha(half_life)
-    ranked = with_rank(operations.select("seq", "write"), "seq")
-    later = operations.count() - F.col("rank")
+    ranked = ordering.ranked(operations.select("seq", "write"), [], ["seq"])
+    later = F.col("of") - F.col("rank")
     ratio = F.coalesce(F.sum(F.when(F.col("write"), a * F.pow(F.lit(1 - a), later))), F.lit(0.0))
     return ranked.agg(ratio.alias("ratio")).withColumn("pressed", F.col("ratio") > threshold)
 

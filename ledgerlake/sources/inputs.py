@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.times import millis
+from ledgerlake.operators import ordering
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +60,6 @@ def gossip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str, nodes: int = 4) -> DataFrame:
     """(ms, operation, node, value): running counters per series, with a reset every 150 increments."""
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").select(millis("ts").alias("ms"), F.col("event_type").alias("operation"), (F.col("user_id") % nodes).cast("int").alias("node"), "event_id")
-    n = F.row_number().over(Window.partitionBy("operation", "node").orderBy("event_id"))
-    return e.select("ms", "operation", "node", "event_id", (n % 150).cast("double").alias("value"))
+    n = ordering.ranked(e, ["operation", "node"], ["event_id"])
+    return n.select("ms", "operation", "node", "event_id", (F.col("rank") % 150).cast("double").alias("value"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,25 @@ def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir`` and read back; gone when the session ends.
+
+    Where none is set, a temporary folder serves a local master; a cluster is refused one.
+    """
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlake-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/core-{sc.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    on_disk = spark._jvm.org.apache.hadoop.fs.Path(path)
+    on_disk.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(on_disk)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def missing_files(expected: DataFrame, present: DataFrame) -> DataFrame:
     """Files of a snapshot that aren't there: a restore is refused while any is missing."""
     return expected.join(present, "file_number", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import hashing
 from ledgerlake.functions.vectors import distance
-from ledgerlake.operators import ann, compact, events, kv, state, vector
+from ledgerlake.operators import ann, compact, events, kv, metrics, ordering, state, vector
 from ledgerlake.plans import catalogue
 from ledgerlake.sources import storage
 from ledgerlake.streaming import streams
@@ -247,3 +247,36 @@ def test_searches_in_passes(spark, sf):
     one, many = (sorted(map(tuple, ann.in_passes(q, lambda some: ann.search_quantised(v, some, books, 10), most).select("query_id", "vec_id", "rank").collect())) for most in (1000, 9))
     assert one == many != []
     assert ann.in_passes(q.limit(0), None).count() == 0
+
+
+ROWS = [(k, t, float(v) if v is not None else None) for t, (k, v) in enumerate([("a", 3), (None, 1), ("a", None), ("b", 2), (None, None), ("a", 2), ("a", 5), (None, 7), ("a", 1), ("b", None)])]
+
+
+@pytest.mark.parametrize("large", [0, 100])
+def test_ranks_and_last_values_of_keys(spark, monkeypatch, large):
+    monkeypatch.setattr(ordering, "LARGE", large)
+    df = spark.createDataFrame(ROWS, "key string, t int, value double").repartition(4)
+    ranks = {r["t"]: (r["rank"], r["of"]) for r in ordering.ranked(df, ["key"], ["t"]).collect()}
+    last = {r["t"]: (r["before"], r["most"]) for r in ordering.with_last(ordering.with_last(df, ["key"], ["t"], F.col("value"), "before"), ["key"], ["t"], F.col("value"), "most", own=True, most=True).collect()}
+    for k, t, v in ROWS:
+        mine = [x for x in ROWS if x[0] == k]
+        seen = [x[2] for x in mine if x[1] < t and x[2] is not None]
+        upto = seen + [v] * (v is not None)
+        assert ranks[t] == (sum(x[1] <= t for x in mine), len(mine))
+        assert last[t] == (seen[-1] if seen else None, max(upto) if upto else None)
+    assert ordering.ranked(df.where("t < 0"), ["key"], ["t"]).count() == 0
+    assert [r["rank"] for r in ordering.with_rank(df, "t").orderBy("t").collect()] == list(range(1, 11))
+
+
+def test_sliding_totals_across_stretches(spark):
+    rows = [("a", t, float(t or 0), i) for i, t in enumerate([0, 4, 5, 9, 10, 14, 20, 20, None, None, -3])]
+    df = spark.createDataFrame(rows, "key string, ms long, value double, event_id long")
+    got = {r["event_id"]: (r["window_total"], r["window_n"]) for r in events.sliding_total(df, ["key"], 5).collect()}
+    for _, t, _, i in rows:
+        near = [x[2] for x in rows if (t is None and x[1] is None) or (t is not None and x[1] is not None and t - 5 <= x[1] <= t)]
+        assert got[i] == (sum(near), len(near))
+
+
+def test_lag_of_replicas_without_a_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 4), ("g", 2)], "g string, at int")
+    assert sorted(r["lag"] for r in metrics.lag_behind(df, "g", "at").collect()) == [0, 0, 3]

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerlake.operators import kv
+from ledgerlake.operators import kv, ordering
 from ledgerlake.plans import catalogue
 from ledgerlake.sources import inputs, storage
 
@@ -35,6 +35,15 @@ def test_equals_oracle(spark, sf, duck, name):
         assert rows
 
 
+ORDERED = ["a18_heat", "a19_write_pressure", "a6_percentiles", "a15_failure_detection", "c10_arm_mean", "c15_guards", "d18_members", "j5_as_of", "j6_happens_before", "p10_sustained", "p1_rate", "r12_watch", "w2_transitions", "w3_elections", "w4_confirm_latency", "w7_trend"]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_keys_cut_into_ranges_equal_oracle(spark, sf, duck, name, monkeypatch):
+    monkeypatch.setattr(ordering, "LARGE", 0)
+    test_equals_oracle(spark, sf, duck, name)
+
+
 def test_range_filter_reaches_the_scan_of_a_run(spark, sf, tmp_path, capsys):
     storage.write_run(inputs.mutations(spark, sf), f"{tmp_path}/run", files=4)
     kv.scan(storage.read_runs(spark, [f"{tmp_path}/run"]), "17", "3", catalogue.NOW).select("key", "value").explain("formatted")
