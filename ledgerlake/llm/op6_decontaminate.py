@@ -36,11 +36,12 @@ from ledgerlake.llm import common
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 20, 4, 16
-#: Items that are sent to all executors at once; a larger benchmark takes several passes.
-ITEMS = 10_000
+#: Items that are sent to all executors at once; a larger benchmark takes several passes. A worker's
+#: tables take BLOCKS * 8192 bytes an item, 131 MB for a pass.
+ITEMS = 4_000
 #: Items of one index table (its size is BLOCKS * 65536 * INDEXED / 8 bytes).
 INDEXED = 512
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Windows that are signed at once start within so many words.
 STRETCH = 8192
 
@@ -224,14 +225,13 @@ class Matcher:
                 found[key] = (value, start, n + shape.gram - 1)
 
 
-#: By pass: what a worker has built of it serves all its tasks.
+#: The pass that a worker is at: what it has built of it serves all its tasks, and goes before the next is built.
 _MATCHERS: dict[str, Matcher] = {}
 
 
 def matcher_of(name: str, items: Broadcast) -> Matcher:
     if name not in _MATCHERS:
-        if len(_MATCHERS) > 3:
-            _MATCHERS.clear()
+        _MATCHERS.clear()
         _MATCHERS[name] = Matcher(Benchmark(items.value))
     return _MATCHERS[name]
 
@@ -275,8 +275,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds an item of the benchmark; ids may repeat or be null."""
-    for name, own in _passes(benchmark):
+    """``docs`` without the rows whose text holds an item of the benchmark; ids may repeat or be null.
+
+    What a pass leaves is written before the next one reads it, so that no task holds the tables of two.
+    """
+    for number, (name, own) in enumerate(_passes(benchmark)):
+        docs = common.cut(docs) if number else docs
 
         @common.kernel
         def clean(batches: Iterable[pa.RecordBatch], name=name, own=own) -> Iterator[pa.RecordBatch]:

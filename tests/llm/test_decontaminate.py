@@ -57,6 +57,8 @@ def test_several_passes(spark, sf, monkeypatch):
     monkeypatch.setattr(op, "ITEMS", 7)
     monkeypatch.setattr(op, "INDEXED", 2)
     assert pairs() == one and len([r for r in one if r[0] == -5]) == 2
+    hit = {r[0] for r in one}
+    assert {r["doc_id"] for r in op.keep_clean(docs, items).collect()} == {r["doc_id"] for r in docs.collect()} - hit
 
 
 def test_index_finds_every_pair_within_the_radius():
