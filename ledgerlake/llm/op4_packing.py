@@ -30,7 +30,7 @@ from ledgerlake.llm import common
 TOKENS = 2048
 GROUP = 100_000
 #: Units whose ids a worker remembers, and bytes of text that are looked up at once.
-REMEMBERED, CHUNK = 700_000, 1_000_000
+REMEMBERED, CHUNK = 700_000, 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -115,7 +115,7 @@ then compared byte by byte; a text with a unit that only shares its hash goes to
         split &= (now < 4) & (after < 4)
         begins = np.flatnonzero((kind > 0) & np.concatenate([[True], split | (now == 0)]))
         ends = np.flatnonzero((kind > 0) & np.concatenate([split | (after == 0), [True]])) + 1
-        power, inverse = powers((len(raw) | (1 << 20) - 1) + 1)
+        power, inverse = powers(len(raw) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])])
         found, first, where = np.unique((total[ends] - total[begins]) * inverse[begins], return_index=True, return_inverse=True)
         if len(self.hashes) + len(found) > REMEMBERED:
@@ -153,12 +153,20 @@ then compared byte by byte; a text with a unit that only shares its hash goes to
         return out
 
 
-@lru_cache(maxsize=2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
+    """``n`` powers, or more, of an odd number and of its inverse modulo 2^64; only the usual number of them is kept."""
+    return _usual_powers() if n <= 1 << 20 else _powers(n)
+
+
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << 20)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     odd = 0x9E3779B97F4A7C15
     both = (np.uint64(odd), np.uint64(pow(odd, -1, 1 << 64)))
-    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, m, np.uint64)])) for m in both)
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, m, np.uint64)])) for m in both)
 
 
 @lru_cache(maxsize=2)
